@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, packing, pulearn, simhash
+from larder.llm import mixing, packing, pulearn, simhash, suffix
 from larder.llm.common import table
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulearn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -29,7 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op5_packing": op5_packing, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
+    return {"op2_suffix": op2_suffix, "op3_quality": op3_quality, "op5_packing": op5_packing, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
