@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import mixing, packing, pulearn, simhash, suffix
+from larder.llm import chat, license_scan, mixing, packing, pulearn, revisit, simhash, suffix
 from larder.llm.common import table
 
 
+def op1_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisit.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -24,18 +28,37 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.digest(turns.unionByName(extra))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_revisit, op2_suffix, op3_quality, op5_packing, op6_licenses, op7_mixing, op9_chat, op10_simhash,
+    )
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_suffix": op2_suffix, "op3_quality": op3_quality, "op5_packing": op5_packing, "op7_mixing": op7_mixing, "op10_simhash": op10_simhash}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_revisit": revisit.ORACLE, "op6_licenses": license_scan.oracle(), "op9_chat": chat.ORACLE}
