@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, license_scan, mixing, packing, pulearn, revisit, simhash, suffix
+from larder.llm import chat, license_scan, media, mixing, packing, pulearn, revisit, search, simhash, suffix
 from larder.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pulearn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.encode(table(spark, sf_dir, "documents")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -51,7 +59,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_revisit, op2_suffix, op3_quality, op5_packing, op6_licenses, op7_mixing, op9_chat, op10_simhash,
+        op1_revisit, op2_suffix, op3_quality, op4_media, op5_packing, op6_licenses, op7_mixing, op8_search, op9_chat,
+        op10_simhash,
     )
 }
 
@@ -61,4 +70,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_revisit": revisit.ORACLE, "op6_licenses": license_scan.oracle(), "op9_chat": chat.ORACLE}
+    return {
+        "op1_revisit": revisit.ORACLE, "op6_licenses": license_scan.oracle(), "op8_search": search.oracle(), "op9_chat": chat.ORACLE,
+    }
