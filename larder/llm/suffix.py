@@ -11,10 +11,12 @@ tree, and those whose left neighbours differ are the maximal repeats within
 the contexts, each with all its occurrences. A repeat longer than a context is
 reported as a chain of overlapping ones.
 
-Documents are held in shards of a few MB. Before anything is shuffled, a shard
-keeps one of equal contexts; the others are repeats of it. An anchor that occurs
-in more than HOT shards is split by the contents of its windows. So no task holds
-a group that grows with the corpus.
+Documents are held in shards of a few MB. For removal, equal contexts are found
+first, by hashes: a shard sends one of its equal contexts, and of equal ones among
+shards only the earliest is looked at again; the others are repeats of it. Texts
+move only where an anchor has several contexts. An anchor that occurs in more than
+HOT shards is dealt by the contents of its contexts and windows. So no task holds a
+group that grows with the corpus.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ MIN_BYTES = 100
 K = 32
 SPAN = MIN_BYTES - K + 1  # windows that may share an anchor
 REACH = MIN_BYTES + SPAN - 1  # bytes of the longest context
-HOT = 64
+HOT = 1024
 SHARD_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -209,59 +211,142 @@ def _span_payload(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return _packed({"doc": doc.astype(np.int32), "start": start.astype(np.int64), "end": end.astype(np.int64)})
 
 
-def _contexts(shards: pa.Table, answers: pa.Table, buckets: int, collapse: bool) -> pa.Table:
-    """(bucket, shard, kind, payload) of one shard: kind 0, its contexts for a bucket; kind 1, spans already known."""
+def _repeated(shard: Shard, answers: pa.Table) -> tuple[np.ndarray, ...]:
+    """(key, document, first window, last window, hot) of a shard's anchors that occur twice anywhere."""
+    raw = answers.column("payload").to_pylist()
+    known = np.concatenate([np.frombuffer(r, dtype="<u8", count=len(r) // 9) for r in raw])
+    hot = np.concatenate([np.frombuffer(r, dtype=np.uint8, offset=len(r) // 9 * 8) for r in raw]).astype(bool)
+    order = np.argsort(known)
+    known, hot = known[order], hot[order]
+    key, doc, first, last = shard.anchors()
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    hit = known[at] == key
+    return key[hit], doc[hit], first[hit], last[hit], hot[at[hit]]
+
+
+def _windows(raw: bytes, key: np.ndarray, first: np.ndarray, last: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, key, first, last): contexts to be split as one context for each window, keyed by its bytes."""
+    counts = np.where(split, last - first + 1, 1)
+    row = np.repeat(np.arange(len(key)), counts)
+    step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    key, split = key[row].copy(), split[row]
+    begin = first[row] + np.where(split, step, 0)
+    end = np.where(split, begin, last[row])
+    for i in np.flatnonzero(split).tolist():
+        key[i] = xxhash.xxh64_intdigest(raw[begin[i] : begin[i] + MIN_BYTES], 1)
+    return row, key, begin, end
+
+
+def _dealt(route: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, rows) for every bucket that has rows."""
+    bucket = (route % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        yield b, order[bounds[b] : bounds[b + 1]]
+
+
+def _rows(out: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    columns = list(zip(*out)) or [[] for _ in kinds]
+    return pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), columns)})
+
+
+def _contexts(shards: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    """(bucket, shard, payload) of one shard: the contexts of its repeated anchors, with their texts."""
     out: list[tuple] = []
-    for number, packed in zip(shards.column("shard").to_pylist(), shards.column("payload").to_pylist()):
-        raw = answers.column("payload").to_pylist()
-        if not raw:
-            continue
-        known = np.concatenate([np.frombuffer(r, dtype="<u8", count=len(r) // 9) for r in raw])
-        hot = np.concatenate([np.frombuffer(r, dtype=np.uint8, offset=len(r) // 9 * 8) for r in raw]).astype(bool)
-        order = np.argsort(known)
-        known, hot = known[order], hot[order]
+    for number, packed in zip(shards.column("shard").to_pylist(), shards.column("payload").to_pylist() if answers.num_rows else ()):
         shard = Shard(packed)
-        key, doc, first, last = shard.anchors()
-        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-        hit = known[at] == key
-        key, doc, first, last, at = key[hit], doc[hit], first[hit], last[hit], at[hit]
-        split = hot[at]
-        if split.any():  # one context for each window, keyed by its bytes
-            counts = np.where(split, last - first + 1, 1)
-            step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            key, doc, first, last, split = (np.repeat(x, counts) for x in (key, doc, first, last, split))
-            first = first + np.where(split, step, 0)
-            last = np.where(split, first, last)
-            for i in np.flatnonzero(split).tolist():
-                key[i] = xxhash.xxh64_intdigest(shard.raw[first[i] : first[i] + MIN_BYTES], 1)
-        seen: dict[bytes, int] = {}
-        own, texts, again = [], [], []
-        for i, (a, b) in enumerate(zip(first.tolist(), (last + MIN_BYTES).tolist())):
-            text = shard.raw[a:b]
-            if collapse and seen.setdefault(text, i) != i:
-                again.append(i)
-            else:
-                own.append(i)
-                texts.append(text)
-        if again:
+        out += _with_texts(shard, number, *_repeated(shard, answers), buckets)
+    return _rows(out, bucket=pa.int64(), shard=pa.int64(), payload=pa.binary())
+
+
+def _with_texts(shard: Shard, number: int, key: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, split: np.ndarray, buckets: int) -> Iterator[tuple]:
+    row, key, first, last = _windows(shard.raw, key, first, last, split)
+    doc = doc[row]
+    texts = pa.array([shard.raw[a:b] for a, b in zip(first.tolist(), (last + MIN_BYTES).tolist())], pa.binary())
+    for b, rows in _dealt(key, buckets):
+        d = doc[rows]
+        yield b, number, _packed({
+            "key": key[rows], "id": shard.ids[d], "doc": d.astype(np.int32), "start": first[rows] - shard.starts[d], "text": texts.take(pa.array(rows)),
+        })
+
+
+def _hashed(shards: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+    """(bucket, shard, kind, payload) of one shard: kind 0, its distinct contexts by hash; kind 1, spans already known."""
+    out: list[tuple] = []
+    for number, packed in zip(shards.column("shard").to_pylist(), shards.column("payload").to_pylist() if answers.num_rows else ()):
+        shard = Shard(packed)
+        key, doc, first, last, hot = _repeated(shard, answers)
+        digest = np.fromiter(
+            (xxhash.xxh3_64_intdigest(shard.raw[a:b]) for a, b in zip(first.tolist(), (last + MIN_BYTES).tolist())), dtype=np.uint64, count=len(key)
+        )
+        order = np.lexsort((digest, key))  # stable: of equal contexts the earliest stands first
+        again = np.zeros(len(key), bool)
+        again[order[1:]] = (np.diff(key[order]) == 0) & (np.diff(digest[order]) == 0)
+        if again.any():
             d = doc[again]
             out.append((int(number) % buckets, number, 1, _span_payload(d, first[again] - shard.starts[d], last[again] + MIN_BYTES - shard.starts[d])))
-        if not own:
-            continue
-        key, doc, first, last = key[own], doc[own], first[own], last[own]
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        texts = pa.array(texts, pa.binary())
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
-            rows = order[bounds[b] : bounds[b + 1]]
+        key, doc, first, last, hot, digest = (x[~again] for x in (key, doc, first, last, hot, digest))
+        for b, rows in _dealt(np.where(hot, digest, key), buckets):
             d = doc[rows]
             out.append((b, number, 0, _packed({
-                "key": key[rows], "id": shard.ids[d], "doc": d.astype(np.int32), "start": first[rows] - shard.starts[d],
-                "text": texts.take(pa.array(rows)),
+                "key": key[rows], "digest": digest[rows], "id": shard.ids[d], "doc": d.astype(np.int32), "start": (first[rows] - shard.starts[d]).astype(np.int64),
+                "size": (last[rows] - first[rows] + MIN_BYTES).astype(np.int16), "hot": hot[rows].astype(np.uint8),
             })))
-    columns = list(zip(*out)) or [[], [], [], []]
-    return pa.table({n: pa.array(c, k) for (n, k), c in zip((("bucket", pa.int64()), ("shard", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())), columns)})
+    return _rows(out, bucket=pa.int64(), shard=pa.int64(), kind=pa.int32(), payload=pa.binary())
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, kind, payload): kind 1, spans of contexts that occur earlier; kind 2, the contexts whose texts must be compared."""
+    names, parts = [], []
+
+    def made(kind: int, numbers: list, payloads: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(numbers, pa.int64()), pa.array([kind] * len(numbers), pa.int32()), pa.array(payloads, pa.binary())], names=["shard", "kind", "payload"]
+        )
+
+    for batch in batches:
+        for number, kind, payload in zip(*(c.to_pylist() for c in batch.columns[1:])):
+            if kind:
+                yield made(1, [number], [payload])
+            else:
+                names.append(number)
+                parts.append({n: v.to_numpy(zero_copy_only=False) for n, v in _unpacked(payload).items()})
+    if not parts:
+        return
+    held = {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
+    shard = np.repeat(np.array(names, np.int64), [len(p["key"]) for p in parts])
+    del parts
+    order = np.lexsort((held["start"], held["doc"], shard, held["id"], held["digest"], held["key"]))
+    key, digest = held["key"][order], held["digest"][order]
+    new_key = np.append(True, key[1:] != key[:-1])
+    new = new_key | np.append(True, digest[1:] != digest[:-1])
+    kinds = np.bincount(np.cumsum(new_key) - 1, weights=new)[np.cumsum(new_key) - 1]  # distinct contexts of the anchor
+    asked = new & ((kinds > 1) | (held["hot"][order] > 0))
+    for kind, rows in ((1, order[~new]), (2, order[asked])):
+        rows = rows[np.argsort(shard[rows], kind="stable")]
+        numbers, at = np.unique(shard[rows], return_index=True)
+        payloads = []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(rows)]):
+            own = rows[a:b]
+            if kind == 1:
+                payloads.append(_span_payload(held["doc"][own], held["start"][own], held["start"][own] + held["size"][own]))
+            else:
+                payloads.append(_packed({n: held[n][own] for n in ("key", "doc", "start", "size", "hot")}))
+        if payloads:
+            yield made(kind, numbers.tolist(), payloads)
+
+
+def _texts(shards: pa.Table, requests: pa.Table, buckets: int) -> pa.Table:
+    """(bucket, shard, payload) of one shard: the contexts asked for, with their texts."""
+    out: list[tuple] = []
+    for number, packed in zip(shards.column("shard").to_pylist(), shards.column("payload").to_pylist() if requests.num_rows else ()):
+        shard = Shard(packed)
+        parts = [_unpacked(p) for p in requests.column("payload").to_pylist()]
+        own = {n: np.concatenate([p[n].to_numpy(zero_copy_only=False) for p in parts]) for n in parts[0]}
+        first = own["start"] + shard.starts[own["doc"]]
+        out += _with_texts(shard, number, own["key"], own["doc"].astype(np.int64), first, first + own["size"] - MIN_BYTES, own["hot"] > 0, buckets)
+    return _rows(out, bucket=pa.int64(), shard=pa.int64(), payload=pa.binary())
 
 
 def intervals(lcp: list[int], different: list[int], least: int = MIN_BYTES) -> Iterator[tuple[int, int, int]]:
@@ -375,14 +460,8 @@ class _Gathered:
 
 
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, payload): spans of bytes that occur earlier."""
-    rows: list[tuple[int, bytes]] = []
-    for batch in batches:
-        _, numbers, kinds, payloads = (c.to_pylist() for c in batch.columns)
-        done = [(n, p) for n, k, p in zip(numbers, kinds, payloads) if k == 1]
-        rows += [(n, p) for n, k, p in zip(numbers, kinds, payloads) if k == 0]
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.int64()), pa.array([p for _, p in done], pa.binary())], names=["shard", "payload"])
+    """(shard, kind 1, payload): spans of bytes that occur earlier, among contexts that are compared by text."""
+    rows = [(n, p) for batch in batches for n, p in zip(*(c.to_pylist() for c in batch.columns[1:]))]
     if not rows:
         return
     held = _Gathered(rows)
@@ -405,7 +484,9 @@ def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers, at = np.unique(held.shard[which], return_index=True)
     for number, a, b in zip(numbers.tolist(), at.tolist(), [*at[1:].tolist(), len(which)]):
         payload = _span_payload(held.doc[which[a:b]], start[a:b], end[a:b])
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "payload"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int64()), pa.array([1], pa.int32()), pa.array([payload], pa.binary())], names=["shard", "kind", "payload"]
+        )
 
 
 def _cleaned(shards: pa.Table, spans: pa.Table, columns: list[str], digests: bool) -> pa.Table:
@@ -413,12 +494,15 @@ def _cleaned(shards: pa.Table, spans: pa.Table, columns: list[str], digests: boo
     out = []
     for packed in shards.column("payload").to_pylist():
         shard = Shard(packed)
-        edge = np.zeros(len(shard.data) + 1, np.int64)
-        for p in spans.column("payload").to_pylist():
-            own = {k: v.to_numpy() for k, v in _unpacked(p).items()}
-            base = shard.starts[own["doc"]]
-            edge += np.bincount(base + own["start"], minlength=len(edge)) - np.bincount(base + own["end"], minlength=len(edge))
-        gone = np.cumsum(edge)[:-1] > 0
+        parts = [_unpacked(p) for p in spans.column("payload").to_pylist()]
+        doc, begin, end = (np.concatenate([np.zeros(0, np.int64), *(p[n].to_numpy() for p in parts)]) for n in ("doc", "start", "end"))
+        begin, end = begin + shard.starts[doc], end + shard.starts[doc]
+        order = np.argsort(begin)
+        begin, end = begin[order], np.maximum.accumulate(end[order])
+        gone = np.zeros(len(shard.data), bool)
+        first = np.flatnonzero(np.append(True, begin[1:] > end[:-1])) if len(begin) else order
+        for a, b in zip(begin[first].tolist(), end[np.append(first[1:], len(end)) - 1].tolist() if len(begin) else ()):
+            gone[a:b] = True
         total = np.append(0, np.cumsum(gone))
         rise = gone & ~np.append(False, gone[:-1])
         rise[shard.starts[shard.starts < shard.ends]] |= gone[shard.starts[shard.starts < shard.ends]]
@@ -442,19 +526,25 @@ def _cleaned(shards: pa.Table, spans: pa.Table, columns: list[str], digests: boo
     return pa.concat_tables(out)
 
 
-def _spread(docs: DataFrame, collapse: bool) -> tuple[DataFrame, DataFrame]:
-    """The shards of the documents, checkpointed, and the contexts of their repeated anchors by bucket."""
-    buckets = max(partitions(docs.sparkSession), 1)
-    shards = cut(docs.mapInArrow(_shards, "shard long, payload binary"))
-    answers = (
+def _answers(shards: DataFrame, buckets: int) -> DataFrame:
+    return (
         shards.mapInArrow(lambda it: _asked(it, buckets), "bucket long, shard long, payload binary")
         .repartition(buckets, "bucket").mapInArrow(_answered, "shard long, payload binary")
     )
-    contexts = (
-        shards.groupBy("shard").cogroup(answers.groupBy("shard"))
-        .applyInArrow(lambda a, b: _contexts(a, b, buckets, collapse), "bucket long, shard long, kind int, payload binary")
+
+
+def _spans(shards: DataFrame, buckets: int) -> DataFrame:
+    """(shard, kind 1, payload): every span of bytes that occurs earlier."""
+    by_shard = shards.groupBy("shard")
+    hashed = by_shard.cogroup(_answers(shards, buckets).groupBy("shard")).applyInArrow(
+        lambda a, b: _hashed(a, b, buckets), "bucket long, shard long, kind int, payload binary"
     )
-    return shards, contexts.repartition(buckets, "bucket")
+    matched = cut(hashed.repartition(buckets, "bucket").mapInArrow(_matched, "shard long, kind int, payload binary"))
+    texts = by_shard.cogroup(matched.where("kind = 2").groupBy("shard")).applyInArrow(
+        lambda a, b: _texts(a, b, buckets), "bucket long, shard long, payload binary"
+    )
+    compared = texts.repartition(buckets, "bucket").mapInArrow(_reduced, "shard long, kind int, payload binary")
+    return matched.where("kind = 1").unionByName(compared)
 
 
 def remove_repeats(docs: DataFrame, digests: bool = True) -> DataFrame:
@@ -471,8 +561,8 @@ def remove_repeats(docs: DataFrame, digests: bool = True) -> DataFrame:
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else []
     docs = docs.select(*[c for c in docs.columns if c not in names])
-    shards, contexts = _spread(docs, collapse=True)
-    spans = contexts.mapInArrow(_reduced, "shard long, payload binary")
+    shards = cut(docs.mapInArrow(_shards, "shard long, payload binary"))
+    spans = _spans(shards, max(partitions(docs.sparkSession), 1))
     kinds = {"kept_sha256": T.StringType()}
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n in names)])
     columns = list(docs.columns)
@@ -491,7 +581,7 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(n, p) for batch in batches for n, k, p in zip(*(c.to_pylist() for c in batch.columns[1:])) if k == 0]
+        rows = [(n, p) for batch in batches for n, p in zip(*(c.to_pylist() for c in batch.columns[1:]))]
         if not rows:
             return
         held = _Gathered(rows)
@@ -519,5 +609,10 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
                     names=["anchor", "length", "first_doc_id", "first_start", "doc_id", "start"],
                 )
 
-    _, contexts = _spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), collapse=False)
-    return contexts.mapInArrow(listed, "anchor long, length long, first_doc_id long, first_start long, doc_id long, start long")
+    buckets = max(partitions(docs.sparkSession), 1)
+    shards = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_shards, "shard long, payload binary"))
+    contexts = (
+        shards.groupBy("shard").cogroup(_answers(shards, buckets).groupBy("shard"))
+        .applyInArrow(lambda a, b: _contexts(a, b, buckets), "bucket long, shard long, payload binary")
+    )
+    return contexts.repartition(buckets, "bucket").mapInArrow(listed, "anchor long, length long, first_doc_id long, first_start long, doc_id long, start long")
