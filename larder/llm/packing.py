@@ -13,16 +13,19 @@ whose minimum slides over the candidates in a monotone queue: linear time.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 END = 1
 SCHEMA = (
@@ -34,52 +37,140 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Codes(dict):
+    """Numbers words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of the pool one after another."""
+    after = np.cumsum(sizes)
+    return pool[np.repeat(starts - after + sizes, sizes) + np.arange(int(after[-1]) if len(after) else 0)]
+
+
 class WordTokenizer:
     """Encodes whole texts word by word, each distinct word once.
 
     Exact for this vocabulary: its normaliser and its pre-tokeniser never join or
-    look across ASCII white space. The cache is emptied at `most` words.
+    look across ASCII white space, ignore the case of ASCII letters and divide a letter
+    or digit from marks that follow it, so a word with marks at its end is made of
+    both parts. New words are encoded together: those of small Latin letters, which the
+    normaliser leaves alone, by the model itself, others divided by a special token. A text
+    that may hold such a token keeps its case, and a word that may hold one is encoded alone.
+    Beyond `most` words the cache forgets those used least. A Python worker keeps one
+    over its tasks.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    MARKS = b".,!?;:"
+    SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+    _kept: dict[str, WordTokenizer] = {}
+
+    def __init__(self, path: str, most: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         self.inner = Tokenizer.from_file(path)
+        self.divider = next(t.content for t in self.inner.get_added_tokens_decoder().values() if t.special)
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.word_end = np.zeros(self.bare.get_vocab_size(), bool)
+        self.word_end[[i for t, i in self.bare.get_vocab().items() if t.endswith("</w>")]] = True
         self.most = most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes = _Codes()
         self.pool = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.sizes = np.zeros(0, np.int64)
+        self.starts, self.sizes, self.used = (np.zeros(0, np.int64) for _ in range(3))
         self.ends = np.zeros(0, bool)
 
-    def _learn(self, words: list[bytes]) -> None:
-        made = [e.ids for e in self.inner.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-        flat = np.fromiter((i for ids in made for i in ids), dtype=np.uint32, count=int(sizes.sum()))
-        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words))))
-        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.pool = np.append(self.pool, flat)
+    @classmethod
+    def of_worker(cls, path: str) -> WordTokenizer:
+        if path not in cls._kept:
+            cls._kept[path] = cls(path)
+        return cls._kept[path]
+
+    def _forget(self) -> None:
+        keep = self.used > 1
+        if keep.sum() > self.most // 2:
+            keep &= self.used > np.partition(self.used, len(keep) - self.most // 2)[len(keep) - self.most // 2]
+        self.codes = _Codes(zip(compress(self.codes, keep.tolist()), range(int(keep.sum()))))
+        self.pool = _gathered(self.pool, self.starts[keep], self.sizes[keep])
+        self.sizes, self.used, self.ends = self.sizes[keep], self.used[keep] // 2, self.ends[keep]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def _ids(self, text: str, inner: Tokenizer | None = None) -> np.ndarray:
+        return np.array((inner or self.inner).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, number of ids) of each word."""
+        small = np.fromiter((self.SMALL.fullmatch(w) is not None for w in words), dtype=bool, count=len(words))
+        divider = np.uint32(self.inner.token_to_id(self.divider))
+        pools, sizes = [np.zeros(0, np.uint32)], np.zeros(len(words), np.int64)
+        order = np.append(np.flatnonzero(small), np.flatnonzero(~small))
+        simple = int(small.sum())
+        for i in range(0, simple, 4096):
+            ids = self._ids(b" ".join(words[k] for k in order[i : min(i + 4096, simple)]).decode(), self.bare)
+            sizes[order[i : min(i + 4096, simple)]] = np.diff(np.flatnonzero(self.word_end[ids]), prepend=-1)
+            pools.append(ids)
+        for i in range(simple, len(words), 4096):
+            part = [words[k] for k in order[i : i + 4096]]
+            ids = self._ids(self.divider.join("" if b"<|" in w else w.decode() for w in part))
+            at = np.flatnonzero(ids == divider)
+            own = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+            ids = np.delete(ids, at)
+            odd = [k for k, w in enumerate(part) if b"<|" in w]
+            if odd:
+                made = [self._ids(part[k].decode()) for k in odd]
+                ids = np.insert(ids, np.repeat(np.cumsum(own)[odd], [len(m) for m in made]), np.concatenate(made))
+                own[odd] = [len(m) for m in made]
+            pools.append(ids)
+            sizes[order[i : i + 4096]] = own
+        starts = np.zeros(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(pools), starts, sizes
+
+    def _learn(self) -> None:
+        """Encodes the words numbered since the last call."""
+        known = len(self.sizes)
+        words = list(islice(self.codes, known, None))
+        marked, parts = [], []
+        for k, w in enumerate(words):
+            stem = w.rstrip(self.MARKS)
+            if len(stem) < len(w) and stem[-1:].isalnum():  # of bytes: an ASCII letter or digit
+                marked.append(k)
+                parts += [self.codes[stem], self.codes[w[len(stem) :]]]
+        words += islice(self.codes, known + len(words), None)
+        plain = np.ones(len(words), bool)
+        plain[marked] = False
+        ids, at, own = self._encoded(list(compress(words, plain.tolist())))
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        sizes[plain], starts[plain] = own, len(self.pool) + at
+        self.pool = np.append(self.pool, ids)
+        starts, sizes, parts = np.append(self.starts, starts), np.append(self.sizes, sizes), np.array(parts, np.int64)
+        whole = sizes[parts].reshape(-1, 2).sum(axis=1)
+        at = known + np.array(marked, np.int64)
+        sizes[at], starts[at] = whole, len(self.pool) + np.cumsum(whole) - whole
+        self.pool = np.append(self.pool, _gathered(self.pool, starts[parts], sizes[parts]))
+        self.starts, self.sizes = starts, sizes
         self.ends = np.append(self.ends, np.fromiter((w[-1] in b".!?" for w in words), dtype=bool, count=len(words)))
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, ends of sentences within them) of each text."""
-        split = [t.split() for t in texts]
-        fresh = set().union(*split) - self.codes.keys()
-        if fresh:
-            if len(self.codes) + len(fresh) > self.most:
-                self._clear()
-                fresh = set().union(*split)
-            self._learn(sorted(fresh))
+        if len(self.codes) > self.most:
+            self._forget()
         find = self.codes.__getitem__
-        for words in split:
-            code = np.fromiter(map(find, words), dtype=np.int64, count=len(words))
+        split = ((t if b"<|" in t else t.lower()).split() for t in texts)
+        coded = [np.fromiter(map(find, words), dtype=np.int32, count=len(words)) for words in split]
+        if len(self.codes) > len(self.sizes):
+            self._learn()
+        seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *coded]), minlength=len(self.codes))
+        seen[: len(self.used)] += self.used
+        self.used = seen
+        for code in coded:
             sizes = self.sizes[code]
-            after = np.cumsum(sizes)
-            total = int(after[-1]) if len(after) else 0
-            at = np.repeat(self.starts[code] - after + sizes, sizes) + np.arange(total)
-            yield self.pool[at], after[self.ends[code]]
+            yield _gathered(self.pool, self.starts[code], sizes), np.cumsum(sizes)[self.ends[code]]
 
 
 def cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
@@ -199,7 +290,7 @@ class _Stream:
 def _pack_batches(
     batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, stride: int, penalties: tuple[int, int, int], block: int, kind: pa.DataType
 ) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer(vocabulary)
+    tokenizer = WordTokenizer.of_worker(vocabulary)
     stream = _Stream(size, stride, penalties, TaskContext.get().partitionId() << 40)
 
     def made(last: bool) -> Iterator[pa.RecordBatch]:
@@ -212,7 +303,7 @@ def _pack_batches(
         names, texts, chunk, held = batch.column(0).to_pylist(), batch.column(1), [], 0
         first = 0
         for i in range(len(names) + 1):
-            if i == len(names) or held > 1 << 21:
+            if i == len(names) or held > 1 << 20:
                 for k, (ids, ends) in enumerate(tokenizer.encode(chunk) if chunk else ()):
                     stream.add(names[first + k], ids, ends)
                     if stream.n >= block:
