@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-RESTART = 8
+RESTART = 4
 BANDS = [(0, 0), (1, 5), (6, 63)]
 #: Code lengths of the two Huffman tables, by symbol.
 DC_LENGTHS = {0: 3, 1: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 3, 7: 4, 8: 5, 9: 6, 10: 7, 11: 8}
@@ -84,11 +84,17 @@ def _entropy(codes: np.ndarray, lengths: np.ndarray, owner: np.ndarray, segments
     run = np.cumsum(lengths) - lengths
     begin = np.cumsum(bits) - bits
     at = first[owner] * 8 + (run - begin[owner])
-    out = np.ones(int(size.sum()) * 8, np.uint8)  # padding bits are ones
-    total = int(lengths.sum())
-    within = np.arange(total) - np.repeat(run, lengths)
-    out[np.repeat(at, lengths) + within] = (np.repeat(codes, lengths) >> (np.repeat(lengths, lengths) - 1 - within)) & 1
-    data = np.packbits(out)
+    # a code of at most 25 bits lies in four bytes, which it shares with others bit by bit
+    total = int(size.sum())
+    width = int(-(-((at & 7) + lengths).max(initial=0) // 8))
+    word = codes.astype(np.uint32) << (32 - (at & 7) - lengths).astype(np.uint32)
+    at >>= 3
+    data = np.zeros(total + 4, np.uint8)
+    for i in range(width):
+        part = (word >> np.uint32(24 - 8 * i)) & np.uint32(0xFF)
+        data[i:] += np.bincount(at, weights=part, minlength=total + 4)[: total + 4 - i].astype(np.uint8)
+    data = data[:total]
+    data[(first + size - 1)[size > 0]] |= ((1 << (size * 8 - bits)) - 1)[size > 0].astype(np.uint8)  # padding bits are ones
     full = data == 0xFF
     stuffed = np.add.reduceat(np.append(full, False).astype(np.int64), first) if segments else size
     stuffed[size == 0] = 0
@@ -222,8 +228,8 @@ def parse(raw: bytes) -> _File:
             at = stop
 
 
-def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Symbol and code length for every _PEEK bits."""
+def _lookup(table: bytes) -> tuple[np.ndarray, ...]:
+    """Symbol and code length for every _PEEK bits; value and bits of code and value together, 0 bits if they are more or there is no value."""
     symbol, length = np.zeros(1 << _PEEK, np.int64), np.zeros(1 << _PEEK, np.int64)
     code, at = 0, 16
     for n in range(1, 17):
@@ -233,7 +239,11 @@ def _lookup(table: bytes) -> tuple[np.ndarray, np.ndarray]:
             length[low : low + (1 << (_PEEK - n))] = n
             code, at = code + 1, at + 1
         code <<= 1
-    return symbol, length
+    size = symbol & 15
+    whole = (size > 0) & (length > 0) & (length + size <= _PEEK)
+    bits = (np.arange(1 << _PEEK) >> np.maximum(_PEEK - length - size, 0)) & ((1 << size) - 1)
+    value = np.where(bits < (1 << np.maximum(size - 1, 0)), bits - (1 << size) + 1, bits)
+    return symbol, length, np.where(whole, value, 0), np.where(whole, length + size, 0)
 
 
 class _Lanes:
@@ -251,8 +261,8 @@ class _Lanes:
         keep[mark + 1] = False
         kept = np.append(0, np.cumsum(keep))
         begin = np.sort(np.concatenate([ends - np.array([len(d) for d in datas]), mark + 2]))
-        data = np.append(flat[keep], np.full(8, 0xFF, np.uint8)).astype(np.uint64)
-        self.words = (data[:-4] << np.uint64(32)) | (data[1:-3] << np.uint64(24)) | (data[2:-2] << np.uint64(16)) | (data[3:-1] << np.uint64(8)) | data[4:]
+        data = np.append(flat[keep], np.full(8, 0xFF, np.uint8)).astype(np.int32)
+        self.words = (data[:-2] << 16) | (data[1:-1] << 8) | data[2:]  # 24 bits from each byte on
         self.bits = np.unpackbits(flat[keep])
         self.pos = kept[begin] * 8
         counts = np.array(blocks)
@@ -264,21 +274,21 @@ class _Lanes:
         self.first = np.repeat(np.array(firsts), lanes) + inner * step
         self.held = np.minimum(step, np.repeat(counts, lanes) - inner * step)
 
-    def peek(self, pos: np.ndarray, n: int) -> np.ndarray:
-        word = self.words[pos >> 3]
-        return ((word >> (40 - n - (pos & 7)).astype(np.uint64)) & np.uint64((1 << n) - 1)).astype(np.int64)
+    def peek(self, pos: np.ndarray) -> np.ndarray:
+        """The 16 bits at each position."""
+        return (self.words[pos >> 3] >> (8 - (pos & 7))) & 0xFFFF
 
     def take(self, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
         """n bits, at most 16, at each position."""
-        return self.peek(pos, 16) >> (16 - n)
+        return self.peek(pos) >> (16 - n)
 
     def dc_first(self, out: np.ndarray, al: int, table: tuple) -> None:
-        symbol, length = table
+        symbol, length = table[:2]
         pos, lane, predicted = self.pos.copy(), np.arange(len(self.pos)), np.zeros(len(self.pos), np.int64)
         for b in range(int(self.held.max(initial=0))):
             lane = lane[self.held[lane] > b]
             p = pos[lane]
-            x = self.peek(p, 16)
+            x = self.peek(p)
             n = symbol[x]
             p = p + length[x]
             v = self.take(p, n)
@@ -291,44 +301,52 @@ class _Lanes:
         out[block, 0] |= self.bits[np.repeat(self.pos, self.held) + inner].astype(out.dtype) << al
 
     def ac_first(self, out: np.ndarray, low: int, high: int, al: int, table: tuple) -> None:
-        symbol, length = table
+        symbol, length, value, advance = table
+        value, runs = value << al, symbol >> 4
         pos, block, stop = self.pos.copy(), self.first.copy(), self.first + self.held
         k = np.full(len(pos), low)
         flat = out.reshape(-1)
         while len(pos):
-            x = self.peek(pos, 16)
-            s = symbol[x]
-            pos = pos + length[x]
-            run, n = s >> 4, s & 15
-            plain = n > 0
-            if plain.all():
-                k = k + run
-                v = self.take(pos, n)
-                flat[block * 64 + k] = np.where(v < (1 << (n - 1)), v - (1 << n) + 1, v) << al
-                pos, k = pos + n, k + 1
-            else:
-                at = np.flatnonzero(plain)
-                k[at] += run[at]
-                v = self.take(pos[at], n[at])
-                flat[block[at] * 64 + k[at]] = np.where(v < (1 << (n[at] - 1)), v - (1 << n[at]) + 1, v) << al
-                pos[at] += n[at]
-                k[at] += 1
-                k[~plain & (run == 15)] += 16
-                end = np.flatnonzero(~plain & (run < 15))
-                extra = self.take(pos[end], run[end])
-                pos[end] += run[end]
-                block[end] += (1 << run[end]) + extra
-                k[end] = low
+            x = self.peek(pos)
+            step = advance[x]
+            at = slice(None) if step.all() else np.flatnonzero(step)
+            y = x[at]
+            k[at] += runs[y]
+            flat[(block[at] << 6) + k[at]] = value[y]
+            k[at] += 1
+            pos += step
+            if not isinstance(at, slice):
+                self._ac_rare(flat, np.flatnonzero(step == 0), x, pos, block, k, low, al, symbol, length)
             over = k > high
-            block = block + over
-            k = np.where(over, low, k)
+            if over.any():
+                block[over] += 1
+                k[over] = low
             going = block < stop
             if not going.all():
                 pos, block, k, stop = pos[going], block[going], k[going], stop[going]
 
+    def _ac_rare(self, flat, at, x, pos, block, k, low, al, symbol, length) -> None:
+        """Zero runs, end-of-band runs, and values whose code and bits exceed 16 together."""
+        s = symbol[x[at]]
+        pos[at] += length[x[at]]
+        run, n = s >> 4, s & 15
+        some = at[n > 0]
+        k[some] += run[n > 0]
+        bits = n[n > 0]
+        v = self.take(pos[some], bits)
+        flat[(block[some] << 6) + k[some]] = np.where(v < (1 << (bits - 1)), v - (1 << bits) + 1, v) << al
+        pos[some] += bits
+        k[some] += 1
+        k[at[(n == 0) & (run == 15)]] += 16
+        ended = (n == 0) & (run < 15)
+        end, run = at[ended], run[ended]
+        block[end] += (1 << run) + self.take(pos[end], run)
+        pos[end] += run
+        k[end] = low
+
     def ac_refine(self, out: np.ndarray, low: int, high: int, al: int, table: tuple) -> None:
-        symbol, length = table
-        x = self.peek(self.pos, 16)
+        symbol, length = table[:2]
+        x = self.peek(self.pos)
         s = symbol[x]
         run = s >> 4
         start = self.pos + length[x]
@@ -351,7 +369,7 @@ class _Lanes:
 
     def _refine_lane(self, out: np.ndarray, lane: int, low: int, high: int, al: int, table: tuple) -> None:
         """One segment with newly nonzero coefficients, symbol by symbol."""
-        symbol, length = table
+        symbol, length = table[:2]
         pos, left = int(self.pos[lane]), 0
 
         def refine(row: np.ndarray, k: int) -> None:
@@ -363,7 +381,7 @@ class _Lanes:
         for b in range(int(self.held[lane])):
             row, k = out[int(self.first[lane]) + b], low
             while k <= high and not left:
-                x = int(self.peek(np.array([pos]), 16)[0])
+                x = int(self.peek(np.array([pos]))[0])
                 s = int(symbol[x])
                 pos += int(length[x])
                 run, n = s >> 4, s & 15

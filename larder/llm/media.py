@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from larder.llm.jpeg import decode_files, encode_payloads, rgb
 
 BLOCK = 64
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
