@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from larder.llm.common import components, cut, partitions
 
 SEED = 42
+HOT = 4096
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -238,13 +239,16 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, count: i
     as often as they occur; an empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     roots = components(links(nodes.select("fp"), distance, count))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = grouped.join(least, "root").select("fp", "component_id")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(nodes.join(moved, "fp", "left").select("fp", "copies", F.coalesce("component_id", "least").alias("component_id")))
+    # fingerprints of a HOT-th of all documents or more: fewer than HOT of them, so they may be broadcast
+    hot = F.broadcast(named.where(F.col("copies") * HOT > prints.count()).select("fp", "component_id"))
+    rest = prints.join(hot, "fp", "left_anti").join(named.drop("copies"), "fp")
+    return prints.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
