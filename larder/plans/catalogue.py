@@ -1,5 +1,484 @@
-"""The registered queries over the reference's own operators."""
+"""The reference's operators as queries over the driver's tables, each with its SQL.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = "fair_compare"
+Suppliers stand for stores (four chains), parts for items, line items for offers and
+receipts, orders for carts and comparison runs, events for price observations.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larder.functions import text, units
+from larder.functions.money import packs_needed, r2
+from larder.operators import basket, compare, costing, identity, quality
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+FLAGSHIP = "basket_best_tie"
+STORES = ["s0", "s1", "s2", "s3"]
+AS_OF = "2024-02-01 00:00:00"
+
+
+def query(sql: str):
+    """Registers a function of (table reader) as a query under its name, with its SQL."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        run.__name__ = f.__name__
+        QUERIES[f.__name__], ORACLE[f.__name__] = run, sql
+        return f
+
+    return register
+
+
+def _r2(x: str) -> str:
+    return f"(floor(({x}) * 100 + 0.5::DOUBLE) / 100)"
+
+
+PRICE = _r2("l_extendedprice / l_quantity")
+
+
+def offers(t) -> DataFrame:
+    return t("lineitem").select(
+        F.col("l_partkey").alias("item"), F.pmod("l_suppkey", F.lit(4)).alias("store"), r2(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), "l_discount"
+    )
+
+
+def carts(t) -> DataFrame:
+    return t("lineitem").select(F.col("l_orderkey").alias("cart"), F.col("l_partkey").alias("item"), F.col("l_quantity").alias("quantity"))
+
+
+def promotions(t) -> DataFrame:
+    """(item, s0..s3): cheapest undiscounted offer in each chain."""
+    return offers(t).where("l_discount = 0").groupBy("item").agg(*[F.min(F.when(F.col("store") == i, F.col("price"))).alias(s) for i, s in enumerate(STORES)])
+
+
+WIDE = "SELECT l_partkey AS item, " + ", ".join(f"min({PRICE}) FILTER (l_suppkey % 4 = {i}) AS s{i}" for i in range(4)) + " FROM lineitem WHERE l_discount = 0 GROUP BY l_partkey"
+PRICED = f"""
+best AS (SELECT l_partkey AS item, l_suppkey % 4 AS store, min({PRICE}) AS price FROM lineitem GROUP BY ALL),
+lines AS (SELECT l_orderkey AS cart, l_partkey AS item, sum(l_quantity) AS quantity FROM lineitem GROUP BY ALL),
+priced AS (SELECT cart, item, store, price * quantity AS cost FROM lines JOIN best USING (item)),
+coverage AS (
+  SELECT cart, store, n_lines, count(*) AS n_priced, CASE WHEN count(*) = n_lines THEN {_r2('sum(cost)')} END AS total
+  FROM priced JOIN (SELECT cart, count(*) AS n_lines FROM lines GROUP BY cart) USING (cart) GROUP BY cart, store, n_lines
+)"""
+
+
+@query(f"WITH {PRICED} SELECT * FROM coverage")
+def basket_one_store(t):
+    return basket.coverage(carts(t), basket.priced_lines(carts(t), basket.best_offers(offers(t))))
+
+
+@query(f"""WITH {PRICED}, m AS (SELECT cart, min(total) AS total FROM coverage GROUP BY cart),
+n AS (SELECT cart, m.total, count(*) FILTER (abs(c.total - m.total) < 0.005) AS n, min(store) FILTER (abs(c.total - m.total) < 0.005) AS store
+  FROM coverage c JOIN m USING (cart) GROUP BY cart, m.total)
+SELECT cart, CASE WHEN n = 0 THEN 'incomplete' WHEN n > 1 THEN 'tie' ELSE CAST(store AS VARCHAR) END AS winner, total FROM n""")
+def basket_best_tie(t):
+    return basket.winner(basket.coverage(carts(t), basket.priced_lines(carts(t), basket.best_offers(offers(t)))))
+
+
+@query(f"""WITH {PRICED}, c AS (SELECT *, row_number() OVER (PARTITION BY cart, item ORDER BY cost, store) AS r FROM priced)
+SELECT cart, store, count(*) AS n_items, {_r2('sum(cost)')} AS subtotal FROM c WHERE r = 1 GROUP BY cart, store""")
+def basket_mixed(t):
+    return basket.mixed(basket.priced_lines(carts(t), basket.best_offers(offers(t))))
+
+
+def _restricted_sql() -> str:
+    from itertools import combinations
+
+    rows = []
+    for k in range(2, 5):
+        for c in combinations(STORES, k):
+            where = " AND ".join(f"{s} IS NOT NULL" for s in c)
+            rows += [f"SELECT '{'+'.join(c)}' AS stores, '{s}' AS store, count(*) AS n, {_r2(f'sum({s})')} AS total FROM w WHERE {where}" for s in c]
+    return f"WITH w AS ({WIDE}) " + " UNION ALL ".join(rows)
+
+
+@query(_restricted_sql())
+def pairwise_intersection_totals(t):
+    return basket.restricted_totals(promotions(t), STORES)
+
+
+@query(f"""WITH w AS ({WIDE}), m AS (SELECT item, concat_ws(',', {', '.join(f"CASE WHEN {s} IS NULL THEN '{s}' END" for s in STORES)}) AS missing FROM w)
+SELECT item, missing FROM m WHERE missing <> ''""")
+def incomplete_items(t):
+    return basket.missing_stores(promotions(t), STORES)
+
+
+def _combo_sql() -> str:
+    from itertools import combinations
+
+    rows = []
+    for k in range(1, 4):
+        for c in combinations(STORES, k):
+            least = f"least({', '.join(c)})" if k > 1 else c[0]
+            rows.append(f"SELECT '{'+'.join(c)}' AS stores, {k} AS n_stores, count({least}) AS n_covered, {_r2(f'sum({least})')} AS total FROM w")
+    return f"WITH w AS ({WIDE}) " + " UNION ALL ".join(rows)
+
+
+@query(_combo_sql())
+def plan_combos(t):
+    return basket.plan_combos(promotions(t), STORES)
+
+
+@query(f"""WITH {PRICED}, c AS (SELECT *, row_number() OVER (PARTITION BY cart, item ORDER BY cost, store) AS r FROM priced),
+s AS (SELECT cart, count(DISTINCT store) AS stops, sum(cost) AS product FROM c WHERE r = 1 GROUP BY cart)
+SELECT cart, stops, {_r2(_r2('product') + ' + 25 + 3.0::DOUBLE * (stops - 1)')} AS total FROM s""")
+def procurement_cost(t):
+    stops = basket.mixed(basket.priced_lines(carts(t), basket.best_offers(offers(t)))).groupBy("cart").agg(F.count("*").alias("stops"), F.sum("subtotal").alias("product"))
+    return stops.select("cart", "stops", basket.procurement_cost(F.col("product"), F.col("stops")).alias("total"))
+
+
+def _sides(t, n: int) -> DataFrame:
+    kg = lambda i: (F.col("p_size") + F.pmod("p_partkey", F.lit(7)) * 5 * i) / 1000
+    sides = [(s, F.col(s), kg(i)) for i, s in enumerate(STORES[:n])]
+    rows = promotions(t).join(t("part"), F.col("item") == F.col("p_partkey"))
+    return rows.select("item", compare.fair_compare(sides).alias("f")).select("item", "f.*")
+
+
+def _fair_sql(n: int) -> str:
+    s = STORES[:n]
+    kg = {x: f"((p_size + p_partkey % 7 * 5 * {i}) / 1000.0::DOUBLE)" for i, x in enumerate(s)}
+    kgs = "[" + ", ".join(f"CASE WHEN {x} > 0 THEN {kg[x]} END" for x in s) + "]"
+    values = lambda f: "list_filter([" + ", ".join(f(x) for x in s) + "], lambda v: v IS NOT NULL)"
+    unit = lambda x: _r2(f"{_r2(f'{x} / {kg[x]}')} / 10")
+    near = lambda f: "list_filter([" + ", ".join(f"CASE WHEN abs({f(x)} - list_min(v)) < 0.005 THEN '{x}' END" for x in s) + "], lambda v: v IS NOT NULL)"
+    delta = _r2(f"CASE basis WHEN 'per_pack' THEN s0 - s1 ELSE {unit('s0')} - {unit('s1')} END") if n == 2 else _r2("list_sort(v)[1] - list_sort(v)[2]")
+    return f"""
+WITH w AS ({WIDE}), k AS (SELECT w.*, p_size, p_partkey, list_filter({kgs}, lambda v: v IS NOT NULL) AS kgs FROM w JOIN part ON item = p_partkey),
+b AS (SELECT *, CASE WHEN len(kgs) < 2 THEN 'incomparable' WHEN (list_max(kgs) - list_min(kgs)) / list_min(kgs) <= 0.2 THEN 'per_pack' ELSE 'per_100g' END AS basis FROM k),
+v AS (SELECT *, CASE basis WHEN 'per_pack' THEN {values(str)} WHEN 'per_100g' THEN {values(unit)} END AS v FROM b),
+c AS (SELECT *, CASE basis WHEN 'per_pack' THEN {near(str)} WHEN 'per_100g' THEN {near(unit)} END AS near FROM v)
+SELECT item, basis, CASE WHEN basis = 'incomparable' THEN NULL WHEN len(near) > 1 THEN 'tie' ELSE near[1] END AS cheaper,
+  CASE WHEN basis <> 'incomparable' THEN {delta} END AS delta FROM c"""
+
+
+@query(_fair_sql(2))
+def fair_compare_two(t):
+    return _sides(t, 2)
+
+
+@query(_fair_sql(4))
+def fair_compare_n(t):
+    return _sides(t, 4)
+
+
+PACKS = f"SELECT p_partkey AS item, {_r2('p_retailprice / 100')} AS price, p_size * 10.0::DOUBLE AS pack, 300.0::DOUBLE + p_partkey % 10 * 100 AS need FROM part"
+
+
+def _packs(t) -> DataFrame:
+    return t("part").select(
+        F.col("p_partkey").alias("item"), r2(F.col("p_retailprice") / 100).alias("price"), (F.col("p_size") * 10.0).alias("pack"),
+        (F.pmod("p_partkey", F.lit(10)) * 100 + 300.0).alias("need"),
+    )
+
+
+@query("""WITH o AS (SELECT concat_ws('/', p_brand, p_name) AS item, p_partkey AS store, p_retailprice AS price, p_size / 1000.0::DOUBLE AS kg FROM part),
+w AS (SELECT *, (max(kg) OVER (PARTITION BY item) - min(kg) OVER (PARTITION BY item)) / min(kg) OVER (PARTITION BY item) > 0.2 AS apart FROM o)
+SELECT item, store, CASE WHEN apart AND kg > 0 THEN floor(price / kg * 100 + 0.5::DOUBLE) / 100 ELSE price END AS rank_key FROM w""")
+def packs_similar_rank(t):
+    rows = t("part").select(F.concat_ws("/", "p_brand", "p_name").alias("item"), F.col("p_partkey").alias("store"), F.col("p_retailprice").alias("price"), (F.col("p_size") / 1000).alias("kg"))
+    return basket.unit_rank(rows).select("item", "store", "rank_key")
+
+
+@query("""WITH o AS (SELECT p_brand AS item, p_partkey AS offer_id, CAST(floor(p_size / 5.0::DOUBLE + 0.5::DOUBLE) * 5 AS BIGINT) AS bucket, p_retailprice AS price FROM part),
+b AS (SELECT *, row_number() OVER (PARTITION BY item, bucket ORDER BY price, offer_id) AS r FROM o),
+k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY bucket) AS n FROM b WHERE r = 1)
+SELECT item, bucket, offer_id, price FROM k WHERE n <= 10""")
+def pack_bucket_cheapest(t):
+    return costing.pack_buckets(t("part").select(F.col("p_brand").alias("item"), F.col("p_partkey").alias("offer_id"), F.col("p_size").alias("grams"), F.col("p_retailprice").alias("price")))
+
+
+@query(f"""WITH o AS ({PACKS}), n AS (SELECT *, unnest(range(1, 31)) AS n FROM o),
+i AS (SELECT item, n, row_number() OVER (PARTITION BY item ORDER BY {_r2('price * n')}, abs(n * pack - need), n) AS r
+  FROM n WHERE n BETWEEN ceil(need * 0.9::DOUBLE / pack - 1e-9) AND floor(need * 1.15::DOUBLE / pack + 1e-9)),
+c AS (SELECT o.*, i.n IS NOT NULL AS in_range, coalesce(i.n, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT)) AS packs FROM o LEFT JOIN i ON o.item = i.item AND r = 1)
+SELECT item, in_range, packs, packs * pack AS got, {_r2('price * packs')} AS total FROM c""")
+def needed_weight_plan(t):
+    return _packs(t).select("item", costing.needed_weight(F.col("price"), F.col("pack"), F.col("need")).alias("p")).select("item", "p.*")
+
+
+@query(f"""WITH o AS (SELECT *, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT) AS low FROM ({PACKS})),
+h AS (SELECT *, greatest(low, least(CAST(floor(need * 3 / pack + 1e-9) AS BIGINT), low + 39)) AS high FROM o),
+n AS (SELECT *, unnest(range(low, high + 1)) AS n FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY {_r2(_r2('price * n') + ' / (n * pack)')}, {_r2('price * n')}, n) AS r FROM n)
+SELECT item, n AS packs, n * pack AS got, {_r2('price * n')} AS total FROM r WHERE r = 1""")
+def stock_up_plan(t):
+    return _packs(t).select("item", costing.stock_up(F.col("price"), F.col("pack"), F.col("need"), F.col("need") * 3).alias("p")).select("item", "p.*")
+
+
+@query(f"""WITH o AS (SELECT *, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT) AS n FROM ({PACKS}))
+SELECT item, n AS packs, {_r2('price * n')} AS total, n * pack BETWEEN need * (1 - 15 / 100.0::DOUBLE) - 1e-6 AND need * (1 + 15 / 100.0::DOUBLE) + 1e-6 AS valid FROM o""")
+def checkout_exact_need(t):
+    return _packs(t).select("item", costing.exact_need(F.col("price"), F.col("pack"), F.col("need")).alias("p")).select("item", "p.*")
+
+
+@query(f"""SELECT item, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT) AS packs, {_r2('price / pack * need')} AS loose_total FROM ({PACKS})""")
+def checkout_cover_or_loose(t):
+    cost = costing.loose(F.col("price") / F.col("pack"), F.col("need"))
+    return _packs(t).select("item", packs_needed(F.col("need"), F.col("pack")).alias("packs"), cost["total"].alias("loose_total"))
+
+
+#: Endings that make titles of all kinds out of part names.
+ENDINGS = [" 12 x 1 pint", " bag 2 kg", " loose per kg", " 1.5 kg", " case", " 1 ea", "", " $3.49/100g 250 ml", " 4 x 250 g", " 3 dozen", " 6 pack", " 2 lb 500 g"]
+
+
+def _titles(t) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod("p_partkey", F.lit(len(ENDINGS))) + 1).cast("int"))
+    return t("part").select(F.col("p_partkey").alias("item"), F.concat("p_name", ending).alias("title"), "p_size")
+
+
+TITLES = f"SELECT p_partkey AS item, p_name || {ENDINGS!r}[p_partkey % {len(ENDINGS)} + 1] AS title, p_size FROM part"
+_MASS_SQL = "list_max(list_transform(list_zip(regexp_extract_all(t, '(?:^|[^/$0-9.])([0-9]+(?:\\.[0-9]+)?)\\s*({u})\\b', 1), regexp_extract_all(t, '(?:^|[^/$0-9.])([0-9]+(?:\\.[0-9]+)?)\\s*({u})\\b', 2)), lambda z: CAST(z[1] AS DOUBLE) * {k}))"
+_KG_CASE = "CASE {x} WHEN 'kg' THEN 1.0::DOUBLE WHEN 'l' THEN 1.0::DOUBLE WHEN 'lb' THEN 0.45359237::DOUBLE WHEN 'lbs' THEN 0.45359237::DOUBLE WHEN 'oz' THEN 0.028349523125::DOUBLE ELSE 0.001::DOUBLE END"
+_VOLUME, _MASS = "lbs|kg|lb|oz|ml|g|l", "lbs|kg|lb|oz|g"
+
+
+def _mass_sql(units_: str) -> str:
+    many = f"([0-9]+)\\s*x\\s*([0-9]+(?:\\.[0-9]+)?)\\s*({units_})\\b"
+    single = _MASS_SQL.replace("{u}", units_).replace("{k}", _KG_CASE.replace("{x}", "z[2]"))
+    unit = _KG_CASE.replace("{x}", f"regexp_extract(t, '{many}', 3)")
+    return f"CASE WHEN regexp_matches(t, '{many}') THEN CAST(regexp_extract(t, '{many}', 1) AS DOUBLE) * (CAST(regexp_extract(t, '{many}', 2) AS DOUBLE) * {unit}) ELSE {single} END"
+
+
+@query(f"WITH x AS (SELECT item, lower(title) AS t FROM ({TITLES})) SELECT item, {_mass_sql(_VOLUME)} AS kg_or_litre, {_mass_sql(_MASS)} AS kg FROM x")
+def parse_mass(t):
+    return _titles(t).select("item", units.parse_mass_kg(F.col("title")).alias("kg_or_litre"), units.parse_mass_kg(F.col("title"), volume=False).alias("kg"))
+
+
+@query(rf"""WITH x AS (SELECT item, lower(title) AS t FROM ({TITLES}))
+SELECT item, CASE WHEN regexp_matches(t, '[0-9]+\s*x\s*[0-9]+\s*doz') THEN CAST(regexp_extract(t, '([0-9]+)\s*x\s*([0-9]+)\s*doz', 1) AS BIGINT) * CAST(regexp_extract(t, '([0-9]+)\s*x\s*([0-9]+)\s*doz', 2) AS BIGINT) * 12
+  WHEN regexp_matches(t, '[0-9]+\s*x\s*[0-9]+\s*(ea|ct|pk)\b') THEN CAST(regexp_extract(t, '([0-9]+)\s*x\s*([0-9]+)\s*(ea|ct|pk)\b', 1) AS BIGINT) * CAST(regexp_extract(t, '([0-9]+)\s*x\s*([0-9]+)\s*(ea|ct|pk)\b', 2) AS BIGINT)
+  WHEN regexp_matches(t, '[0-9]+\s*doz') THEN CAST(regexp_extract(t, '([0-9]+)\s*doz', 1) AS BIGINT) * 12 WHEN regexp_matches(t, '\bdozen\b') THEN 12
+  WHEN regexp_matches(t, '[0-9]+\s*(pack|pk|ct|count|ea)\b') THEN CAST(regexp_extract(t, '([0-9]+)\s*(pack|pk|ct|count|ea)\b', 1) AS BIGINT) END AS pieces FROM x""")
+def parse_count_pack(t):
+    return _titles(t).select("item", units.parse_count_pack(F.col("title")).cast("long").alias("pieces"))
+
+
+@query(rf"""WITH x AS (SELECT item, p_size % 2 = 0 AS weighed, lower(title) AS t FROM ({TITLES})), m AS (SELECT *, {_mass_sql(_MASS)} AS kg,
+  regexp_matches(t, '\b(per\s*kg|per\s*lb|loose|bulk|sold\s*by\s*(the\s*)?(kg|lb|weight))\b|/\s*(kg|lb)\b') AS rate FROM x)
+SELECT item, CASE WHEN regexp_matches(t, '\b(cases?|crates?)\b') OR regexp_matches(t, '\b[0-9]+\s*x\s*[0-9]+(\.[0-9]+)?\s*(ea|pk|packs?|pints?|kg|g|lb|lbs|oz|ct|count|doz|dozen|ml|l|lt)\b') THEN 'case'
+  WHEN regexp_matches(t, '\b(packs?|bags?|clamshells?|cartons?|tubs?|jars?|bottles?|pouches?|sleeves?|trays?|baskets?|boxes?|punnets?)\b') OR regexp_matches(t, '\b(1\s*ea|sold in singles|sold in single wrap)\b') OR (coalesce(kg, 0) > 0 AND NOT rate) THEN 'fixed_pack'
+  WHEN rate THEN 'loose_weight' WHEN weighed AND kg IS NULL THEN 'loose_weight' ELSE 'fixed_pack' END AS sale_mode FROM m""")
+def sale_mode_classify(t):
+    return _titles(t).select("item", units.sale_mode(F.col("title"), F.col("p_size") % 2 == 0).alias("sale_mode"))
+
+
+def _names(t) -> DataFrame:
+    return t("part").select(F.col("p_partkey").alias("item"), F.concat("p_name", F.lit(" & Mom's Ripe Tomatoes 500g - Jell-O Mayo, 2% Berries of the Glass Pack")).alias("name"))
+
+
+def _tokens_sql(name: str) -> str:
+    out = f"trim(regexp_replace(regexp_replace(replace(regexp_replace(lower({name}), '[''’]', '', 'g'), 'jell-o', 'jello'), '([0-9]+(?:\\.[0-9]+)?)(kg|g|l|ml|lb|oz|ct)\\b', '\\1 \\2', 'g'), '[^a-z0-9.%]+', ' ', 'g'))"
+    rewritten = out
+    for pattern, to in text.SYNONYMS:
+        rewritten = f"regexp_replace({rewritten}, '{pattern}', '{to}', 'g')"
+    irregular = " ".join(f"WHEN x = '{a}' THEN '{b}'" for a, b in text.PLURALS.items())
+    stem = f"CASE {irregular} WHEN regexp_matches(x, '(ss|us|is)$') THEN x WHEN x LIKE '%ies' AND length(x) > 5 THEN x[:-4] || 'y' WHEN x LIKE '%s' AND length(x) > 3 THEN x[:-2] ELSE x END"
+    stops = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+    return out, f"list_filter(list_transform(string_split({rewritten}, ' '), lambda x: {stem}), lambda x: x <> '' AND x NOT IN ({stops}))"
+
+
+_NAME_SQL, _TOKEN_SQL = _tokens_sql("name")
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS item, p_name || ' & Mom''s Ripe Tomatoes 500g - Jell-O Mayo, 2% Berries of the Glass Pack' AS name FROM part)
+SELECT item, {_NAME_SQL} AS normalized, array_to_string({_TOKEN_SQL}, ' ') AS tokens FROM n""")
+def name_tokens(t):
+    return _names(t).select("item", text.normalize_name(F.col("name")).alias("normalized"), F.array_join(text.name_tokens(F.col("name")), " ").alias("tokens"))
+
+
+def _pairs(t) -> DataFrame:
+    rows = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", text.name_tokens(F.concat_ws(" ", "p_name", F.lower("p_type"))).alias("tokens"))
+    pairs = identity.neighbour_pairs(rows, ["p_name"], ["p_size", "p_partkey"])
+    jac = text.jaccard(F.col("left.tokens"), F.col("right.tokens"))
+    kg = lambda s: F.col(f"{s}.p_size") / 1000
+    none = F.lit(None).cast("long")
+    return pairs.select(
+        F.col("left.p_partkey").alias("left_id"), F.col("right.p_partkey").alias("right_id"), F.col("left.p_size").alias("left_size"), F.col("right.p_size").alias("right_size"),
+        jac.alias("jaccard"), text.brands_match(F.col("left.p_brand"), F.col("right.p_brand")).alias("brand"),
+        units.size_agreement(kg("left"), kg("right"), none, none).alias("size"), (F.col("left.p_type") == F.col("right.p_type")).alias("same"),
+    )
+
+
+_N4 = "floor(({x}) * 10000 + 0.5::DOUBLE) / 10000"
+_PAIRS_SQL = f"""
+n AS (SELECT *, p_name || ' ' || lower(p_type) AS name FROM part), k AS (SELECT p_partkey, p_name, p_type, p_size, p_brand, {_TOKEN_SQL} AS tokens, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) AS r FROM n),
+p AS (SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, a.p_type = b.p_type AS same, a.p_size / 1000.0::DOUBLE AS x, b.p_size / 1000.0::DOUBLE AS y,
+    len(list_intersect(a.tokens, b.tokens)) / CAST(len(list_distinct(list_concat(a.tokens, b.tokens))) AS DOUBLE) AS jaccard,
+    lower(replace(a.p_brand, '#', ' ')) AS u, lower(replace(b.p_brand, '#', ' ')) AS v
+  FROM k a JOIN k b ON a.p_name = b.p_name AND b.r > a.r AND b.r <= a.r + 3),
+c AS (SELECT *, CASE WHEN u = v THEN 'exact' WHEN contains(u, v) OR contains(v, u) THEN 'partial' ELSE 'mismatch' END AS brand,
+    CASE WHEN abs(x - y) / least(x, y) <= 0.12 THEN 'same' WHEN abs(x - y) / least(x, y) <= 0.2 THEN 'close' ELSE 'different' END AS size FROM p)"""
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT left_id, right_id, {_N4.replace('{x}', 'jaccard')} AS jaccard, brand, size FROM c")
+def er_features(t):
+    return _pairs(t).select("left_id", "right_id", (F.floor(F.col("jaccard") * 10000 + 0.5) / 10000).alias("jaccard"), "brand", "size")
+
+
+@query(f"""WITH {_PAIRS_SQL},
+s1 AS (SELECT *, 0.5::DOUBLE * jaccard + CASE brand WHEN 'exact' THEN 0.28::DOUBLE WHEN 'partial' THEN 0.16::DOUBLE ELSE -0.2::DOUBLE END + CASE size WHEN 'same' THEN 0.22::DOUBLE WHEN 'close' THEN 0.1::DOUBLE ELSE 0 END AS a FROM c),
+s2 AS (SELECT *, CASE WHEN size = 'different' THEN least(a, 0.42::DOUBLE) ELSE a END + CASE WHEN same THEN 0.08::DOUBLE ELSE -0.12::DOUBLE END + CASE WHEN brand IN ('exact', 'partial') AND size IN ('same', 'close') THEN 0.08::DOUBLE ELSE 0 END AS b FROM s1),
+s3 AS (SELECT *, least(greatest(CASE WHEN jaccard >= 0.85 AND size <> 'different' AND brand <> 'mismatch' THEN greatest(b, 0.9::DOUBLE) ELSE b END, 0), 1) AS d FROM s2)
+SELECT left_id, right_id, {_N4.replace('{x}', 'd')} AS score, CASE WHEN floor(d * 1000 + 0.5::DOUBLE) / 1000 >= 0.85 THEN 'auto_linked' WHEN floor(d * 1000 + 0.5::DOUBLE) / 1000 >= 0.5 THEN 'needs_review' ELSE 'rejected' END AS decision FROM s3""")
+def er_structured(t):
+    score = identity.structured_score(F.col("jaccard"), F.col("brand"), F.col("size"), F.col("same"))
+    return _pairs(t).withColumn("s", score).select("left_id", "right_id", (F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("score"), identity.decision(F.col("s")).alias("decision"))
+
+
+@query(f"""WITH {_PAIRS_SQL}, w AS (SELECT *, -4.6::DOUBLE + CASE WHEN jaccard >= 0.85 THEN 5 WHEN jaccard >= 0.6 THEN 3 WHEN jaccard >= 0.4 THEN 1 ELSE -3 END + CASE brand WHEN 'exact' THEN 4 WHEN 'partial' THEN 2 ELSE -3 END
+  + CASE size WHEN 'same' THEN 3.5::DOUBLE WHEN 'close' THEN 1 ELSE -5 END + CASE WHEN same THEN 1.5::DOUBLE ELSE -2.5::DOUBLE END AS weight FROM c)
+SELECT left_id, right_id, {_N4.replace('{x}', 'weight')} AS weight, {_N4.replace('{x}', '1 / (1 + pow(2.0::DOUBLE, -weight))')} AS probability FROM w""")
+def er_fellegi_sunter(t):
+    weight = identity.linkage_weight(F.col("jaccard"), F.col("brand"), F.col("size"), F.col("same"))
+    four = lambda c: F.floor(c * 10000 + 0.5) / 10000
+    return _pairs(t).withColumn("w", weight).select("left_id", "right_id", four(F.col("w")).alias("weight"), four(identity.linkage_probability(F.col("w"))).alias("probability"))
+
+
+@query("""WITH r AS (SELECT lang AS kind, n_chars >= 800 AS p, quality = 1 AS s FROM documents JOIN labels USING (doc_id)),
+g AS (SELECT kind, count(*) FILTER (p AND s) AS tp, count(*) FILTER (p AND NOT s) AS fp, count(*) FILTER (NOT p AND NOT s) AS tn, count(*) FILTER (NOT p AND s) AS fn FROM r GROUP BY kind)
+SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE floor(tp / CAST(tp + fp AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 END AS precision, CASE WHEN tp + fn = 0 THEN 1 ELSE floor(tp / CAST(tp + fn AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 END AS recall,
+  CASE WHEN fp + tn = 0 THEN 0 ELSE floor(fp / CAST(fp + tn AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 END AS fpr FROM g""")
+def er_confusion_metrics(t):
+    rows = t("documents").join(t("labels"), "doc_id").select(F.col("lang").alias("kind"), (F.col("n_chars") >= 800).alias("predicted"), (F.col("quality") == 1).alias("expected"))
+    return identity.confusion(rows, "kind")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderpriority AS p, CASE WHEN o_orderkey % 2 = 1 THEN '4' ELSE '' END || (10000000 + o_custkey * 13) AS upc FROM orders)
+SELECT a.id AS left_id, b.id AS right_id FROM o a JOIN o b ON right(a.upc, 8) = right(b.upc, 8) AND (ends_with(a.upc, b.upc) OR ends_with(b.upc, a.upc)) WHERE a.p = '1-URGENT' AND b.p = '2-HIGH'""")
+def upc_suffix_join(t):
+    upc = F.concat(F.when(F.col("o_orderkey") % 2 == 1, "4").otherwise(""), (F.col("o_custkey") * 13 + 10000000).cast("string"))
+    rows = t("orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority", text.normalize_upc(upc).alias("upc"))
+    return identity.upc_join(rows.where("o_orderpriority = '1-URGENT'"), rows.where("o_orderpriority = '2-HIGH'"))
+
+
+@query("SELECT a.o_orderkey AS left_id, b.o_orderkey AS right_id FROM orders a JOIN orders b ON b.o_orderkey BETWEEN a.o_orderkey - 1 AND a.o_orderkey + 1 WHERE a.o_orderstatus = 'P' AND b.o_orderstatus = 'F'")
+def sku_off_by_one_join(t):
+    ids = lambda s: t("orders").where(F.col("o_orderstatus") == s).select(F.col("o_orderkey").alias("id"))
+    return identity.off_by_one_join(ids("P"), ids("F"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS item, p_name AS name, CASE WHEN p_name = 'red bolt' THEN 100 WHEN p_name LIKE 'red bolt%' THEN 80 WHEN contains(p_name, 'red') AND contains(p_name, 'bolt') THEN 60 WHEN contains(p_name, 'red') OR contains(p_name, 'bolt') THEN 20 ELSE 0 END AS score FROM part)
+SELECT item, name, score FROM s WHERE score > 0 ORDER BY score DESC, name, item LIMIT 12""")
+def staple_search_topk(t):
+    name = F.col("p_name")
+    score = F.when(name == "red bolt", 100).when(name.startswith("red bolt"), 80).when(name.contains("red") & name.contains("bolt"), 60).when(name.contains("red") | name.contains("bolt"), 20).otherwise(0)
+    return t("part").select(F.col("p_partkey").alias("item"), name.alias("name"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "name", "item").limit(12)
+
+
+@query("SELECT p_partkey AS item, CASE WHEN p_size > 45 THEN 'too_big' WHEN contains(p_name, 'ring') THEN 'wrong_product' WHEN p_retailprice < 905 THEN 'below_minimum' END AS reason FROM part")
+def filter_reason_first(t):
+    rules = [("too_big", F.col("p_size") > 45), ("wrong_product", F.col("p_name").contains("ring")), ("below_minimum", F.col("p_retailprice") < 905)]
+    return t("part").select(F.col("p_partkey").alias("item"), quality.first_reason(rules).alias("reason"))
+
+
+@query("WITH w AS (SELECT *, bool_or(p_type <> 'ECONOMY') OVER (PARTITION BY p_brand, p_name) AS has FROM part) SELECT p_partkey AS item, p_type AS kind FROM w WHERE p_type <> 'ECONOMY' OR NOT has")
+def keep_if_any(t):
+    rows = t("part").withColumn("k", F.concat_ws("/", "p_brand", "p_name"))
+    return quality.keep_if_any(rows, "k", F.col("p_type") != "ECONOMY").select(F.col("p_partkey").alias("item"), F.col("p_type").alias("kind"))
+
+
+def _agree(a: str, b: str) -> str:
+    return f"coalesce({a} > 0 AND {b} > 0 AND abs({a} - {b}) / least({a}, {b}) <= 0.15, false)"
+
+
+@query(f"""WITH w AS ({WIDE}), f AS (SELECT *, coalesce(s0 > 0 AND item % 3 <> 0 AND item % 10 * 12 <= 72, false) AS fresh FROM w)
+SELECT item, CASE WHEN fresh AND {_agree('s0', 's1')} THEN 'MULTI_SOURCE_CONFIRMED' WHEN fresh AND item % 2 = 0 AND {_agree('s0', 's2')} THEN 'MULTI_SOURCE_CONFIRMED'
+  WHEN fresh THEN 'LIVE_VERIFIED' WHEN s1 > 0 THEN 'RECEIPT_VERIFIED' WHEN s0 > 0 THEN 'ESTIMATED' ELSE 'UNKNOWN' END AS confidence FROM f""")
+def price_confidence(t):
+    c = F.col
+    rung = quality.price_confidence(c("s0"), c("item") % 3 != 0, c("item") % 10 * 12, c("s1"), c("item") % 2 == 0, c("s2"))
+    return promotions(t).select("item", rung.alias("confidence"))
+
+
+@query(f"SELECT event_id, CASE WHEN date_diff('second', date_trunc('second', ts), TIMESTAMP '{AS_OF}') > 259200 THEN 'stale' ELSE 'fresh' END AS status FROM events")
+def staleness_status(t):
+    age = quality.age_hours(F.date_trunc("SECOND", "ts").cast("timestamp_ntz"), AS_OF)
+    return t("events").select("event_id", F.when(age > 72, "stale").otherwise("fresh").alias("status"))
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE WHEN price <= 0 THEN 'rejected' WHEN price < p_retailprice * 0.9::DOUBLE THEN 'wrong_pack' WHEN price > p_retailprice * 2.5::DOUBLE THEN 'rejected' ELSE 'ok' END AS status
+FROM (SELECT *, {PRICE} AS price FROM lineitem) JOIN part ON l_partkey = p_partkey""")
+def plausible_bounds(t):
+    rows = t("lineitem").withColumn("price", r2(F.col("l_extendedprice") / F.col("l_quantity"))).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select("l_orderkey", "l_linenumber", quality.plausible(F.col("price"), F.col("p_retailprice") * 0.9, F.col("p_retailprice") * 2.5).alias("status"))
+
+
+@query("SELECT user_id, ts, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE value IS NOT NULL) WHERE r = 1")
+def last_known_price(t):
+    return quality.latest(t("events"), ["user_id"], ["ts", "event_id"], "value")
+
+
+@query("""WITH w AS (SELECT o_orderpriority AS item, o_orderstatus AS cheaper, count(*) AS n FROM orders GROUP BY ALL)
+SELECT item, CAST(sum(n) AS BIGINT) AS times, string_agg(cheaper || ':' || n, ',' ORDER BY cheaper) AS wins FROM w GROUP BY item ORDER BY times DESC, item LIMIT 20""")
+def history_summary(t):
+    wins = t("orders").groupBy(F.col("o_orderpriority").alias("item"), F.col("o_orderstatus").alias("cheaper")).count()
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cheaper", "count"))), lambda s: F.concat_ws(":", s["cheaper"], s["count"].cast("string"))), ",")
+    return wins.groupBy("item").agg(F.sum("count").alias("times"), text_of.alias("wins")).orderBy(F.desc("times"), "item").limit(20)
+
+
+@query(f"""WITH r AS (SELECT l_suppkey AS store, l_partkey AS upc, {PRICE} AS price, l_returnflag AS name, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, {PRICE} DESC) AS k FROM lineitem),
+m AS (SELECT store, upc, name, row_number() OVER (PARTITION BY store, upc ORDER BY count(*) DESC, name) AS k FROM r GROUP BY store, upc, name)
+SELECT r.store, r.upc, count(*) AS n, max(r.price) FILTER (r.k = 1) AS latest_price, max(m.name) AS name FROM r JOIN m ON r.store = m.store AND r.upc = m.upc AND m.k = 1 GROUP BY r.store, r.upc""")
+def receipt_rollup(t):
+    from larder.operators.receipts import roll_up
+
+    rows = t("lineitem").select(
+        F.col("l_suppkey").alias("store"), F.col("l_partkey").alias("upc"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("at"),
+        r2(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_returnflag").alias("name"),
+    )
+    return roll_up(rows)
+
+
+@query("""WITH b AS (SELECT user_id, event_id % 2 AS src, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 2 DESC, event_id DESC) AS r FROM events)
+SELECT user_id, src, ts, value FROM b WHERE r = 1""")
+def verdict_merge(t):
+    rows = t("events").withColumn("src", F.col("event_id") % 2)
+    return quality.latest(rows, ["user_id"], ["ts", "src", "event_id"], "value").drop("event_id")
+
+
+@query("""SELECT coalesce(p_partkey, s_suppkey) AS item, coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_name END, p_name) AS label, coalesce(CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END AS INT), p_size) AS amount
+FROM part FULL JOIN supplier ON p_partkey = s_suppkey""")
+def override_overlay(t):
+    base = t("part").select(F.col("p_partkey").alias("item"), F.col("p_name").alias("label"), F.col("p_size").alias("amount"))
+    over = t("supplier").select(F.col("s_suppkey").alias("item"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("label"), F.when(F.col("s_suppkey") % 3 == 0, F.col("s_nationkey")).alias("amount"))
+    return quality.overlay(base, over, "item")
+
+
+@query("SELECT event_type, CAST(floor(CAST(json_extract_string(props, '$.k') AS INT) / 10.0::DOUBLE) AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY ALL")
+def taxonomy_json(t):
+    from larder.sources.payloads import json_field
+
+    return t("events").groupBy("event_type", F.floor(json_field(F.col("props"), "$.k", "int") / 10).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS n_scripts, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)[1] AS first_script FROM pages")
+def page_script_extract(t):
+    bodies = text.script_bodies(F.col("html"))
+    return t("pages").select("page_id", F.size(bodies).alias("n_scripts"), F.get(bodies, F.lit(0)).alias("first_script"))
+
+
+@query("SELECT p_partkey AS item FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount = 0.1) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_discount = 0)")
+def semi_anti_shown(t):
+    line = t("lineitem")
+    shown, removed = line.where("l_discount = 0.1D"), line.where("l_returnflag = 'R' and l_discount = 0")
+    parts = t("part").select(F.col("p_partkey").alias("item"))
+    return parts.join(shown, F.col("item") == F.col("l_partkey"), "left_semi").join(removed.select(F.col("l_partkey").alias("k")), F.col("item") == F.col("k"), "left_anti")
+
+
+@query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
+def conversation_log_rollup(t):
+    return t("conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.sum(F.char_length("text")).alias("chars"))
+
+
+@query("SELECT p_partkey AS item, p_size * 453.59237::DOUBLE / 1000 AS kg_of_lb, p_size / 12.0::DOUBLE AS dozens FROM part")
+def convert_units(t):
+    size: Column = F.col("p_size").cast("double")
+    rounded = units.convert(size, F.lit("lb"), F.lit("kg"))
+    return t("part").select(F.col("p_partkey").alias("item"), rounded.alias("kg_of_lb"), units.convert(size, F.lit("ea"), F.lit("dozen")).alias("dozens"))
