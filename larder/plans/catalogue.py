@@ -461,7 +461,7 @@ def taxonomy_json(t):
 @query("SELECT page_id, len(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS n_scripts, regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)[1] AS first_script FROM pages")
 def page_script_extract(t):
     bodies = text.script_bodies(F.col("html"))
-    return t("pages").select("page_id", F.size(bodies).alias("n_scripts"), F.get(bodies, F.lit(0)).alias("first_script"))
+    return t("pages").select("page_id", F.size(bodies).cast("long").alias("n_scripts"), F.get(bodies, F.lit(0)).alias("first_script"))
 
 
 @query("SELECT p_partkey AS item FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_discount = 0.1) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_discount = 0)")
@@ -477,7 +477,7 @@ def conversation_log_rollup(t):
     return t("conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.sum(F.char_length("text")).alias("chars"))
 
 
-@query("SELECT p_partkey AS item, p_size * 453.59237::DOUBLE / 1000 AS kg_of_lb, p_size / 12.0::DOUBLE AS dozens FROM part")
+@query("SELECT p_partkey AS item, p_size * 0.45359237::DOUBLE AS kg_of_lb, p_size / 12.0::DOUBLE AS dozens FROM part")
 def convert_units(t):
     size: Column = F.col("p_size").cast("double")
     rounded = units.convert(size, F.lit("lb"), F.lit("kg"))
