@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +39,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose `key`, a long of 0 or more, is in the column `row` of wanted, without a shuffle of rows.
+
+    The wanted ids travel as a broadcast bitmap: about one bit for each row numbered by one_of_each.
+    """
+    bits = wanted.groupBy(F.shiftright("row", 15).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("row").bitwiseAND(F.lit(32767))).alias("__bits"))
+    at = F.col(key).bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("__bucket", F.shiftright(key, 15)).join(F.broadcast(bits), "__bucket")
+    return joined.where(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1).select(rows.columns)
+
+
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Exactly one row of each group, with all its columns: the one of the smallest doc_id, a null id last.
+
+    groups: makes (row, component) of (row, text). Among equal doc_ids, null ones too, any
+    one row stays; rows are numbered for this and materialised, so repeated rows are told apart.
+    """
+    where = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(where)
+    rows = docs.sparkSession.read.parquet(where)
+    named = groups(rows.select(F.col("__row").alias("row"), "text"))
+    ids = rows.select(F.col("__row").alias("row"), "doc_id").join(named, "row")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
+    return only(rows, "__row", first.select("first.row")).select(docs.columns)
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One star operation over edges (u, v) with u > v: every node's chosen neighbours point at its smallest one."""
     if large:

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from larder.llm import chat, jpeg, license_scan, media, mixing, packing, pulearn, revisit, search, simhash, suffix
+import corpus_pipeline
+from larder.llm import chat, jaccard, jpeg, license_scan, media, mixing, packing, pulearn, revisit, search, simhash, suffix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -154,6 +155,43 @@ def test_simhash_links_lose_no_pair(spark, cell):
     assert {f: find(f) for f in fps} == want
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("share", [1 / 512, 0])
+def test_similar_texts_against_all_pairs(spark, share, monkeypatch):
+    monkeypatch.setattr(jaccard, "FREQUENT", share)
+    r = random.Random(11)
+    notice = rng_text(r, 30)
+    texts = [None, "", " \n", "a b", "A  b", "a b c"]
+    for _ in range(25):
+        words = rng_text(r, r.randrange(8, 200)).split()
+        texts.append(" ".join(words) + r.choice(["", " " + notice]))
+        for _ in range(4):
+            changed = list(words)
+            for _ in range(r.randrange(0, 1 + len(words) // 25)):
+                changed[r.randrange(len(changed))] = "changed" + str(r.randrange(10**6))
+            texts.append(" ".join(changed[: len(changed) - r.randrange(0, 1 + len(words) // 12)]) + r.choice(["", " " + notice]))
+    r.shuffle(texts)
+    sets = [five_words(t) for t in texts]
+    root, linked = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] | sets[j])
+            if not both or len(sets[i] & sets[j]) / both >= 0.8:
+                linked += 0 < len(sets[i] & sets[j]) < both
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert linked > 20 and len(set(root)) < len(texts) - 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = jaccard.similar(docs.withColumnRenamed("doc_id", "row"))
+    assert {r.row: r.component for r in found.collect()} == dict(enumerate(root))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
+    assert jaccard.keep_one(empty(spark)).count() == 0
+
+
 def test_media_round_trip(spark, rows, docs):
     stored = media.encode(docs).cache()
     got = {r.doc_id: r for r in media.digest(stored).collect()}
