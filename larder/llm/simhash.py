@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import components, cut, partitions
+from larder.llm.common import components, cut, one_of_each, partitions
 
 SEED = 42
 HOT = 4096
@@ -252,6 +252,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, count: i
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the smallest of their near-duplicate group, with all their columns."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Exactly one row, with all its columns, of each group of near_duplicates; see one_of_each.
+
+    It is the one of the smallest doc_id, a null id last: a document with a null id and
+    without a near copy stays, and of repeated rows of one doc_id one stays.
+    """
+
+    def groups(rows: DataFrame) -> DataFrame:
+        return near_duplicates(rows.withColumnRenamed("row", "doc_id"), **options).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+
+    return one_of_each(docs, groups)

@@ -192,6 +192,16 @@ def test_similar_texts_against_all_pairs(spark, share, monkeypatch):
     assert jaccard.keep_one(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, jaccard.keep_one])
+def test_one_row_of_each_group_stays(spark, keep):
+    r = random.Random(4)
+    a, b, c, d = (rng_text(r, 40) for _ in range(4))
+    rows = [(None, a, 1), (2, b, 1), (2, b, 1), (2, b, 2), (None, c, 1), (None, c, 1), (7, d, 1), (None, d, 1), (5, d, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = [(x.doc_id, x.text) for x in keep(docs).collect()]
+    assert len(kept) == 4 and set(kept) == {(None, a), (2, b), (None, c), (5, d)}
+
+
 def test_media_round_trip(spark, rows, docs):
     stored = media.encode(docs).cache()
     got = {r.doc_id: r for r in media.digest(stored).collect()}
