@@ -179,7 +179,10 @@ def encode_payloads(payloads: list[bytes], sizes: list[int]) -> list[bytes]:
 
 @dataclass
 class _File:
-    """What the markers of one file say; scans: (component, low, high, ah, al, dc table, ac table, data)."""
+    """What the markers of one file say; scans: (component, low, high, ah, al, dc table, ac table, data).
+
+    In an interleaved DC scan component and dc table are tuples over its components.
+    """
 
     width: int = 0
     height: int = 0
@@ -195,11 +198,15 @@ _NEXT = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
 
 def parse(raw: bytes) -> _File:
-    """Reads the markers; raises ValueError on what is no progressive file of single-component scans."""
+    """Reads the markers; raises an error on what is no progressive file."""
     out, at, tables = _File(), 2, {}
     if raw[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     while True:
+        if raw[at] != 0xFF:
+            raise ValueError("no marker")
+        while raw[at + 1] == 0xFF:
+            at += 1
         marker = raw[at + 1]
         if marker == 0xD9:
             return out
@@ -209,9 +216,15 @@ def parse(raw: bytes) -> _File:
         if marker == 0xFE and len(body) == 16:
             out.n_bytes, out.payload_bytes = struct.unpack(">QQ", body)
         elif marker == 0xDB:
-            out.quant[body[0] & 15] = np.frombuffer(body, np.uint8, 64, 1).astype(np.int64)
+            while body:
+                kind, size = (">u2", 128) if body[0] >> 4 else ("u1", 64)
+                out.quant[body[0] & 15] = np.frombuffer(body, kind, 64, 1).astype(np.int64)
+                body = body[1 + size :]
         elif marker == 0xC4:
-            tables[body[0]] = body[1:]
+            while body:
+                size = 17 + sum(body[1:17])
+                tables[body[0]] = body[1:size]
+                body = body[size:]
         elif marker == 0xDD:
             (out.restart,) = struct.unpack(">H", body)
         elif marker == 0xC2:
@@ -220,10 +233,18 @@ def parse(raw: bytes) -> _File:
         elif 0xC0 <= marker <= 0xCF:
             raise ValueError("not a progressive file")
         elif marker == 0xDA:
-            if body[0] != 1:
-                raise ValueError("interleaved scan")
             stop = _NEXT.search(raw, at).start()
-            which = [c[0] for c in out.components].index(body[1])
+            names = [c[0] for c in out.components]
+            if (n := body[0]) != 1:
+                which = tuple(names.index(body[1 + 2 * i]) for i in range(n))
+                low, high, bits = body[1 + 2 * n : 4 + 2 * n]
+                if low or high:
+                    raise ValueError("interleaved scan of AC coefficients")
+                dc = tuple(tables.get(body[2 + 2 * i] >> 4) for i in range(n))
+                out.scans.append((which, 0, 0, bits >> 4, bits & 15, dc, None, raw[at:stop]))
+                at = stop
+                continue
+            which = names.index(body[1])
             out.scans.append((which, body[3], body[4], body[5] >> 4, body[5] & 15, tables.get(body[2] >> 4), tables.get(0x10 | body[2] & 15), raw[at:stop]))
             at = stop
 
@@ -296,6 +317,23 @@ class _Lanes:
             out[self.first[lane] + b, 0] = predicted[lane] << al
             pos[lane] = p + n
 
+    def dc_interleaved(self, out: np.ndarray, al: int, tables: list[tuple], pattern: list[int]) -> None:
+        """dc_first over units whose blocks belong to the components of `pattern`, each with its own table and prediction."""
+        pos, lane = self.pos.copy(), np.arange(len(self.pos))
+        predicted = np.zeros((len(tables), len(pos)), np.int64)
+        for b in range(int(self.held.max(initial=0))):
+            c = pattern[b % len(pattern)]
+            symbol, length = tables[c][:2]
+            lane = lane[self.held[lane] > b]
+            p = pos[lane]
+            x = self.peek(p)
+            n = symbol[x]
+            p = p + length[x]
+            v = self.take(p, n)
+            predicted[c, lane] += np.where((n > 0) & (v < (1 << np.maximum(n - 1, 0))), v - (1 << n) + 1, v)
+            out[self.first[lane] + b, 0] = predicted[c, lane] << al
+            pos[lane] = p + n
+
     def dc_refine(self, out: np.ndarray, al: int) -> None:
         block = np.repeat(self.first, self.held) + (inner := np.arange(int(self.held.sum())) - np.repeat(np.cumsum(self.held) - self.held, self.held))
         out[block, 0] |= self.bits[np.repeat(self.pos, self.held) + inner].astype(out.dtype) << al
@@ -423,6 +461,26 @@ class Image:
         return (np.concatenate(self.coefficients).ravel() - 2).astype(np.uint8).tobytes()[: self.header.payload_bytes]
 
 
+def _units(header: _File, which: tuple[int, ...]) -> tuple[int, list[int], list[tuple[np.ndarray, np.ndarray]]]:
+    """Number of units of an interleaved scan, the component (place in `which`) of each block of a unit, and
+    for each component (places in the scan, its blocks); blocks that only fill up a unit are left out."""
+    across, down = (max(x[i] for x in header.components) for i in (1, 2))
+    wide, high = -(-header.width // (8 * across)), -(-header.height // (8 * down))
+    pattern = [i for i, c in enumerate(which) for _ in range(header.components[c][1] * header.components[c][2])]
+    unit, maps, before = np.arange(wide * high), [], 0
+    for c in which:
+        _, hs, vs, _ = header.components[c]
+        columns, rows = -(-header.width * hs // (8 * across)), -(-header.height * vs // (8 * down))
+        inner = np.arange(hs * vs)
+        x = (unit[:, None] % wide * hs + inner % hs).ravel()
+        y = (unit[:, None] // wide * vs + inner // hs).ravel()
+        place = (unit[:, None] * len(pattern) + before + inner).ravel()
+        inside = (x < columns) & (y < rows)
+        maps.append((place[inside], (y * columns + x)[inside]))
+        before += hs * vs
+    return wide * high, pattern, maps
+
+
 def decode_files(files: list[bytes]) -> list[Image]:
     """Accumulates the scans of all files into coefficient arrays."""
     headers = [parse(f) for f in files]
@@ -445,8 +503,23 @@ def decode_files(files: list[bytes]) -> list[Image]:
         alike: dict[tuple, list[int]] = {}
         for i, h in enumerate(headers):
             if turn < len(h.scans):
-                alike.setdefault((*h.scans[turn][:7], h.restart), []).append(i)
-        for (c, low, high, ah, al, dc, ac, restart), which in alike.items():
+                shape = tuple(x[1:3] for x in h.components) if isinstance(h.scans[turn][0], tuple) else ()
+                alike.setdefault((*h.scans[turn][:7], h.restart, shape), []).append(i)
+        for (c, low, high, ah, al, dc, ac, restart, _), which in alike.items():
+            if isinstance(c, tuple):
+                made = [_units(headers[i], c) for i in which]
+                blocks, pattern = [m[0] * len(m[1]) for m in made], made[0][1]
+                begins = np.cumsum(blocks) - blocks
+                lanes = _Lanes([headers[i].scans[turn][7] for i in which], blocks, begins.tolist(), restart * len(pattern))
+                held = np.zeros((sum(blocks), 1), np.int32)
+                if ah:
+                    lanes.dc_refine(held, al)
+                else:
+                    lanes.dc_interleaved(held, al, [known.setdefault(t, _lookup(t)) for t in dc], pattern)
+                for i, begin, (_, _, maps) in zip(which, begins, made):
+                    for own, (place, block) in zip(c, maps):
+                        frames[own][offsets[own][i] + block, 0] |= held[begin + place, 0]
+                continue
             lanes = _Lanes([headers[i].scans[turn][7] for i in which], [counts[c][i] for i in which], [offsets[c][i] for i in which], restart)
             raw = dc if low == 0 else ac
             table = known.setdefault(raw, _lookup(raw)) if raw not in known and raw is not None else known.get(raw)
@@ -459,6 +532,14 @@ def decode_files(files: list[bytes]) -> list[Image]:
     ]
 
 
+def read_files(files: list[bytes]) -> list[tuple[Image, np.ndarray] | None]:
+    """Image and tensor of each file, None for one that cannot be decoded; the others of the list do not suffer."""
+    try:
+        return [(i, rgb(i)) for i in decode_files(files)]
+    except (ValueError, LookupError, TypeError, AttributeError, ArithmeticError, MemoryError, struct.error):
+        return [None] if len(files) == 1 else [read_files([f])[0] for f in files]
+
+
 def _basis() -> np.ndarray:
     """The inverse transform of a zigzag block as integers scaled by 2**20: exact in float64 whatever the order of the sums."""
     x, u = np.arange(8)[:, None], np.arange(8)[None, :]

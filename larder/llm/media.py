@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from larder.llm.jpeg import decode_files, encode_payloads, rgb
+from larder.llm.jpeg import encode_payloads, read_files
 
 BLOCK = 64
 GROUP_BYTES = 1 << 20
@@ -53,19 +53,20 @@ def tensors(media: DataFrame) -> DataFrame:
     """(doc_id, height, width, rgb, payload) of media files (doc_id, media).
 
     rgb: the bytes of the full-resolution tensor in the order row, column, channel.
-    Files must be progressive with single-component scans; others and nulls raise.
+    Files are progressive JPEGs of one or three components, scans interleaved or not; all four are
+    null for a null and for what cannot be decoded, other kinds of JPEG too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, files in _groups(batch.column(1)):
-                images = decode_files(files)
-                pixels = [rgb(i) for i in images]
+                made = read_files(files)
+                pixels = [m and m[1] for m in made]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, len(files)), pa.array([p.shape[0] for p in pixels], pa.int32()),
-                        pa.array([p.shape[1] for p in pixels], pa.int32()), pa.array([p.tobytes() for p in pixels], pa.binary()),
-                        pa.array([i.payload() for i in images], pa.binary()),
+                        batch.column(0).slice(first, len(files)), pa.array([None if p is None else p.shape[0] for p in pixels], pa.int32()),
+                        pa.array([None if p is None else p.shape[1] for p in pixels], pa.int32()), pa.array([None if p is None else p.tobytes() for p in pixels], pa.binary()),
+                        pa.array([m and m[0].payload() for m in made], pa.binary()),
                     ],
                     names=["doc_id", "height", "width", "rgb", "payload"],
                 )
@@ -82,22 +83,26 @@ def feature(pixels: np.ndarray) -> str:
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """Reads the stored files back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """Reads the stored files back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    Of a file that cannot be decoded all but doc_id, media_bytes and media_sha256 are null, of a null these two as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, files in _groups(batch.column(1)):
-                images = decode_files(files)
-                payloads = [i.payload() for i in images]
+                read = read_files(files)
+                payloads = [m and m[0].payload() for m in read]
+                there = batch.column(1).slice(first, len(files)).is_valid().to_pylist()
                 made = {
                     "doc_id": batch.column(0).slice(first, len(files)),
-                    "n_bytes": pa.array([i.header.n_bytes for i in images], pa.int64()),
-                    "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
-                    "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads]),
-                    "tail_crc32": pa.array([zlib.crc32(p[-BLOCK:]) for p in payloads], pa.int64()),
-                    "media_bytes": pa.array([len(f) for f in files], pa.int64()),
-                    "media_sha256": pa.array([hashlib.sha256(f).hexdigest() for f in files]),
-                    "feature": pa.array([feature(rgb(i)) for i in images]),
+                    "n_bytes": pa.array([m and m[0].header.n_bytes for m in read], pa.int64()),
+                    "payload_bytes": pa.array([None if p is None else len(p) for p in payloads], pa.int64()),
+                    "payload_sha256": pa.array([None if p is None else hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
+                    "tail_crc32": pa.array([None if p is None else zlib.crc32(p[-BLOCK:]) for p in payloads], pa.int64()),
+                    "media_bytes": pa.array([len(f) if ok else None for f, ok in zip(files, there)], pa.int64()),
+                    "media_sha256": pa.array([hashlib.sha256(f).hexdigest() if ok else None for f, ok in zip(files, there)], pa.string()),
+                    "feature": pa.array([m and feature(m[1]) for m in read], pa.string()),
                 }
                 yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 

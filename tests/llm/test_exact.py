@@ -215,6 +215,44 @@ def test_media_round_trip(spark, rows, docs):
     assert media.digest(media.encode(empty(spark))).count() == 0
 
 
+def interleaved_file(dc, width, height):
+    """A 4:2:0 file of flat blocks: one DC scan over all components, then its lowest bit; two tables in each segment."""
+    code = bytes([0, 0, 0, 12] + [0] * 12) + bytes(range(12))
+    part = lambda m, b: bytes([0xFF, m]) + (len(b) + 2).to_bytes(2, "big") + b
+    first, second, last = "", "", [0, 0, 0]
+    for my in range(-(-height // 16)):
+        for mx in range(-(-width // 16)):
+            for c, s in ((0, 2), (1, 1), (2, 1)):
+                for y in range(my * s, my * s + s):
+                    for x in range(mx * s, mx * s + s):
+                        v = dc(c, y, x)
+                        d, last[c] = (v >> 1) - last[c], v >> 1
+                        n = abs(d).bit_length()
+                        first += f"{n:04b}" + (f"{d if d > 0 else d + (1 << n) - 1:0{n}b}" if n else "")
+                        second += str(v & 1)
+    packed = lambda b: int(b + "1" * (-len(b) % 8), 2).to_bytes(-(-len(b) // 8), "big").replace(b"\xff", b"\xff\x00")
+    frame = part(0xC2, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 1, 3, 0x11, 1]))
+    scan = lambda bits: part(0xDA, bytes([3, 1, 0, 2, 0x10, 3, 0x10, 0, 0, bits]))
+    tables = part(0xDB, b"\0" + bytes([8] * 64) + b"\1" + bytes([16] * 64)) + part(0xC4, b"\0" + code + b"\1" + code)
+    return b"\xff\xd8" + tables + frame + scan(1) + packed(first) + scan(0x10) + packed(second) + b"\xff\xd9"
+
+
+def test_media_interleaved_null_and_bad(spark):
+    dc = lambda c, y, x: (y * 7 + x * 3) % 90 - 40 if c == 0 else 0
+    file = interleaved_file(dc, 40, 20)
+    own = media.encode(spark.createDataFrame([(0, "some text")], "doc_id long, text string")).first().media
+    rows = [(1, file), (2, None), (3, b"no file"), (4, file[: len(file) // 2]), (5, bytes(own)), (6, b"")]
+    stored = spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)
+    got = {r.doc_id: r for r in media.tensors(stored).collect()}
+    assert (got[1].height, got[1].width) == (20, 40)
+    pixels = np.frombuffer(got[1].rgb, np.uint8).reshape(20, 40, 3)
+    want = [[dc(0, y // 8, x // 8) + 128 for x in range(40)] for y in range(20)]
+    assert (pixels == np.array(want)[:, :, None]).all()
+    assert all(got[i][1:] == (None,) * 4 for i in (2, 3, 4, 6)) and got[5].payload.startswith(b"some text")
+    said = {r.doc_id: r for r in media.digest(stored).collect()}
+    assert said[2][1:] == (None,) * 7 and said[3].media_bytes == 7 and said[3].feature is None and said[5].n_bytes == 9
+
+
 def test_jpeg_inverse_transform_by_definition():
     r = np.random.default_rng(1)
     block = np.zeros((8, 8))
