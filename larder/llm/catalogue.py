@@ -47,7 +47,8 @@ def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    pair = F.array(*[F.struct(F.lit(-1), F.lit(i), F.lit(role), F.lit(said)) for i, role in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.inline(pair).alias(*turns.columns))
     return chat.digest(turns.unionByName(extra))
 
 

@@ -23,16 +23,17 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("<\\|"), F.lit("<|")), F.lit("\\\\"), F.lit("\\"))
 
 
-def _merged(turns: Column) -> Column:
-    """Sorted turns as array<struct<role, parts>>, adjacent turns of one role in one element."""
+def _merged(turns: Column, starts: Column) -> Column:
+    """array<struct<role, parts>> of sorted turns: the turns from each start to the next in one element."""
+    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(turns)))
+    return F.zip_with(
+        starts, ends, lambda a, b: F.struct(F.get(turns, a)["role"].alias("role"), F.transform(F.slice(turns, a + 1, b - a), lambda t: t["text"]).alias("parts"))
+    )
 
-    def step(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        alone = F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("parts")))
-        grown = F.array(F.struct(last["role"].alias("role"), F.concat(last["parts"], F.array(t["text"])).alias("parts")))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["role"] == t["role"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), grown)).otherwise(F.concat(done, alone))
 
-    return F.aggregate(turns, F.expr("cast(array() as array<struct<role:string,parts:array<string>>>)"), step)
+def _starts(turns: Column) -> Column:
+    """Where a turn has another role than the one before it; the time is linear in the turns."""
+    return F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"]))
 
 
 def _pieces(blocks: Column) -> Column:
@@ -75,7 +76,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return (
         turns.select("conv_id", F.struct("turn", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text")).alias("t"))
         .groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-        .select("conv_id", _merged(F.col("turns")).alias("blocks"))
+        .select("conv_id", "turns", _starts(F.col("turns")).alias("starts"))
+        .select("conv_id", _merged(F.col("turns"), F.col("starts")).alias("blocks"))
         .select("conv_id", _pieces(F.col("blocks")).alias("pieces"))
         .select("conv_id", F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"), spans.alias("loss_spans"))
     )

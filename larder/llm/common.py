@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset and all tasks run on this machine (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = current or tempfile.mkdtemp(prefix="larder-checkpoint-")
         if not current:
             spark.sparkContext.setCheckpointDir(where)

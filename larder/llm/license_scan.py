@@ -56,7 +56,7 @@ def words_of(text: Column) -> Column:
 
 def bigrams(words: Column) -> Column:
     """The distinct pairs of neighbouring words."""
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
 
 
 def _python_words(text: str) -> list[str]:
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
 
         by_line = F.transform("lines", lambda words, i: compared(words, i + 1))
         starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), t["stride"])
-        windows = F.transform(starts, lambda a: compared(F.slice("words", a + 1, t["w"]), F.element_at("line_of", a + 1)))
+        windows = F.transform(starts, lambda a: compared(F.slice("words", a + 1, t["w"]), F.get("line_of", a)))
         return F.array_max(F.concat(by_line, F.array(compared(F.col("words"), F.lit(0))), windows))
 
     rows = docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of).alias("lines"))

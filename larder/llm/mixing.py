@@ -54,48 +54,56 @@ def targets(sizes: dict[str | None, int], share: float = 1.5, most: float = 2.0,
 
 
 class _Network:
-    """Successive shortest paths over a small directed network with costs."""
+    """Greatest flows over a small directed network, by blocking flows along shortest paths."""
 
     def __init__(self, n: int):
         self.out: list[list[int]] = [[] for _ in range(n)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[float] = []
 
-    def add(self, a: int, b: int, room: int, cost: float = 0) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+    def add(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
             self.out[x].append(len(self.to))
             self.to.append(y)
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
+    def _levels(self, s: int) -> list[int]:
+        far = [-1] * len(self.out)
+        far[s], queue = 0, deque([s])
+        while queue:
+            a = queue.popleft()
+            for e in self.out[a]:
+                if self.room[e] > 0 and far[self.to[e]] < 0:
+                    far[self.to[e]] = far[a] + 1
+                    queue.append(self.to[e])
+        return far
+
     def send(self, s: int, t: int) -> None:
-        """Sends as much as possible from s to t at the least cost."""
-        n = len(self.out)
-        while True:
-            far, via, queued = [float("inf")] * n, [-1] * n, [False] * n
-            far[s], queue = 0, deque([s])
-            while queue:
-                a = queue.popleft()
-                queued[a] = False
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.room[e] > 0 and far[a] + self.cost[e] < far[b] - 1e-12:
-                        far[b], via[b] = far[a] + self.cost[e], e
-                        if not queued[b]:
-                            queued[b] = True
-                            queue.append(b)
-            if via[t] < 0:
-                return
-            path, at = [], t
-            while at != s:
-                path.append(via[at])
-                at = self.to[via[at] ^ 1]
-            most = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= most
-                self.room[e ^ 1] += most
+        """Sends as much more as possible from s to t."""
+        while (far := self._levels(s))[t] >= 0:
+            turn, path, at = [0] * len(self.out), [], s
+            while True:
+                if at == t:
+                    most = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= most
+                        self.room[e ^ 1] += most
+                    path, at = [], s
+                    continue
+                while turn[at] < len(self.out[at]):
+                    e = self.out[at][turn[at]]
+                    if self.room[e] > 0 and far[self.to[e]] == far[at] + 1:
+                        break
+                    turn[at] += 1
+                if turn[at] < len(self.out[at]):
+                    path.append(e)
+                    at = self.to[e]
+                elif at == s:
+                    break
+                else:
+                    at = self.to[path.pop() ^ 1]
+                    turn[at] += 1
 
 
 def route(patterns: list[tuple[tuple, int]], quotas: dict, costs: tuple = (0.0, 1.0)) -> list[dict]:
@@ -103,18 +111,22 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, costs: tuple = (0.0,
 
     patterns: (sources, words); costs: of the first, second, ... repetition of a
     pattern's words, growing; their number is the most repetitions.
+
+    Costs lie on the edges into the patterns alone, so a shortest path costs what its first
+    edge does: the capacity of each repetition is opened in turn and filled as far as it goes.
     """
     names = list(quotas)
     at = {s: 2 + len(patterns) + i for i, s in enumerate(names)}
     net = _Network(2 + len(patterns) + len(names))
     edges: list[dict] = []
     for i, (sources, words) in enumerate(patterns):
-        for cost in costs:
-            net.add(0, 2 + i, words, cost)
         edges.append({s: net.add(2 + i, at[s], words * len(costs)) for s in sources})
     for s in names:
         net.add(at[s], 1, int(round(quotas[s])))
-    net.send(0, 1)
+    for _ in sorted(costs):
+        for i, (_, words) in enumerate(patterns):
+            net.add(0, 2 + i, words)
+        net.send(0, 1)
     return [{s: net.room[e ^ 1] for s, e in own.items()} for own in edges]
 
 
@@ -144,7 +156,7 @@ def _seeded(df: DataFrame, seed: int) -> DataFrame:
 def plan(sized: DataFrame, seed: int = 7, costs: tuple = (0.0, 1.0)) -> Plan:
     """sized: checkpointed rows (_sources, _pattern, _size, _draw, _bucket)."""
     found = (
-        sized.groupBy("_pattern").agg(F.sum("_size").alias("words"), F.first("_sources").alias("sources"))
+        sized.groupBy("_pattern").agg(F.sum("_size").alias("words"), F.min(F.array_sort(F.array_distinct("_sources"))).alias("sources"))
         .limit(MAX_PATTERNS + 1).collect()
     )
     if len(found) > MAX_PATTERNS:
@@ -231,10 +243,10 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = 7) -> DataFr
 
 def apply_mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mixed documents with all their columns, repeated documents as repeated rows; the part at a cut is rounded to a whole copy or none."""
-    columns = docs.columns
-    seeded = _seeded(docs.withColumn("_sources", F.array("source")), seed)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", F.array("source").alias("_sources"))
+    seeded = _seeded(rows, seed)
     made = plan(cut(seeded.select("_sources", "_pattern", "_size", "_draw", "_bucket")), seed)
     return (
         _decided(seeded, made).where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
     )

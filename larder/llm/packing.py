@@ -2,8 +2,8 @@
 
 The documents of a partition are one stream of tokens in the order in which the
 partition holds them. Windows of at most `size` tokens are cut from it at
-document ends (free), sentence ends (a penalty) or, inside sentences longer than
-`stride`, at every `stride` tokens (a larger penalty). With f(j) the least cost
+document ends (free), sentence ends (a penalty) or, only inside a sentence longer than
+a window, at every `stride` tokens (a larger penalty). With f(j) the least cost
 of a cut at candidate j,
 
     f(j) = penalty(j) + min over i with c(j) - c(i) <= size of f(i) + size - (c(j) - c(i)),
@@ -65,6 +65,7 @@ class WordTokenizer:
     """
 
     MARKS = b".,!?;:"
+    PROBES = ("The cat's 2nd  garden, seen!\nNext LINE: caf\u00e9 \u00d1and\u00fa 1,000.", "x_y.z <b> 'tis \u00dfa \u4e2d\u6587 don't...")
     SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
     _kept: dict[str, WordTokenizer] = {}
 
@@ -88,7 +89,11 @@ class WordTokenizer:
     @classmethod
     def of_worker(cls, path: str) -> WordTokenizer:
         if path not in cls._kept:
-            cls._kept[path] = cls(path)
+            made = cls(path)
+            for text in cls.PROBES:
+                if next(made.encode([text.encode()]))[0].tolist() != made.inner.encode(text, add_special_tokens=False).ids:
+                    raise ValueError(f"{path}: the tokeniser of words is not exact for this vocabulary")
+            cls._kept[path] = made
         return cls._kept[path]
 
     def _forget(self) -> None:
@@ -200,10 +205,10 @@ def cuts(at: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     return out[::-1]
 
 
-def candidates(ends: np.ndarray, kinds: np.ndarray, stride: int, penalties: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Growing cut positions and their penalties: document ends (kind 0), sentence ends (1), and every `stride` tokens in a longer gap (2)."""
+def candidates(ends: np.ndarray, kinds: np.ndarray, size: int, stride: int, penalties: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Growing cut positions and their penalties: document ends (kind 0), sentence ends (1), and every `stride` tokens in a gap of more than `size` (2)."""
     gaps = np.diff(ends, prepend=0)
-    more = np.maximum(0, (gaps - 1) // stride)
+    more = np.where(gaps > size, (gaps - 1) // stride, 0)
     if more.any():
         first = np.repeat(ends - gaps, more)
         step = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
@@ -241,7 +246,7 @@ class _Stream:
         inner = np.setdiff1d(inner, doc_ends)
         where = np.concatenate([doc_ends, inner])
         order = np.argsort(where, kind="stable")
-        at, penalty = candidates(where[order], (order >= len(doc_ends)).astype(int), self.stride, self.penalties)
+        at, penalty = candidates(where[order], (order >= len(doc_ends)).astype(int), self.size, self.stride, self.penalties)
         chosen = at[cuts(at, penalty, self.size)]
         if last:
             begin = int(chosen[-2]) if len(chosen) > 1 else 0
@@ -288,10 +293,11 @@ class _Stream:
 
 
 def _pack_batches(
-    batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, stride: int, penalties: tuple[int, int, int], block: int, kind: pa.DataType
+    batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, stride: int, penalties: tuple[int, int, int], block: int
 ) -> Iterator[pa.RecordBatch]:
     tokenizer = WordTokenizer.of_worker(vocabulary)
     stream = _Stream(size, stride, penalties, TaskContext.get().partitionId() << 40)
+    kind = pa.null()
 
     def made(last: bool) -> Iterator[pa.RecordBatch]:
         if out := stream.cut(last):
@@ -300,6 +306,7 @@ def _pack_batches(
             )
 
     for batch in batches:
+        kind = batch.column(0).type
         names, texts, chunk, held = batch.column(0).to_pylist(), batch.column(1), [], 0
         first = 0
         for i in range(len(names) + 1):
@@ -321,7 +328,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
-    docs: doc_id and text; other columns are ignored. A document is its tokens and
+    docs: doc_id, of any type, and text; other columns are ignored. A document is its tokens and
     then the id 1. Documents keep the order in which the table's partitions hold
     them; nothing is shuffled. Cuts are best within blocks of about `block` tokens,
     across which the last window goes on. A partition's last window is padded to
@@ -331,7 +338,6 @@ def pack(
     """
     vocabulary = vocabulary or default_vocabulary()
     name = docs.schema["doc_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
     return docs.select("doc_id", "text").mapInArrow(
-        lambda it: _pack_batches(it, vocabulary, size, stride, penalties, block, kind), f"doc_id {name}, {SCHEMA}"
+        lambda it: _pack_batches(it, vocabulary, size, stride, penalties, block), f"doc_id {name}, {SCHEMA}"
     )

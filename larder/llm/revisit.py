@@ -32,59 +32,62 @@ def canonical_url(url: Column) -> Column:
 
 
 def merged_headers(stored: Column, update: Column) -> Column:
-    """The stored fields, overlaid by those of the 304 that it may update; names in lower case."""
-    low = lambda m: F.transform_keys(m, lambda k, v: F.lower(k))
-    allowed = F.map_filter(low(update), lambda k, v: ~k.isin(KEPT_FIELDS))
-    kept = F.map_filter(low(stored), lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
+    """The stored fields, overlaid by those of the 304 that it may update; names in lower case (see lower_names)."""
+    allowed = F.map_filter(update, lambda k, v: ~k.isin(KEPT_FIELDS))
+    kept = F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
     return F.map_concat(kept, allowed)
 
 
-def _field(headers: Column, name: str) -> Column:
-    return F.get(F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == name), F.lit(0))["value"]
+def lower_names(headers: Column) -> Column:
+    """The headers with names in lower case; of names that differ in case alone the last in the map counts."""
+    entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    last = F.aggregate(
+        F.reverse(entries), F.slice(entries, F.lit(1), F.lit(0)),
+        lambda kept, e: F.when(F.exists(kept, lambda k: k["key"] == e["key"]), kept).otherwise(F.concat(kept, F.array(e))),
+    )
+    return F.map_from_entries(last)
 
 
 def resolve(captures: DataFrame, bucket: int = BUCKET_SECONDS) -> DataFrame:
     """One row per revisit: record_id, canonical_url, ts, resolution, target_id, payload_digest, headers.
 
     captures: record_id, url, ts (seconds), kind ('response' or 'revisit'), headers
-    (a map whose names differ when lower-cased) and payload_digest; other columns are
-    ignored. Earlier means a smaller (ts, record_id). resolution:
+    (a map; of names that differ in case alone the last counts) and payload_digest; other
+    columns are ignored. Earlier means a smaller (ts, record_id). resolution:
       resolved      the entity tags agree (weak comparison), or without one in the
                     revisit the last-modified dates do
       mismatch      the validator differs from the stored one or that is absent
       no_validator  the revisit names none
       missing       no earlier full response of this URL
     target_id is null for missing, payload_digest and headers only for resolved.
-    A null url never matches; rows with a null ts come before all others; null headers
+    A null url never matches and enters no window; rows with a null ts come before all others; null headers
     are empty; repeated rows are resolved each for itself. An empty table gives no rows.
 
     A hot URL is cut by time: each (URL, bucket) is sorted alone, and the last
     response of earlier buckets is carried over from one row per bucket.
     """
     none = F.expr("cast(map() as map<string,string>)")
-    headers = F.coalesce("headers", none)
+    headers = lower_names(F.coalesce("headers", none))
     rows = captures.select(
         "record_id", canonical_url(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "kind", headers.alias("headers"), "payload_digest",
     ).where(F.col("kind").isin("response", "revisit")).withColumn("bucket", F.floor(F.coalesce("ts", F.lit(-(1 << 40))) / bucket))
-    stored = F.when(
-        (F.col("kind") == "response") & F.col("canonical_url").isNotNull(),
-        F.struct("ts", "record_id", "payload_digest", F.col("headers").alias("stored")),
-    )
-    rows = rows.withColumn("full", stored)
+    stored = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "payload_digest", F.col("headers").alias("stored")))
+    unnamed = rows.where("canonical_url is null and kind = 'revisit'").drop("kind", "payload_digest")
+    rows = rows.where("canonical_url is not null").withColumn("full", stored)
     order = [F.col("ts").asc_nulls_first(), F.col("record_id").asc_nulls_first()]
     inside = Window.partitionBy("canonical_url", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.last("full", ignorenulls=True).over(inside)).where("kind = 'revisit'").drop("full", "kind", "payload_digest")
     across = Window.partitionBy("canonical_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.where("canonical_url is not null").groupBy("canonical_url", "bucket")
+        rows.groupBy("canonical_url", "bucket")
         .agg(F.max_by("full", F.when(F.col("full").isNotNull(), F.struct("ts", "record_id"))).alias("latest"))
         .withColumn("far", F.last("latest", ignorenulls=True).over(across))
         .where("far is not null").select("canonical_url", "bucket", "far")
     )
-    found = near.join(carried, ["canonical_url", "bucket"], "left").withColumn("target", F.coalesce("near", "far"))
-    tag = lambda c: F.regexp_replace(_field(c, "etag"), "^W/", "")
+    found = near.join(carried, ["canonical_url", "bucket"], "left").withColumn("target", F.coalesce("near", "far")).unionByName(unnamed, allowMissingColumns=True)
+    tag = lambda c: F.regexp_replace(c["etag"], "^W/", "")
     mine, theirs = tag(F.col("headers")), tag(F.col("target.stored"))
-    since, stored_since = _field(F.col("headers"), "last-modified"), _field(F.col("target.stored"), "last-modified")
+    since, stored_since = F.col("headers")["last-modified"], F.col("target.stored")["last-modified"]
     resolution = (
         F.when(F.col("target").isNull(), "missing")
         .when(mine.isNotNull(), F.when(mine == theirs, "resolved").otherwise("mismatch"))

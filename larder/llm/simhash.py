@@ -187,44 +187,52 @@ def _verified(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.R
         yield from links(kept[:4] + [first])
 
 
-def links(fps: DataFrame, distance: int = 4, count: int = 3, cell: int = 1 << 16) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints that connect all pairs within `distance` bits.
-
-    fps: rows (fp), distinct. Each group under one key yields a spanning forest
-    of its links, never all pairs. A key under which more than `cell` fingerprints
-    are filed is split into cells: a filed row lies in one cell, the rows that look
-    it up visit every cell, so no task holds the whole group and no pair is lost.
+def _masks(width: int, radius: int) -> list[int]:
+    """Differences of all other values within `radius` bits."""
+    found, level = set(), {0}
+    for _ in range(radius):
+        level = {m ^ (1 << b) for m in level for b in range(width)}
+        found |= level
+    return sorted(found - {0})
+
+
+def dealt(fps: DataFrame, distance: int, count: int, cell: int) -> DataFrame:
+    """(segment, key, cell, fp, home): the rows that meet in one group, of about 2 * `cell` at most.
+
+    A key under which more than `cell` rows can be filed deals them by hash into chunks; every
+    pair of chunks is a cell, so any two rows of the key meet in one and none holds them all.
+    The rows of a key are its own and those of the keys in its ball, so only keys with a
+    neighbour of cell / (ball + 1) rows or more have to be looked at.
     """
-    spark = fps.sparkSession
     plan = segments(distance, count)
     filed = fps.mapInArrow(lambda it: _filed(it, plan), "segment int, key long, fp long, home boolean")
-    home = fps.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("segment"),
-                        F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)).alias("key"),
-                    )
-                    for i, (s, w, _) in enumerate(plan)
-                ]
-            )
-        ).alias("s")
-    )
+    own = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w, _ in plan]
+    home = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), k.alias("key")) for i, k in enumerate(own)])).alias("s"))
+    balls = [[0, *_masks(w, r)] for _, w, r in plan]
+    ball = F.get(F.array(*[F.array(*[F.lit(m).cast("long") for m in b]) for b in balls]), F.col("segment"))
+    large = home.groupBy("s.segment", "s.key").count().where(F.col("count") * max(map(len, balls)) > cell)
     hot = (
-        home.groupBy("s.segment", "s.key").count().where(F.col("count") > cell)
-        .select("segment", "key", F.ceil(F.col("count") / cell).cast("int").alias("cells"))
+        large.select("segment", F.col("key").alias("near"), "count", F.explode(ball).alias("mask"))
+        .groupBy("segment", F.col("near").bitwiseXOR(F.col("mask")).alias("key")).agg(F.sum("count").alias("count"))
+        .where(F.col("count") > cell).select("segment", "key", F.ceil(F.col("count") / cell).cast("int").alias("chunks"))
     )
-    own = F.pmod(F.xxhash64("fp"), F.col("cells")).cast("int")
-    spread = (
-        filed.join(hot, ["segment", "key"], "left")
-        .withColumn("own", F.when(F.col("home"), own))
-        .withColumn("cell", F.explode(F.when(F.col("cells").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))))
-        .select("segment", "key", "cell", "fp", (F.col("home") & (F.col("cells").isNull() | (F.col("own") == F.col("cell")))).alias("home"))
+    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(F.col("chunk"), j) * F.col("chunks") + F.greatest(F.col("chunk"), j))
+    return (
+        filed.join(hot, ["segment", "key"], "left").withColumn("chunk", chunk)
+        .withColumn("cell", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(pairs)))
+        .select("segment", "key", "cell", "fp", "home")
     )
-    n = partitions(spark)
+
+
+def links(fps: DataFrame, distance: int = 4, count: int = 3, cell: int = 1 << 16) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints that connect all pairs within `distance` bits.
+
+    fps: rows (fp), distinct. Each group under one key yields a spanning forest
+    of its links, never all pairs; see dealt for keys with many rows. No pair is lost.
+    """
     return (
-        spread.repartition(n, "segment", "key", "cell").sortWithinPartitions("segment", "key", "cell")
+        dealt(fps, distance, count, cell).repartition(partitions(fps.sparkSession), "segment", "key", "cell").sortWithinPartitions("segment", "key", "cell")
         .mapInArrow(lambda it: _verified(it, distance), "a long, b long")
     )
 
