@@ -1,27 +1,105 @@
-"""Receipts: lines of text, rollup by product."""
+"""Receipts: lines of text, match to a catalogue, rollup by product."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Lines of a receipt that are no product; fixed values.
-NO_PRODUCT = r"(?i)\b(sub\s*total|total|tax|hst|gst|pst|change|cash|visa|mastercard|debit|deposit|fee|balance|points)\b"
+from larder.operators.offers import identity_keywords, strip_pack_noise
+
+#: Lines of a receipt that are no product, and products that are fees; fixed values.
+NO_LINE = r"(?i)\b(sub\s*total|subtotal|total|balance|change|hst|gst|pst|qst|tvq|tax|debit|credit|visa|mastercard|amex|cash|tender|payment|change due|you saved|savings|air\s*miles|pc\s*optimum|optimum|triangle|thank you|cashier|served by|store\s*#|tel\.?|www\.|http|invoice|receipt\s*#|gst\/hst|#\s*\d{5}|rounded|refund|void|approved|auth(?:orization)?|mid\b|tid\b|chip|pin\s*verified|copy)\b"
+NO_PRODUCT = r"(?i)\b(paper bag|reusable bag|plastic bag|bag fee|bottle deposit|crv|eco fee|weighing fee)\b"
+PRICE_AT_END = r"(?i)^(.*?)(?:\s{1,}|\t+)(\d+[.,]\d{2})\s*[A-Z]?$"
+ONLY_PRICE = r"(?i)^\$?\s*(\d+[.,]\d{2})\s*[A-Z]?$"
+QTY_PREFIX = r"(?i)^(\d+(?:[.,]\d+)?)\s*[@x×]\s+"
+QTY_AT_PRICE = r"(?i)(\d+)\s*@\s*\$?\d+[.,]\d{2}"
+
+
+def clean_name(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(raw, r"[|*]+", " "), r"\s+", " "))
+
+
+def parse_price(raw: Column) -> Column:
+    """A positive amount with a dot or a comma, else null."""
+    n = F.replace(raw, F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(n > 0, n)
+
+
+def is_noise(line: Column) -> Column:
+    """Totals, payments, dates, times, long numbers and lines under three letters."""
+    t = F.trim(line)
+    return (F.length(t) < 3) | F.regexp_replace(t, r"\s", "").rlike(r"^\d{6,}$") | t.rlike(NO_LINE) | t.rlike(r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|^\d{1,2}:\d{2}")
 
 
 def parse_lines(receipts: DataFrame) -> DataFrame:
-    """(receipt_id, line_no, name, qty, price) of receipts (receipt_id, text); fees, taxes and totals are left out.
+    """(receipt_id, line_no, name, qty, price) of receipts (receipt_id, text), each name once by receipt, the first line of it.
+
+    A line ends in its price, or is followed by a line that is only a price; a name at the very end may lack one. 'N @' or 'N x'
+    before a name, or 'N @ price', is a quantity. Noise and fees are left out, and so is a name before another name. Null texts give no rows.
+    """
+    lines = receipts.select("receipt_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "raw")).withColumn("raw", F.trim("raw")).where("raw <> ''")
+    raw, only = F.col("raw"), F.col("raw").rlike(ONLY_PRICE)
+    named = F.trim(F.regexp_extract("raw", PRICE_AT_END, 1))
+    kind = (
+        F.when(only, "price").when(is_noise(raw), "noise").when(raw.rlike(PRICE_AT_END) & (F.length(named) >= 3), "priced").when(raw.rlike(NO_PRODUCT), "noise").otherwise("name")
+    )
+    own = parse_price(F.regexp_extract("raw", ONLY_PRICE, 1))
+    rows = lines.withColumns({"kind": kind, "own": own}).where("kind <> 'price' or own is not null")
+    w = Window.partitionBy("receipt_id").orderBy("line_no")  # the lines of one receipt
+    rows = rows.withColumns({"next": F.lead("kind").over(w), "after": F.lead("own").over(w)})
+    name = F.when(F.col("kind") == "priced", named).when((F.col("kind") == "name") & (F.col("next").isNull() | (F.col("next") == "price")), raw)
+    price = F.when(F.col("kind") == "priced", parse_price(F.regexp_extract("raw", PRICE_AT_END, 2))).otherwise(F.col("after"))
+    rows = rows.withColumns({"said": name, "price": price}).where("said is not null")
+    qty = F.coalesce(F.nullif(F.regexp_extract("said", QTY_PREFIX, 1), F.lit("")), F.nullif(F.regexp_extract("said", QTY_AT_PRICE, 1), F.lit("")))
+    rows = rows.select("receipt_id", "line_no", clean_name(F.regexp_replace("said", QTY_PREFIX, "")).alias("name"), parse_price(qty).alias("qty"), "price")
+    rows = rows.where((F.length("name") >= 3) & ~is_noise(F.col("name")) & ~F.col("name").rlike(NO_PRODUCT))
+    first = rows.groupBy("receipt_id", F.lower("name")).agg(F.min_by(F.struct("line_no", "name", "qty", "price"), "line_no").alias("m"))
+    return first.select("receipt_id", "m.*").sortWithinPartitions("receipt_id", "line_no")
+
+
+def staple_id(name: Column) -> Column:
+    slug = F.regexp_replace(F.regexp_replace(F.lower(strip_pack_noise(name)), "[^a-z0-9]+", "_"), "^_|_$", "")
+    return F.concat(F.lit("receipt_"), F.coalesce(F.nullif(F.substring(slug, 1, 42), F.lit("")), F.lit("item")))
+
+
+def infer_category(name: Column) -> Column:
+    """Category of a product by words of its name; the patterns are fixed values."""
+    t = F.lower(name)
+    return (
+        F.when(t.rlike(r"\b(frozen|iqf|alasko)\b"), "frozen")
+        .when(t.rlike(r"\b(cup|lid|lids|glove|gloves|foil|napkin|tray|wraps?|bagasse|nitrile|paddle|mitt|strainer|tablecloth)\b"), "supplies")
+        .when(t.rlike(r"\b(milk|cheese|yogurt|butter|cream|ricotta|mozzarella|cheddar|havarti|muenster)\b"), "dairy")
+        .when(t.rlike(r"\b(tomato|pepper|onion|lettuce|celery|carrot|apple|banana|berr|grape|melon|pear|peach|plum|lime|lemon|parsley|cilantro|garlic|potato|avocado|cucumber|mushroom|radish|broccoli|cauliflower|cabbage|spinach|kale|herb)\b"), "produce")
+        .otherwise("grocery")
+    )
+
+
+def match_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(name, id, label, score) of the best catalogue item (id, label) for each distinct line name; names without a match are absent.
 
-    A price is the amount that ends a line; 'N @' or 'N x' before the name is a quantity.
-    Null texts give no rows.
+    An item matches if its label holds the name, or all its words of two letters or more: score 100 for the label itself, 80 for its
+    beginning, 60 within it; else 20, which counts only if all words of four letters or more that are no sizes are in label or id.
+    Ties go to the first label, then id. An item that holds all words holds the name's rarest word begun anywhere in its own words, so
+    candidates come from an equi-join on three letters of the name's first word, never from a cross join.
     """
-    lines = receipts.select("receipt_id", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "raw"))
-    raw = F.trim(F.regexp_replace("raw", r"[|*]+", " "))
-    qty = F.try_to_number(F.regexp_extract(raw, r"^(\d+)\s*[@x]\s", 1), F.lit("999999"))
-    price = F.regexp_extract(raw, r"(\d+\.\d{2})\s*[A-Z]?$", 1)
-    name = F.trim(F.regexp_replace(F.regexp_replace(raw, r"^\d+\s*[@x]\s+", ""), r"\s*\$?\d+\.\d{2}\s*[A-Z]?$", ""))
-    out = lines.select("receipt_id", "line_no", name.alias("name"), qty.cast("double").alias("qty"), F.when(price != "", price.cast("double")).alias("price"))
-    return out.where((F.length("name") >= 2) & F.col("name").rlike("[A-Za-z]") & ~F.col("name").rlike(NO_PRODUCT))
+    names = lines.select("name").where("name is not null").distinct()
+    q = F.coalesce(F.nullif(strip_pack_noise(F.col("name")), F.lit("")), F.col("name"))
+    asked = names.select("name", F.lower(q).alias("q"), F.lower("name").alias("low"))
+    hay = F.lower(F.concat_ws(" ", "label", F.replace("id", F.lit("_"), F.lit(" "))))
+    grams = lambda c: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))), lambda g: F.length(g) == 3)
+    items = catalogue.select("id", "label", hay.alias("hay")).withColumn("g", F.explode(F.array_distinct(grams(F.col("hay")))))
+    keyed = asked.withColumn("g", F.substring("q", 1, 3))
+    parts = F.filter(F.split("q", r"\s+"), lambda p: F.length(p) >= 2)
+    holds = F.col("hay").contains(F.col("q")) | F.col("hay").contains(F.col("low")) | ((F.size(parts) > 1) & F.forall(parts, lambda p: F.col("hay").contains(p)))
+    label = F.lower("label")
+    of = lambda s: F.when(label == s, 100).when(label.startswith(s), 80).when(label.contains(s), 60).when(F.replace("id", F.lit("_"), F.lit(" ")).contains(s), 40).otherwise(20)
+    words = identity_keywords(F.filter(F.split(q, r"\s+"), lambda p: F.length(p) >= 4))
+    found = keyed.join(items, "g").where(holds).withColumn("score", F.greatest(of(F.col("q")), of(F.col("low"))))
+    found = found.where((F.col("score") >= 40) | ((F.size(words) > 0) & F.forall(words, lambda w: F.lower(F.concat_ws(" ", "label", "id")).contains(F.lower(w)))))
+    best = found.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("minus"), "label", "id")).alias("m"))
+    return best.select("name", "m.id", "m.label", (-F.col("m.minus")).alias("score"))
 
 
 def roll_up(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from larder.functions import text, units
 from larder.functions.money import packs_needed, r2
-from larder.operators import basket, compare, costing, identity, quality
+from larder.operators import basket, compare, costing, identity, quality, receipts
+from larder.operators import offers as offer_ops
+from larder.operators import plans as plan_ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -203,17 +205,21 @@ def needed_weight_plan(t):
     return _packs(t).select("item", costing.needed_weight(F.col("price"), F.col("pack"), F.col("need")).alias("p")).select("item", "p.*")
 
 
-@query(f"""WITH o AS (SELECT *, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT) AS low FROM ({PACKS})),
-h AS (SELECT *, greatest(low, least(CAST(floor(need * 3 / pack + 1e-9) AS BIGINT), low + 39)) AS high FROM o),
-n AS (SELECT *, unnest(range(low, high + 1)) AS n FROM h),
-r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY {_r2(_r2('price * n') + ' / (n * pack)')}, {_r2('price * n')}, n) AS r FROM n)
-SELECT item, n AS packs, n * pack AS got, {_r2('price * n')} AS total FROM r WHERE r = 1""")
+@query(f"""WITH o AS (SELECT *, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT) AS cover FROM ({PACKS})), n AS (SELECT o.*, n FROM o, range(1, 7) r(n) WHERE n * pack + 1e-9 * pack >= need AND n * pack <= need * 3 + 1e-9 * pack),
+b AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY {_r2(_r2('price * n') + ' / (n * pack)')}, {_r2('price * n')}, n) AS r FROM n),
+c AS (SELECT o.*, b.n IS NOT NULL AS valid, coalesce(b.n, o.cover) AS packs FROM o LEFT JOIN b ON o.item = b.item AND b.r = 1)
+SELECT item, valid, CASE WHEN NOT valid THEN 'no_pack_of_near_size' END AS reason, packs, {_r2('packs * pack')} AS got, {_r2('greatest(packs * pack - need, 0)')} AS extra,
+  CASE WHEN valid THEN {_r2('packs * price')} END AS total, {_r2(_r2('packs * price') + ' / (packs * pack)')} AS unit FROM c""")
 def stock_up_plan(t):
     return _packs(t).select("item", costing.stock_up(F.col("price"), F.col("pack"), F.col("need"), F.col("need") * 3).alias("p")).select("item", "p.*")
 
 
-@query(f"""WITH o AS (SELECT *, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT) AS n FROM ({PACKS}))
-SELECT item, n AS packs, {_r2('price * n')} AS total, n * pack BETWEEN need * (1 - 15 / 100.0::DOUBLE) - 1e-6 AND need * (1 + 15 / 100.0::DOUBLE) + 1e-6 AS valid FROM o""")
+@query(f"""WITH o AS (SELECT *, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT) AS cover, need * (1 - 15 / 100.0::DOUBLE) AS low, need * (1 + 15 / 100.0::DOUBLE) AS high FROM ({PACKS})),
+n AS (SELECT item, min(n) AS n FROM o, range(1, 7) r(n) WHERE n * pack + 1e-9 * pack >= low AND n * pack <= high + 1e-9 * pack GROUP BY item),
+c AS (SELECT o.*, cover * pack + 1e-6 >= low AND cover * pack - 1e-6 <= high AND cover <= 6 AS fits, n.n FROM o LEFT JOIN n ON o.item = n.item),
+d AS (SELECT *, fits OR n IS NOT NULL AS valid, CASE WHEN fits THEN cover ELSE coalesce(n, cover) END AS packs FROM c)
+SELECT item, valid, CASE WHEN NOT valid THEN 'no_pack_of_near_size' END AS reason, packs, {_r2('packs * pack')} AS got, {_r2('greatest(packs * pack - need, 0)')} AS extra,
+  CASE WHEN valid THEN {_r2('packs * price')} END AS total, {_r2(_r2('packs * price') + ' / (packs * pack)')} AS unit FROM d""")
 def checkout_exact_need(t):
     return _packs(t).select("item", costing.exact_need(F.col("price"), F.col("pack"), F.col("need")).alias("p")).select("item", "p.*")
 
@@ -236,7 +242,9 @@ def _titles(t) -> DataFrame:
 TITLES = f"SELECT p_partkey AS item, p_name || {ENDINGS!r}[p_partkey % {len(ENDINGS)} + 1] AS title, p_size FROM part"
 _MASS_SQL = "list_max(list_transform(list_zip(regexp_extract_all(t, '(?:^|[^/$0-9.])([0-9]+(?:\\.[0-9]+)?)\\s*({u})\\b', 1), regexp_extract_all(t, '(?:^|[^/$0-9.])([0-9]+(?:\\.[0-9]+)?)\\s*({u})\\b', 2)), lambda z: CAST(z[1] AS DOUBLE) * {k}))"
 _KG_CASE = "CASE {x} WHEN 'kg' THEN 1.0::DOUBLE WHEN 'l' THEN 1.0::DOUBLE WHEN 'lb' THEN 0.45359237::DOUBLE WHEN 'lbs' THEN 0.45359237::DOUBLE WHEN 'oz' THEN 0.028349523125::DOUBLE ELSE 0.001::DOUBLE END"
-_VOLUME, _MASS = "lbs|kg|lb|oz|ml|g|l", "lbs|kg|lb|oz|g"
+_VOLUME, _MASS = "lbs|kg|lb|oz|ml|gr|g|lt|l", "lbs|kg|lb|oz|gr|g"
+#: A title without its prices by weight, such as $3.49/100g.
+_BARE = "regexp_replace(lower(title), '/.{0,2}[0-9]+(\\.[0-9]+)?\\s*(kg|g|lb|ml|l)\\b', '/', 'g')"
 
 
 def _mass_sql(units_: str) -> str:
@@ -246,21 +254,21 @@ def _mass_sql(units_: str) -> str:
     return f"CASE WHEN regexp_matches(t, '{many}') THEN CAST(regexp_extract(t, '{many}', 1) AS DOUBLE) * (CAST(regexp_extract(t, '{many}', 2) AS DOUBLE) * {unit}) ELSE {single} END"
 
 
-@query(f"WITH x AS (SELECT item, lower(title) AS t FROM ({TITLES})) SELECT item, {_mass_sql(_VOLUME)} AS kg_or_litre, {_mass_sql(_MASS)} AS kg FROM x")
+@query(f"WITH x AS (SELECT item, {_BARE} AS t FROM ({TITLES})) SELECT item, {_mass_sql(_VOLUME)} AS kg_or_litre, {_mass_sql(_MASS)} AS kg FROM x")
 def parse_mass(t):
     return _titles(t).select("item", units.parse_mass_kg(F.col("title")).alias("kg_or_litre"), units.parse_mass_kg(F.col("title"), volume=False).alias("kg"))
 
 
 @query(rf"""WITH x AS (SELECT item, lower(title) AS t FROM ({TITLES}))
-SELECT item, CASE WHEN regexp_matches(t, '[0-9]+\s*x\s*[0-9]+\s*doz') THEN CAST(regexp_extract(t, '([0-9]+)\s*x\s*([0-9]+)\s*doz', 1) AS BIGINT) * CAST(regexp_extract(t, '([0-9]+)\s*x\s*([0-9]+)\s*doz', 2) AS BIGINT) * 12
-  WHEN regexp_matches(t, '[0-9]+\s*x\s*[0-9]+\s*(ea|ct|pk)\b') THEN CAST(regexp_extract(t, '([0-9]+)\s*x\s*([0-9]+)\s*(ea|ct|pk)\b', 1) AS BIGINT) * CAST(regexp_extract(t, '([0-9]+)\s*x\s*([0-9]+)\s*(ea|ct|pk)\b', 2) AS BIGINT)
-  WHEN regexp_matches(t, '[0-9]+\s*doz') THEN CAST(regexp_extract(t, '([0-9]+)\s*doz', 1) AS BIGINT) * 12 WHEN regexp_matches(t, '\bdozen\b') THEN 12
-  WHEN regexp_matches(t, '[0-9]+\s*(pack|pk|ct|count|ea)\b') THEN CAST(regexp_extract(t, '([0-9]+)\s*(pack|pk|ct|count|ea)\b', 1) AS BIGINT) END AS pieces FROM x""")
+SELECT item, CASE WHEN regexp_matches(t, '[0-9]+\s*(ea|count|ct|eggs?)\b') AND CAST(regexp_extract(t, '([0-9]+)\s*(ea|count|ct|eggs?)\b', 1) AS BIGINT) BETWEEN 6 AND 360 THEN CAST(regexp_extract(t, '([0-9]+)\s*(ea|count|ct|eggs?)\b', 1) AS BIGINT)
+  WHEN regexp_matches(t, '[0-9]\s*doz(en)?\b|\bdozen\b') THEN 12
+  WHEN regexp_matches(t, '\b[0-9]+\s*pack\b') AND CAST(regexp_extract(t, '\b([0-9]+)\s*pack\b', 1) AS BIGINT) BETWEEN 6 AND 36 THEN CAST(regexp_extract(t, '\b([0-9]+)\s*pack\b', 1) AS BIGINT)
+  WHEN regexp_matches(t, '\b(6|12|18|24|30|36|60)\b') THEN CAST(regexp_extract(t, '\b(6|12|18|24|30|36|60)\b', 1) AS BIGINT) END AS pieces FROM x""")
 def parse_count_pack(t):
     return _titles(t).select("item", units.parse_count_pack(F.col("title")).cast("long").alias("pieces"))
 
 
-@query(rf"""WITH x AS (SELECT item, p_size % 2 = 0 AS weighed, lower(title) AS t FROM ({TITLES})), m AS (SELECT *, {_mass_sql(_MASS)} AS kg,
+@query(rf"""WITH x AS (SELECT item, p_size % 2 = 0 AS weighed, regexp_matches(lower(title), '[0-9]\s*/\s*1?\s*(kg|lb)') AS embedded, lower(title) AS t FROM ({TITLES})), m AS (SELECT *, {_mass_sql(_MASS)} AS kg,
   regexp_matches(t, '\b(per\s*kg|per\s*lb|loose|bulk|sold\s*by\s*(the\s*)?(kg|lb|weight))\b|/\s*(kg|lb)\b') AS rate FROM x)
 SELECT item, CASE WHEN regexp_matches(t, '\b(cases?|crates?)\b') OR regexp_matches(t, '\b[0-9]+\s*x\s*[0-9]+(\.[0-9]+)?\s*(ea|pk|packs?|pints?|kg|g|lb|lbs|oz|ct|count|doz|dozen|ml|l|lt)\b') THEN 'case'
   WHEN regexp_matches(t, '\b(packs?|bags?|clamshells?|cartons?|tubs?|jars?|bottles?|pouches?|sleeves?|trays?|baskets?|boxes?|punnets?)\b') OR regexp_matches(t, '\b(1\s*ea|sold in singles|sold in single wrap)\b') OR (coalesce(kg, 0) > 0 AND NOT rate) THEN 'fixed_pack'
@@ -294,42 +302,52 @@ def name_tokens(t):
 
 
 def _pairs(t) -> DataFrame:
-    rows = t("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", text.name_tokens(F.concat_ws(" ", "p_name", F.lower("p_type"))).alias("tokens"))
-    pairs = identity.neighbour_pairs(rows, ["p_name"], ["p_size", "p_partkey"])
-    jac = text.jaccard(F.col("left.tokens"), F.col("right.tokens"))
-    kg = lambda s: F.col(f"{s}.p_size") / 1000
-    none = F.lit(None).cast("long")
-    return pairs.select(
-        F.col("left.p_partkey").alias("left_id"), F.col("right.p_partkey").alias("right_id"), F.col("left.p_size").alias("left_size"), F.col("right.p_size").alias("right_size"),
-        jac.alias("jaccard"), text.brands_match(F.col("left.p_brand"), F.col("right.p_brand")).alias("brand"),
-        units.size_agreement(kg("left"), kg("right"), none, none).alias("size"), (F.col("left.p_type") == F.col("right.p_type")).alias("same"),
+    fields = ["p_name", "p_brand", "p_type", "p_size"]
+    records = identity.fold(t("part"), fields, "p_partkey").select(
+        *fields, "p_partkey", "members", F.lit("s").alias("retailer"), F.col("p_partkey").cast("string").alias("product_id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("name"),
+        F.col("p_brand").alias("brand"), F.col("p_size").cast("double").alias("size_value"), F.lit("g").alias("size_unit"), F.col("p_type").alias("category"), F.lit(None).cast("string").alias("barcode"),
+    )
+    return identity.candidate_pairs(identity.prepared(records), "p_partkey", [["p_name", "p_brand"], ["p_name", "p_type", "p_size"]])
+
+
+def _features(t) -> DataFrame:
+    left, right = F.col("left"), F.col("right")
+    return _pairs(t).select(
+        left["p_partkey"].alias("left_id"), right["p_partkey"].alias("right_id"), left["members"].alias("left_members"), right["members"].alias("right_members"),
+        identity.record_jaccard(left["content"], right["content"], left["name"], right["name"]).alias("jaccard"), text.brands_match(left["brand"], right["brand"]).alias("brand"),
+        units.size_agreement(left["kg"], right["kg"], left["pieces"], right["pieces"]).alias("size"), (left["category"] == right["category"]).alias("same"),
+        F.size(F.array_intersect(left["content"], right["content"])).alias("shared"),
     )
 
 
 _N4 = "floor(({x}) * 10000 + 0.5::DOUBLE) / 10000"
 _PAIRS_SQL = f"""
-n AS (SELECT *, p_name || ' ' || lower(p_type) AS name FROM part), k AS (SELECT p_partkey, p_name, p_type, p_size, p_brand, {_TOKEN_SQL} AS tokens, row_number() OVER (PARTITION BY p_name ORDER BY p_size, p_partkey) AS r FROM n),
-p AS (SELECT a.p_partkey AS left_id, b.p_partkey AS right_id, a.p_type = b.p_type AS same, a.p_size / 1000.0::DOUBLE AS x, b.p_size / 1000.0::DOUBLE AS y,
-    len(list_intersect(a.tokens, b.tokens)) / CAST(len(list_distinct(list_concat(a.tokens, b.tokens))) AS DOUBLE) AS jaccard,
-    lower(replace(a.p_brand, '#', ' ')) AS u, lower(replace(b.p_brand, '#', ' ')) AS v
-  FROM k a JOIN k b ON a.p_name = b.p_name AND b.r > a.r AND b.r <= a.r + 3),
-c AS (SELECT *, CASE WHEN u = v THEN 'exact' WHEN contains(u, v) OR contains(v, u) THEN 'partial' ELSE 'mismatch' END AS brand,
+n AS (SELECT p_name, p_brand, p_type, p_size, p_name || ' ' || lower(p_type) AS name, min(p_partkey) AS id, count(*) AS members FROM part GROUP BY ALL),
+k AS (SELECT *, list_filter(list_distinct({_TOKEN_SQL}), lambda x: NOT regexp_matches(x, '^[0-9]+')) AS content FROM n),
+p AS (SELECT a.id AS left_id, b.id AS right_id, a.members AS left_members, b.members AS right_members, a.p_type = b.p_type AS same, a.p_size / 1000.0::DOUBLE AS x, b.p_size / 1000.0::DOUBLE AS y,
+    len(list_intersect(a.content, b.content)) AS shared, len(list_distinct(list_concat(a.content, b.content))) AS whole, lower(replace(a.p_brand, '#', ' ')) AS u, lower(replace(b.p_brand, '#', ' ')) AS v
+  FROM k a JOIN k b ON a.p_name = b.p_name AND a.id < b.id AND (a.p_brand = b.p_brand OR (a.p_type = b.p_type AND a.p_size = b.p_size))),
+c AS (SELECT *, shared / CAST(whole AS DOUBLE) AS jaccard, CASE WHEN u = v THEN 'exact' WHEN contains(u, v) OR contains(v, u) THEN 'partial' ELSE 'mismatch' END AS brand,
     CASE WHEN abs(x - y) / least(x, y) <= 0.12 THEN 'same' WHEN abs(x - y) / least(x, y) <= 0.2 THEN 'close' ELSE 'different' END AS size FROM p)"""
 
 
-@query(f"WITH {_PAIRS_SQL} SELECT left_id, right_id, {_N4.replace('{x}', 'jaccard')} AS jaccard, brand, size FROM c")
+@query(f"WITH {_PAIRS_SQL} SELECT left_id, right_id, left_members, right_members, {_N4.replace('{x}', 'jaccard')} AS jaccard, brand, size FROM c")
 def er_features(t):
-    return _pairs(t).select("left_id", "right_id", (F.floor(F.col("jaccard") * 10000 + 0.5) / 10000).alias("jaccard"), "brand", "size")
+    return _features(t).select("left_id", "right_id", "left_members", "right_members", (F.floor(F.col("jaccard") * 10000 + 0.5) / 10000).alias("jaccard"), "brand", "size")
 
 
-@query(f"""WITH {_PAIRS_SQL},
+_SCORE_SQL = """
 s1 AS (SELECT *, 0.5::DOUBLE * jaccard + CASE brand WHEN 'exact' THEN 0.28::DOUBLE WHEN 'partial' THEN 0.16::DOUBLE ELSE -0.2::DOUBLE END + CASE size WHEN 'same' THEN 0.22::DOUBLE WHEN 'close' THEN 0.1::DOUBLE ELSE 0 END AS a FROM c),
 s2 AS (SELECT *, CASE WHEN size = 'different' THEN least(a, 0.42::DOUBLE) ELSE a END + CASE WHEN same THEN 0.08::DOUBLE ELSE -0.12::DOUBLE END + CASE WHEN brand IN ('exact', 'partial') AND size IN ('same', 'close') THEN 0.08::DOUBLE ELSE 0 END AS b FROM s1),
-s3 AS (SELECT *, least(greatest(CASE WHEN jaccard >= 0.85 AND size <> 'different' AND brand <> 'mismatch' THEN greatest(b, 0.9::DOUBLE) ELSE b END, 0), 1) AS d FROM s2)
-SELECT left_id, right_id, {_N4.replace('{x}', 'd')} AS score, CASE WHEN floor(d * 1000 + 0.5::DOUBLE) / 1000 >= 0.85 THEN 'auto_linked' WHEN floor(d * 1000 + 0.5::DOUBLE) / 1000 >= 0.5 THEN 'needs_review' ELSE 'rejected' END AS decision FROM s3""")
+s3 AS (SELECT *, CASE WHEN jaccard >= 0.85 AND size <> 'different' AND brand <> 'mismatch' THEN greatest(b, 0.9::DOUBLE) ELSE b END AS e FROM s2),
+s4 AS (SELECT *, least(greatest(CASE WHEN shared >= 2 AND brand IN ('exact', 'partial') AND size IN ('same', 'close') THEN greatest(e, 0.88::DOUBLE) ELSE e END, 0), 1) AS d FROM s3)"""
+
+
+@query(f"""WITH {_PAIRS_SQL}, {_SCORE_SQL}
+SELECT left_id, right_id, {_N4.replace('{x}', 'd')} AS score, CASE WHEN floor(d * 1000 + 0.5::DOUBLE) / 1000 >= 0.85 THEN 'auto_linked' WHEN floor(d * 1000 + 0.5::DOUBLE) / 1000 >= 0.5 THEN 'needs_review' ELSE 'rejected' END AS decision FROM s4""")
 def er_structured(t):
-    score = identity.structured_score(F.col("jaccard"), F.col("brand"), F.col("size"), F.col("same"))
-    return _pairs(t).withColumn("s", score).select("left_id", "right_id", (F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("score"), identity.decision(F.col("s")).alias("decision"))
+    score = identity.structured_score(F.col("jaccard"), F.col("brand"), F.col("size"), F.col("same"), F.col("shared"))
+    return _features(t).withColumn("s", score).select("left_id", "right_id", (F.floor(F.col("s") * 10000 + 0.5) / 10000).alias("score"), identity.decision(F.col("s")).alias("decision"))
 
 
 @query(f"""WITH {_PAIRS_SQL}, w AS (SELECT *, -4.6::DOUBLE + CASE WHEN jaccard >= 0.85 THEN 5 WHEN jaccard >= 0.6 THEN 3 WHEN jaccard >= 0.4 THEN 1 ELSE -3 END + CASE brand WHEN 'exact' THEN 4 WHEN 'partial' THEN 2 ELSE -3 END
@@ -338,15 +356,42 @@ SELECT left_id, right_id, {_N4.replace('{x}', 'weight')} AS weight, {_N4.replace
 def er_fellegi_sunter(t):
     weight = identity.linkage_weight(F.col("jaccard"), F.col("brand"), F.col("size"), F.col("same"))
     four = lambda c: F.floor(c * 10000 + 0.5) / 10000
-    return _pairs(t).withColumn("w", weight).select("left_id", "right_id", four(F.col("w")).alias("weight"), four(identity.linkage_probability(F.col("w"))).alias("probability"))
+    return _features(t).withColumn("w", weight).select("left_id", "right_id", four(F.col("w")).alias("weight"), four(identity.linkage_probability(F.col("w"))).alias("probability"))
+
+
+_MATCH_SQL = f"""WITH {_PAIRS_SQL}, {_SCORE_SQL},
+w AS (SELECT *, -4.6::DOUBLE + CASE WHEN jaccard >= 0.85 THEN 5 WHEN jaccard >= 0.6 THEN 3 WHEN jaccard >= 0.4 THEN 1 ELSE -3 END + CASE brand WHEN 'exact' THEN 4 WHEN 'partial' THEN 2 ELSE -3 END
+  + CASE size WHEN 'same' THEN 3.5::DOUBLE WHEN 'close' THEN 1 ELSE -5 END + CASE WHEN same THEN 1.5::DOUBLE ELSE -2.5::DOUBLE END AS weight FROM s4),
+q AS (SELECT *, 1 / (1 + pow(2.0::DOUBLE, -weight)) AS chance, left_id % 50 = 0 AND right_id % 3 = 0 AS mapped, left_id % 50 = 0 AND right_id % 6 = 0 AS sure FROM w),
+m AS (SELECT *, CASE WHEN mapped THEN 'manual_mapping' WHEN size <> 'different' AND d >= 0.85 THEN 'structured' WHEN size <> 'different' AND chance >= 0.85 AND jaccard >= 0.55 AND d >= 0.7 THEN 'fellegi_sunter'
+  WHEN jaccard >= 0.35 AND size <> 'different' THEN 'semantic_fallback' WHEN chance >= d THEN 'fellegi_sunter' ELSE 'structured' END AS method,
+  CASE WHEN mapped THEN 1 WHEN size <> 'different' AND d >= 0.85 THEN d WHEN size <> 'different' AND chance >= 0.85 AND jaccard >= 0.55 AND d >= 0.7 THEN chance
+  WHEN jaccard >= 0.35 AND size <> 'different' THEN least(0.62::DOUBLE, 0.35::DOUBLE + jaccard * 0.35::DOUBLE) ELSE greatest(d, chance) END AS conf FROM q),
+f AS (SELECT *, floor(conf * 1000 + 0.5::DOUBLE) / 1000 AS confidence FROM m),
+g AS (SELECT *, CASE WHEN sure THEN 'auto_linked' WHEN method = 'semantic_fallback' OR confidence < 0.85 THEN CASE WHEN confidence >= 0.5 THEN 'needs_review' ELSE 'rejected' END ELSE 'auto_linked' END AS decision FROM f)"""
+
+
+def _matched(t) -> DataFrame:
+    pairs = _pairs(t)
+    saved = pairs.where("left.p_partkey % 50 = 0 and right.p_partkey % 3 = 0").select(
+        F.lit("s").alias("left_retailer"), F.col("right.product_id").alias("left_id"), F.lit("s").alias("right_retailer"), F.col("left.product_id").alias("right_id"),
+        (F.col("right.p_partkey") % 6 == 0).alias("verified"),
+    )
+    return identity.match_products(pairs, saved).select(F.col("left.p_partkey").alias("left_id"), F.col("right.p_partkey").alias("right_id"), F.col("left.p_type").alias("kind"), "left.p_size", "match.*")
 
 
-@query("""WITH r AS (SELECT lang AS kind, n_chars >= 800 AS p, quality = 1 AS s FROM documents JOIN labels USING (doc_id)),
-g AS (SELECT kind, count(*) FILTER (p AND s) AS tp, count(*) FILTER (p AND NOT s) AS fp, count(*) FILTER (NOT p AND NOT s) AS tn, count(*) FILTER (NOT p AND s) AS fn FROM r GROUP BY kind)
+@query(f"{_MATCH_SQL} SELECT left_id, right_id, method, confidence, decision FROM g")
+def product_match(t):
+    return _matched(t).select("left_id", "right_id", "method", "confidence", "decision")
+
+
+@query(f"""{_MATCH_SQL}, r AS (SELECT p_type AS kind, decision = 'auto_linked' AS p, size = 'same' AS s FROM g JOIN part ON p_partkey = left_id),
+h AS (SELECT kind, count(*) FILTER (p AND s) AS tp, count(*) FILTER (p AND NOT s) AS fp, count(*) FILTER (NOT p AND NOT s) AS tn, count(*) FILTER (NOT p AND s) AS fn FROM r GROUP BY kind)
 SELECT *, CASE WHEN tp + fp = 0 THEN 1 ELSE floor(tp / CAST(tp + fp AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 END AS precision, CASE WHEN tp + fn = 0 THEN 1 ELSE floor(tp / CAST(tp + fn AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 END AS recall,
-  CASE WHEN fp + tn = 0 THEN 0 ELSE floor(fp / CAST(fp + tn AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 END AS fpr FROM g""")
+  CASE WHEN fp + tn = 0 THEN 0 ELSE floor(fp / CAST(fp + tn AS DOUBLE) * 10000 + 0.5::DOUBLE) / 10000 END AS fpr FROM h""")
 def er_confusion_metrics(t):
-    rows = t("documents").join(t("labels"), "doc_id").select(F.col("lang").alias("kind"), (F.col("n_chars") >= 800).alias("predicted"), (F.col("quality") == 1).alias("expected"))
+    sizes = t("part").select(F.col("p_partkey").alias("right_id"), F.col("p_size").alias("size"))
+    rows = _matched(t).join(sizes, "right_id").select("kind", (F.col("decision") == "auto_linked").alias("predicted"), (F.abs(F.col("p_size") - F.col("size")) / F.least("p_size", "size") <= 0.12).alias("expected"))
     return identity.confusion(rows, "kind")
 
 
@@ -358,24 +403,137 @@ def upc_suffix_join(t):
     return identity.upc_join(rows.where("o_orderpriority = '1-URGENT'"), rows.where("o_orderpriority = '2-HIGH'"))
 
 
-@query("SELECT a.o_orderkey AS left_id, b.o_orderkey AS right_id FROM orders a JOIN orders b ON b.o_orderkey BETWEEN a.o_orderkey - 1 AND a.o_orderkey + 1 WHERE a.o_orderstatus = 'P' AND b.o_orderstatus = 'F'")
+_SKUS = "SELECT o_orderstatus AS s, CAST(o_orderkey * 7 + 99990 AS VARCHAR) AS id FROM orders"
+
+
+@query(f"""WITH o AS ({_SKUS}), a AS (SELECT id, CAST(id AS BIGINT) AS n FROM o WHERE s = 'P'), b AS (SELECT CAST(CAST(id AS BIGINT) + k AS VARCHAR) AS id, CAST(id AS BIGINT) + k AS n FROM o, range(-1, 2) r(k) WHERE s = 'F')
+SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b ON a.id = b.id OR (abs(a.n - b.n) = 1 AND length(a.id) = length(b.id) AND length(a.id) >= 6)""")
 def sku_off_by_one_join(t):
-    ids = lambda s: t("orders").where(F.col("o_orderstatus") == s).select(F.col("o_orderkey").alias("id"))
-    return identity.off_by_one_join(ids("P"), ids("F"))
+    ids = lambda s: t("orders").where(F.col("o_orderstatus") == s).select((F.col("o_orderkey") * 7 + 99990).cast("string").alias("id"))
+    near = ids("F").select(F.explode(F.array(*[(F.col("id").cast("long") + k).cast("string") for k in (-1, 0, 1)])).alias("id"))
+    return identity.off_by_one_join(ids("P"), near)
 
 
-@query("""WITH s AS (SELECT p_partkey AS item, p_name AS name, CASE WHEN p_name = 'red bolt' THEN 100 WHEN p_name LIKE 'red bolt%' THEN 80 WHEN contains(p_name, 'red') AND contains(p_name, 'bolt') THEN 60 WHEN contains(p_name, 'red') OR contains(p_name, 'bolt') THEN 20 ELSE 0 END AS score FROM part)
-SELECT item, name, score FROM s WHERE score > 0 ORDER BY score DESC, name, item LIMIT 12""")
+@query("""WITH s AS (SELECT p_partkey AS id, p_name AS label, lower(p_name || ' ' || p_type) AS hay, lower(p_name || ' ' || p_brand) AS l FROM part)
+SELECT id, label || ' ' || id AS label, CASE WHEN label = 'red bolt' AND false THEN 100 WHEN starts_with(label, 'red bolt') THEN 80 ELSE 20 END AS score
+FROM s WHERE contains(hay, 'red bolt') OR (contains(hay, 'red') AND contains(hay, 'bolt')) ORDER BY score DESC, label || ' ' || id, id LIMIT 12""")
 def staple_search_topk(t):
-    name = F.col("p_name")
-    score = F.when(name == "red bolt", 100).when(name.startswith("red bolt"), 80).when(name.contains("red") & name.contains("bolt"), 60).when(name.contains("red") | name.contains("bolt"), 20).otherwise(0)
-    return t("part").select(F.col("p_partkey").alias("item"), name.alias("name"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "name", "item").limit(12)
+    label = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    items = t("part").select(F.col("p_partkey").cast("string").alias("key"), "p_partkey", label.alias("label"), F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("hay"))
+    found = offer_ops.search_catalogue(items.withColumnRenamed("key", "id"), "red bolt")
+    return found.select(F.col("p_partkey").alias("id"), "label", "score")
 
 
-@query("SELECT p_partkey AS item, CASE WHEN p_size > 45 THEN 'too_big' WHEN contains(p_name, 'ring') THEN 'wrong_product' WHEN p_retailprice < 905 THEN 'below_minimum' END AS reason FROM part")
+@query("""WITH o AS (SELECT p_partkey AS item, lower(coalesce(p_brand, '') || ' ' || p_name || ' ') AS hay, p_type = 'ECONOMY' AS split FROM part)
+SELECT item, CASE WHEN item % 7 = 0 AND contains(hay, 'gear') THEN 'no gears' WHEN regexp_matches(hay, '(^|[^a-z0-9])ring(es|s)?([^a-z0-9]|$)') THEN 'mustNotInclude:ring' WHEN item % 3 = 0 AND NOT regexp_matches(hay, '(^|[^a-z0-9])red(es|s)?([^a-z0-9]|$)') THEN 'mustIncludeAll:red'
+  WHEN item % 5 = 0 AND NOT (regexp_matches(hay, '(^|[^a-z0-9])hot(es|s)?([^a-z0-9]|$)') OR contains(hay, 'red bolt') OR (split AND regexp_matches(hay, '(^|[^a-z0-9])red(es|s)?([^a-z0-9]|$)') AND regexp_matches(hay, '(^|[^a-z0-9])bolt(es|s)?([^a-z0-9]|$)'))) THEN 'mustIncludeAny' END AS reason FROM o""")
 def filter_reason_first(t):
-    rules = [("too_big", F.col("p_size") > 45), ("wrong_product", F.col("p_name").contains("ring")), ("below_minimum", F.col("p_retailprice") < 905)]
-    return t("part").select(F.col("p_partkey").alias("item"), quality.first_reason(rules).alias("reason"))
+    n, words = F.col("p_partkey"), lambda *w: F.array(*map(F.lit, w))
+    rows = t("part").select(n.alias("item"), F.lower(F.concat(F.coalesce("p_brand", F.lit("")), F.lit(" "), "p_name", F.lit(" "))).alias("hay"), "p_type")
+    rules = rows.where("item % 7 = 0").select("item", F.lit(1).alias("ord"), F.lit("ban").alias("kind"), F.lit("gear").alias("pattern"), F.lit("no gears").alias("reason"))
+    rows = offer_ops.form_reason(rows, rules)
+    reason = offer_ops.filter_reason(
+        F.col("hay"), words("ring", "toy"), F.when(F.col("item") % 3 == 0, words("red", "500 g")), F.when(F.col("item") % 5 == 0, words("hot", "red bolt")), F.col("p_type") == "ECONOMY", F.col("form")
+    )
+    return rows.select("item", reason.alias("reason"))
+
+
+@query(f"""WITH o AS (SELECT l_orderkey, l_linenumber, l_suppkey, {PRICE} AS price, p_size / 10.0::DOUBLE AS kg, l_quantity, p_partkey FROM lineitem JOIN part ON p_partkey = l_partkey),
+x AS (SELECT *, kg + 1e-9 < 2 AND l_quantity % 2 = 0 AS composing FROM o), y AS (SELECT *, CASE WHEN composing THEN greatest(ceil(2 / kg - 1e-9), 1) ELSE 1 END AS n FROM x)
+SELECT l_orderkey, l_linenumber, CASE WHEN price <= 0 THEN 'rejected' WHEN (CASE WHEN n >= 2 THEN price * n ELSE price END) < 950 THEN 'wrong_pack' WHEN price > 1500 THEN 'rejected'
+  WHEN (composing AND n > 6) OR (NOT composing AND kg < 2 * 0.35::DOUBLE) THEN 'wrong_size' WHEN p_partkey % 2 = 0 AND kg < 0.4 THEN 'wrong_pack' WHEN l_linenumber * 6 > 24 THEN 'stale' ELSE 'ok' END AS status FROM y""")
+def sanity_ladder(t):
+    rows = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
+    offer = {
+        "name": F.col("p_name"), "size": F.concat((F.col("p_size") * 100).cast("string"), F.lit(" g")), "price": r2(F.col("l_extendedprice") / F.col("l_quantity")),
+        "unit_price": F.lit(None).cast("double"), "age_hours": F.col("l_linenumber") * 6.0,
+    }
+    found = offer_ops.sanity(offer, F.lit(2.0), F.col("l_quantity") % 2 == 0, F.lit(950.0), F.lit(1500.0), F.col("p_partkey") % 2 == 0, F.lit(False))
+    return rows.select("l_orderkey", "l_linenumber", found["status"].alias("status"))
+
+
+_RATES = [" $7.69/1kg $3.49/1lb", " per lb", " 2 kg", " 500 g", " 12 x 250 ml", ""]
+
+
+@query(rf"""WITH o AS (SELECT p_partkey AS item, p_partkey % 6 AS k, p_partkey % 4 AS s, p_retailprice / 100 AS price, CASE WHEN p_partkey % 5 = 0 THEN p_size / 10.0::DOUBLE WHEN p_partkey % 5 = 1 THEN 900 END AS up FROM part),
+m AS (SELECT *, s = 1 AS lb, CASE k WHEN 2 THEN 2 WHEN 3 THEN 0.5::DOUBLE WHEN 4 THEN 3 END AS kg FROM o),
+r AS (SELECT *, CASE WHEN k = 0 THEN 7.69::DOUBLE WHEN k = 1 THEN price / 0.45359237::DOUBLE
+  WHEN up > 0 AND NOT coalesce(up > price / kg * 20, false) AND NOT up > greatest(price * 50, 80) THEN CASE WHEN lb AND k <> 2 THEN up / 0.45359237::DOUBLE ELSE up END WHEN kg > 0 THEN price / kg END AS per_kg,
+  CASE WHEN k = 0 THEN 'embedded_rate' WHEN k = 1 THEN 'sold_by_lb' WHEN up > 0 AND NOT coalesce(up > price / kg * 20, false) AND NOT up > greatest(price * 50, 80) THEN 'unitPrice'
+    ELSE 'pack_' || CASE k WHEN 2 THEN '2kg' WHEN 3 THEN '500g' ELSE '3000ml' END END AS basis FROM m)
+SELECT item, {_r2('per_kg')} AS per_kg, {_r2('per_kg * 0.45359237::DOUBLE')} AS per_lb, CASE WHEN lb THEN 'lb' ELSE 'kg' END AS unit, CASE WHEN lb THEN {_r2('per_kg * 0.45359237::DOUBLE')} ELSE {_r2('per_kg')} END AS price, basis FROM r WHERE per_kg > 0""")
+def unit_price_resolution(t):
+    n = F.col("p_partkey")
+    at = lambda values, c: F.element_at(F.array(*map(F.lit, values)), (F.pmod(c, F.lit(len(values))) + 1).cast("int"))
+    given = F.when(n % 5 == 0, F.col("p_size") / 10).when(n % 5 == 1, 900.0)
+    found = units.unit_prices(n.cast("string"), F.concat("p_name", at(_RATES, n)), F.lit(None).cast("string"), at(["walmart", "no_frills", "sobeys", "mvr"], n), F.col("p_retailprice") / 100, given)
+    return t("part").select(n.alias("item"), found.alias("u")).where("u is not null").select("item", "u.*")
+
+
+@query(f"""WITH o AS (SELECT p_partkey AS item, p_partkey % 6 AS k, {_r2('p_retailprice / 100')} AS price, 500.0::DOUBLE + p_partkey % 9 * 250 AS need, p_size % 2 = 0 AS stock FROM part),
+m AS (SELECT *, CASE k WHEN 2 THEN 2000 WHEN 3 THEN 500 END AS pack, need * 2 AS high FROM o),
+c AS (SELECT *, CAST(greatest(ceil(need / pack - 1e-9), 1) AS BIGINT) AS cover FROM m),
+n AS (SELECT c.*, n FROM c, range(1, 7) r(n) WHERE pack IS NOT NULL AND CASE WHEN stock THEN n * pack >= need AND n * pack <= high ELSE n * pack >= need * 0.8::DOUBLE AND n * pack <= need * 1.2::DOUBLE END),
+b AS (SELECT item, CASE WHEN any_value(stock) THEN arg_min(n, ({_r2(_r2('price * n') + ' / (n * pack)')}, {_r2('price * n')}, n)) WHEN bool_or(n = cover) THEN any_value(cover) ELSE min(n) END AS n FROM n GROUP BY item)
+SELECT c.item, CASE WHEN k = 0 THEN 'loose_weight' WHEN k = 1 THEN 'loose_weight' WHEN k = 4 THEN 'case' ELSE 'fixed_pack' END AS sale_mode, b.n IS NOT NULL OR k = 0 AS valid,
+  CASE WHEN b.n IS NULL AND k <> 0 THEN 'no_pack_of_near_size' END AS reason, CASE WHEN k = 0 THEN 1 WHEN pack IS NULL THEN 0 ELSE coalesce(b.n, cover) END AS packs,
+  CASE WHEN k = 0 THEN {_r2('need * (7.69::DOUBLE / 1000)')} ELSE {_r2('b.n * price')} END AS total FROM c LEFT JOIN b ON c.item = b.item""")
+def purchase_evaluation(t):
+    n = F.col("p_partkey")
+    name = F.concat("p_name", F.element_at(F.array(*map(F.lit, [" $7.69/1kg", " loose", " 2 kg", " 500 g", " 12 x 250 ml", ""])), (F.pmod(n, F.lit(6)) + 1).cast("int")))
+    none = F.lit(None).cast("double")
+    offer = {"name": name, "size": F.lit(None).cast("string"), "price": r2(F.col("p_retailprice") / 100), "per_kg": none, "parsed_kg": none, "by_weight": F.lit(False)}
+    need = F.pmod(n, F.lit(9)) * 250 + 500.0
+    plan = costing.evaluate_purchase(offer, F.lit("g"), F.when(F.col("p_size") % 2 == 0, "stock_up").otherwise("exact_need"), need, need * 2, F.lit(20.0))
+    return t("part").select(n.alias("item"), plan.alias("p")).select("item", "p.sale_mode", "p.valid", "p.reason", F.col("p.packs").alias("packs"), "p.total")
+
+
+@query(f"""WITH o AS (SELECT l_partkey AS item, l_suppkey AS store, {PRICE} AS price, l_extendedprice / l_quantity * (1 + l_discount) AS was, l_orderkey, l_linenumber FROM lineitem),
+m AS (SELECT *, min(price) FILTER (price > 0) OVER (PARTITION BY item) AS least FROM o)
+SELECT item, store, price, l_orderkey, l_linenumber, CASE WHEN was > price + 0.005::DOUBLE THEN {_r2('was - price')} END AS saving FROM m WHERE price > 0 AND price <= least + 0.005::DOUBLE AND (was > price + 0.005::DOUBLE OR l_linenumber = 1)""")
+def cheaper_sale_offers(t):
+    price = r2(F.col("l_extendedprice") / F.col("l_quantity"))
+    rows = t("lineitem").select(
+        F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("store"), price.alias("price"), (F.col("l_extendedprice") / F.col("l_quantity") * (1 + F.col("l_discount"))).alias("was"),
+        (F.col("l_linenumber") == 1).alias("flag"), "l_orderkey", "l_linenumber",
+    )
+    return offer_ops.cheaper_sales(rows).select("item", "store", "price", "l_orderkey", "l_linenumber", offer_ops.sale_saving(F.col("price"), F.col("was")).alias("saving"))
+
+
+@query(f"""WITH o AS (SELECT p_brand AS item, p_partkey AS offer, p_retailprice AS price, CASE WHEN p_partkey % 3 > 0 THEN p_size / 1000.0::DOUBLE END AS kg FROM part)
+SELECT item, offer, price FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY coalesce(price / kg, price), offer) AS r FROM o WHERE price > 0) WHERE r = 1""")
+def cheapest_by_fair_unit(t):
+    rows = t("part").select(F.col("p_brand").alias("item"), F.col("p_partkey").alias("offer"), F.col("p_retailprice").alias("price"), F.when(F.col("p_partkey") % 3 > 0, F.col("p_size") / 1000).alias("kg"))
+    return offer_ops.cheapest(rows, "item", offer_ops.fair_unit(F.col("price"), F.col("kg")), "offer").select("item", "offer", "price")
+
+
+@query("""WITH o AS (SELECT p_brand AS item, p_partkey AS offer, p_retailprice AS price, p_size, lower(p_name) AS n FROM part),
+s AS (SELECT *, CASE WHEN contains(n, 'bolt') THEN 10 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN contains(n, 'pure') THEN 1 ELSE 0 END - CASE WHEN price > 40 THEN 1 ELSE 0 END END AS score FROM o)
+SELECT item, offer FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY offer % 211 <> 0, score DESC, offer) AS r FROM s WHERE score IS NOT NULL OR offer % 211 = 0) WHERE r = 1""")
+def best_offer_match(t):
+    rows = t("part").select(F.col("p_brand").alias("item"), F.col("p_partkey").alias("offer"), F.col("p_retailprice").alias("price"), "p_size", "p_name")
+    score = offer_ops.score_match(F.col("p_name"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("price"), F.col("p_size") % 2 == 0, F.lit(False), F.lit("the pure bolts".replace("bolts", "bolt")))
+    return offer_ops.best_match(rows, "item", score, F.col("offer") % 211 == 0, "offer").select("item", "offer")
+
+
+def recommended_plans(t):
+    """At most three store plans for every cart; no SQL, see the tests."""
+    priced = basket.priced_lines(carts(t), basket.best_offers(offers(t)))
+    lines = priced.groupBy("cart", F.col("item").alias("ord")).agg(*[F.min(F.when(F.col("store") == i, F.col("cost"))).alias(s) for i, s in enumerate(STORES)])
+    return plan_ops.recommend(lines, STORES)
+
+
+QUERIES["recommended_plans"] = lambda spark, sf_dir: recommended_plans(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+@query("""WITH l AS (SELECT DISTINCT lower(p_name) AS name FROM part), c AS (SELECT 'b_' || p_brand AS id, min(p_name) || ' ' || p_type AS label FROM part GROUP BY p_brand, p_type)
+SELECT name, arg_min(id, (-score, label, id)) AS id, arg_min(label, (-score, label, id)) AS label, max(score) AS score
+FROM (SELECT name, id, label, CASE WHEN lower(label) = name THEN 100 WHEN starts_with(lower(label), name) THEN 80 WHEN contains(lower(label), name) THEN 60 WHEN contains(replace(id, '_', ' '), name) THEN 40 ELSE 20 END AS score
+  FROM l JOIN c ON contains(lower(label || ' ' || replace(id, '_', ' ')), name) OR list_aggregate(list_transform(string_split(name, ' '), lambda x: contains(lower(label || ' ' || replace(id, '_', ' ')), x)), 'bool_and'))
+GROUP BY name""")
+def receipt_text_match(t):
+    catalogue = t("part").groupBy("p_brand", "p_type").agg(F.min("p_name").alias("n")).select(F.concat(F.lit("b_"), "p_brand").alias("id"), F.concat_ws(" ", "n", "p_type").alias("label"))
+    return receipts.match_lines(t("part").select(F.lower("p_name").alias("name")), catalogue)
 
 
 @query("WITH w AS (SELECT *, bool_or(p_type <> 'ECONOMY') OVER (PARTITION BY p_brand, p_name) AS has FROM part) SELECT p_partkey AS item, p_type AS kind FROM w WHERE p_type <> 'ECONOMY' OR NOT has")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.money import r2
+from larder.functions.units import parse_mass_kg
+
 RECEIPT_SCHEMA = (
     "date date, store string, upc string, name string, qty double, unit_price double, line_total double, product_id string, retailer string, source_image string"
 )
@@ -70,3 +73,42 @@ def upsert(base: DataFrame, changes: DataFrame, key: list[str], order: str) -> D
     both = base.withColumn("_src", F.lit(0)).unionByName(changes.withColumn("_src", F.lit(1)))
     best = both.groupBy(*key).agg(F.max(F.struct(order, "_src", *[c for c in columns if c != order])).alias("m"))
     return best.select(*[F.col(c) if c in key else F.col(f"m.{c}").alias(c) for c in base.columns])
+
+
+def tag_value(tags: Column, key: str) -> Column:
+    """The text after KEY: of the last tag that begins so, in tags such as INSTOREPRICE:16.59; null without one."""
+    found = F.filter(tags, lambda t: F.substring_index(t, ":", 1) == key)
+    return F.nullif(F.substring(F.try_element_at(found, F.lit(-1)), len(key) + 2, 1 << 20), F.lit(""))
+
+
+def tagged_offers(documents: DataFrame) -> DataFrame:
+    """Offers of a shop export whose shelf price is a tag: rows (payload), one per product with the tag INSTOREPRICE.
+
+    A variant's own price is the online one and never stands for the shelf; without a positive tag there is no offer.
+    Of several variants the first gives barcode and availability. A title by the kilogram has a mass of 1.
+    """
+    fields = "id:string,title:string,handle:string,vendor:string,tags:array<string>,variants:array<struct<sku:string,available:boolean,price:string,grams:string>>"
+    products = documents.select(F.from_json("payload", f"products array<struct<{fields}>>").alias("d")).select(F.explode("d.products").alias("p"))
+    number = lambda t: F.regexp_extract(t, r"^\s*(\d+\.?\d*|\.\d+)", 1).try_cast("double")
+    price, first = number(tag_value(F.col("p.tags"), "INSTOREPRICE")), F.get("p.variants", F.lit(0))
+    code = F.regexp_replace(F.coalesce(first["sku"], F.lit("")), r"\D", "")
+    by_kg = F.lower("p.title").rlike(r"per\s*kg")
+    rows = products.select(
+        F.col("p.id").alias("product_id"), F.col("p.title").alias("name"), F.nullif(F.trim("p.vendor"), F.lit("")).alias("brand"), price.alias("price"),
+        number(tag_value(F.col("p.tags"), "MARKUP")).alias("markup"), F.when(F.length(code) >= 8, code).alias("upc"),
+        F.when(first["available"], "in_stock").when(~first["available"], "out_of_stock").otherwise("unknown").alias("availability"),
+        F.when(by_kg, 1.0).otherwise(F.coalesce(parse_mass_kg(F.col("p.title")), F.when(first["grams"].try_cast("double") > 0, first["grams"].try_cast("double") / 1000))).alias("kg"),
+    )
+    return rows.where("price > 0").withColumn("unit_price", F.when(F.col("kg") > 0, r2(F.col("price") / F.col("kg"))))
+
+
+def merge_upsert(base: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Rows of both by key, each field the newest that is not null by `order`, a change before an equally new base row.
+
+    Fields that a change lacks keep what was known; one aggregation, no join. Rows with a null order are the oldest.
+    """
+    columns = [c for c in base.columns if c not in key]
+    both = base.select("*", F.lit(0).alias("src__")).unionByName(changes.select("*", F.lit(1).alias("src__")), allowMissingColumns=True)
+    rank = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"), F.col("src__").alias("src"))
+    newest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), rank)).alias(c) for c in columns]
+    return both.groupBy(*key).agg(*newest).select(*base.columns)
