@@ -54,9 +54,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), _GAPS), lambda w: w != "")
 
 
+def pairs_of(words: Column) -> Column:
+    """The pairs of neighbouring words; of the last word with nothing, null."""
+    return F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def bigrams(words: Column) -> Column:
     """The distinct pairs of neighbouring words."""
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat_ws(" ", a, b)))
+    return F.array_distinct(F.array_compact(pairs_of(words)))
 
 
 def _python_words(text: str) -> list[str]:
@@ -114,16 +119,24 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
 
         by_line = F.transform("lines", lambda words, i: compared(words, i + 1))
         starts = F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), t["stride"])
-        windows = F.transform(starts, lambda a: compared(F.slice("words", a + 1, t["w"]), F.get("line_of", a)))
-        return F.array_max(F.concat(by_line, F.array(compared(F.col("words"), F.lit(0))), windows))
 
-    rows = docs.select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of).alias("lines"))
-    rows = rows.select("doc_id", "lines", F.flatten("lines").alias("words"))
-    rows = rows.select("doc_id", "lines", "words", F.array_intersect(bigrams(F.col("words")), strings(pairs)).alias("seen"))
+        def windows(hits: Column) -> Column:  # those with a pair of the template; no other can match
+            near = F.filter(starts, lambda a: F.exists(hits, lambda p: p.between(a, a + t["w"] - 2)))
+            return F.transform(near, lambda a: compared(F.slice("words", a + 1, t["w"]), F.get("line_of", a)))
+
+        hits = F.filter(F.transform("pairs", lambda p, i: F.when(F.array_contains(t["own"], p), i)), lambda i: i.isNotNull())
+        found = F.get(F.transform(F.array(hits), windows), F.lit(0))
+        return F.array_max(F.concat(by_line, F.array(compared(F.col("words"), F.lit(0))), found))
+
+    rows = docs.select("doc_id", "text", words_of(F.coalesce("text", F.lit(""))).alias("words"))
+    rows = rows.select("doc_id", "text", "words", F.array_intersect(pairs_of(F.col("words")), strings(pairs)).alias("seen"))
     line_of = F.flatten(F.transform("lines", lambda words, i: F.array_repeat(i + 1, F.size(words))))
     possible = F.filter(table, lambda t: F.size(F.array_intersect("seen", t["own"])) >= t["need"])
-    rows = rows.select("doc_id", "lines", "words", F.when(F.size("seen") > 0, possible).alias("possible"))
-    rows = rows.select("doc_id", "lines", "words", "possible", F.when(F.size("possible") > 0, line_of).alias("line_of"))
+    rows = rows.select("doc_id", "text", "words", F.when(F.size("seen") > 0, possible).alias("possible"))
+    lines = F.when(F.size("possible") > 0, F.transform(F.split("text", "\n"), words_of))
+    rows = rows.select("doc_id", lines.alias("lines"), "words", "possible")
+    some = F.size("possible") > 0
+    rows = rows.select("doc_id", "lines", "words", "possible", F.when(some, line_of).alias("line_of"), F.when(some, pairs_of(F.col("words"))).alias("pairs"))
     hits = F.when(
         F.size("possible") > 0,
         F.filter(F.transform("possible", lambda t: F.struct(best(t).alias("best"), t["license"].alias("license"))), lambda h: h["best"]["dice"] >= least),
