@@ -19,6 +19,8 @@ from larder.operators import plans as plan_ops
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: Queries that SQL cannot say, tested on literals.
+OTHERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "basket_best_tie"
 STORES = ["s0", "s1", "s2", "s3"]
 AS_OF = "2024-02-01 00:00:00"
@@ -523,7 +525,7 @@ def recommended_plans(t):
     return plan_ops.recommend(lines, STORES)
 
 
-QUERIES["recommended_plans"] = lambda spark, sf_dir: recommended_plans(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+OTHERS["recommended_plans"] = lambda spark, sf_dir: recommended_plans(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 @query("""WITH l AS (SELECT DISTINCT lower(p_name) AS name FROM part), c AS (SELECT 'b_' || p_brand AS id, min(p_name) || ' ' || p_type AS label FROM part GROUP BY p_brand, p_type)
