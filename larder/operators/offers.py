@@ -199,7 +199,8 @@ def cheapest(offers: DataFrame, key: str, value: Column, order: str) -> DataFram
 
 def best_match(offers: DataFrame, key: str, score: Column, preferred: Column, order: str) -> DataFrame:
     """Of each key the preferred offer if it is there, else the one of the highest score, the first by `order` among equals; null scores never win."""
-    rank = F.struct((~F.coalesce(preferred, F.lit(False))).alias("other"), (-score).alias("score"), F.col(order))
+    other = ~F.coalesce(preferred, F.lit(False))
+    rank = F.struct(other.alias("other"), F.when(other, -score).alias("score"), F.col(order))  # of several preferred ones the first
     found = offers.withColumn("rank__", rank).where(F.coalesce(preferred, F.lit(False)) | score.isNotNull())
     return found.groupBy(key).agg(F.min_by(F.struct(*offers.columns), "rank__").alias("m")).select("m.*")
 

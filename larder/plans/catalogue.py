@@ -408,12 +408,12 @@ def upc_suffix_join(t):
 _SKUS = "SELECT o_orderstatus AS s, CAST(o_orderkey * 7 + 99990 AS VARCHAR) AS id FROM orders"
 
 
-@query(f"""WITH o AS ({_SKUS}), a AS (SELECT id, CAST(id AS BIGINT) AS n FROM o WHERE s = 'P'), b AS (SELECT CAST(CAST(id AS BIGINT) + k AS VARCHAR) AS id, CAST(id AS BIGINT) + k AS n FROM o, range(-1, 2) r(k) WHERE s = 'F')
+@query(f"""WITH o AS ({_SKUS}), a AS (SELECT id, CAST(id AS BIGINT) AS n FROM o), b AS (SELECT CAST(CAST(id AS BIGINT) + k AS VARCHAR) AS id, CAST(id AS BIGINT) + k AS n FROM o, range(-1, 2) r(k) WHERE s = 'F')
 SELECT a.id AS left_id, b.id AS right_id FROM a JOIN b ON a.id = b.id OR (abs(a.n - b.n) = 1 AND length(a.id) = length(b.id) AND length(a.id) >= 6)""")
 def sku_off_by_one_join(t):
-    ids = lambda s: t("orders").where(F.col("o_orderstatus") == s).select((F.col("o_orderkey") * 7 + 99990).cast("string").alias("id"))
-    near = ids("F").select(F.explode(F.array(*[(F.col("id").cast("long") + k).cast("string") for k in (-1, 0, 1)])).alias("id"))
-    return identity.off_by_one_join(ids("P"), near)
+    ids = t("orders").select((F.col("o_orderkey") * 7 + 99990).cast("string").alias("id"), "o_orderstatus")
+    near = ids.where("o_orderstatus = 'F'").select(F.explode(F.array(*[(F.col("id").cast("long") + k).cast("string") for k in (-1, 0, 1)])).alias("id"))
+    return identity.off_by_one_join(ids, near)
 
 
 @query("""WITH s AS (SELECT p_partkey AS id, p_name AS label, lower(p_name || ' ' || p_type) AS hay, lower(p_name || ' ' || p_brand) AS l FROM part)
@@ -511,7 +511,7 @@ def cheapest_by_fair_unit(t):
 
 @query("""WITH o AS (SELECT p_brand AS item, p_partkey AS offer, p_retailprice AS price, p_size, lower(p_name) AS n FROM part),
 s AS (SELECT *, CASE WHEN contains(n, 'bolt') THEN 10 + CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN contains(n, 'pure') THEN 1 ELSE 0 END - CASE WHEN price > 40 THEN 1 ELSE 0 END END AS score FROM o)
-SELECT item, offer FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY offer % 211 <> 0, score DESC, offer) AS r FROM s WHERE score IS NOT NULL OR offer % 211 = 0) WHERE r = 1""")
+SELECT item, offer FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY offer % 211 <> 0, CASE WHEN offer % 211 <> 0 THEN score END DESC, offer) AS r FROM s WHERE score IS NOT NULL OR offer % 211 = 0) WHERE r = 1""")
 def best_offer_match(t):
     rows = t("part").select(F.col("p_brand").alias("item"), F.col("p_partkey").alias("offer"), F.col("p_retailprice").alias("price"), "p_size", "p_name")
     score = offer_ops.score_match(F.col("p_name"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("price"), F.col("p_size") % 2 == 0, F.lit(False), F.lit("the pure bolts".replace("bolts", "bolt")))
