@@ -15,7 +15,7 @@ Documents are held in shards of a few MB. For removal, equal contexts are found
 first, by hashes: a shard sends one of its equal contexts, and of equal ones among
 shards only the earliest is looked at again; the others are repeats of it. Texts
 move only where an anchor has several contexts. An anchor that occurs in more than
-HOT shards is dealt by the contents of its contexts and windows. So no task holds a
+`hot` shards is dealt by the contents of its contexts and windows. So no task holds a
 group that grows with the corpus.
 """
 
@@ -133,8 +133,8 @@ def _unpacked(payload: bytes) -> dict[str, pa.Array]:
     return {name: table.column(name).combine_chunks() for name in table.column_names}
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, payload): the rows of a task in blocks of about SHARD_BYTES of text, sorted by doc_id."""
+def _shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """(shard, payload): the rows of a task in blocks of about `most` bytes of text, sorted by doc_id."""
     number = TaskContext.get().partitionId() << 24
     held: list[pa.RecordBatch] = []
     size = 0
@@ -151,7 +151,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         start = 0
         for i, n in enumerate(lengths.tolist()):
-            if size and size + n > SHARD_BYTES:
+            if size and size + n > most:
                 held.append(batch.slice(start, i - start))
                 yield block()
                 number, held, start, size = number + 1, [], i, 0
@@ -181,8 +181,8 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 )
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, payload): those of a shard's anchors that occur twice anywhere, with a mark where they are hot."""
+def _answered(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """(shard, payload): those of a shard's anchors that occur twice anywhere, with a mark where over `hot` shards have them."""
     shards: list[int] = []
     keys: list[np.ndarray] = []
     twice: list[np.ndarray] = []
@@ -203,7 +203,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = place[end - len(own) : end]
         hit = repeated[at]
         if hit.any():
-            payload = own[hit].tobytes() + (counts[at[hit]] > HOT).astype(np.uint8).tobytes()
+            payload = own[hit].tobytes() + (counts[at[hit]] > hot).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([payload], pa.binary())], names=["shard", "payload"])
 
 
@@ -526,17 +526,17 @@ def _cleaned(shards: pa.Table, spans: pa.Table, columns: list[str], digests: boo
     return pa.concat_tables(out)
 
 
-def _answers(shards: DataFrame, buckets: int) -> DataFrame:
+def _answers(shards: DataFrame, buckets: int, hot: int) -> DataFrame:
     return (
         shards.mapInArrow(lambda it: _asked(it, buckets), "bucket long, shard long, payload binary")
-        .repartition(buckets, "bucket").mapInArrow(_answered, "shard long, payload binary")
+        .repartition(buckets, "bucket").mapInArrow(lambda it: _answered(it, hot), "shard long, payload binary")
     )
 
 
-def _spans(shards: DataFrame, buckets: int) -> DataFrame:
+def _spans(shards: DataFrame, buckets: int, hot: int) -> DataFrame:
     """(shard, kind 1, payload): every span of bytes that occurs earlier."""
     by_shard = shards.groupBy("shard")
-    hashed = by_shard.cogroup(_answers(shards, buckets).groupBy("shard")).applyInArrow(
+    hashed = by_shard.cogroup(_answers(shards, buckets, hot).groupBy("shard")).applyInArrow(
         lambda a, b: _hashed(a, b, buckets), "bucket long, shard long, kind int, payload binary"
     )
     matched = cut(hashed.repartition(buckets, "bucket").mapInArrow(_matched, "shard long, kind int, payload binary"))
@@ -547,7 +547,7 @@ def _spans(shards: DataFrame, buckets: int) -> DataFrame:
     return matched.where("kind = 1").unionByName(compared)
 
 
-def remove_repeats(docs: DataFrame, digests: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, digests: bool = True, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents without every byte covered by MIN_BYTES bytes that also start earlier in the corpus.
 
     docs: doc_id, an integer, text, and any other columns, which are returned as
@@ -556,13 +556,14 @@ def remove_repeats(docs: DataFrame, digests: bool = True) -> DataFrame:
     the same document and an earlier start; strings are judged on the input. Matches
     never cross documents. text is what is left; bytes of a character cut in half
     are dropped from it, kept_sha256 is over all remaining bytes. With digests also
-    n_bytes, n_removed, n_spans and kept_sha256. A null text stays null and counts as
+    n_bytes, n_removed, n_spans and kept_sha256. hot and shard_bytes (see the module)
+    say how the work is dealt and do not change the result. A null text stays null and counts as
     empty; an empty table gives an empty result.
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else []
     docs = docs.select(*[c for c in docs.columns if c not in names])
-    shards = cut(docs.mapInArrow(_shards, "shard long, payload binary"))
-    spans = _spans(shards, max(partitions(docs.sparkSession), 1))
+    shards = cut(docs.mapInArrow(lambda it: _shards(it, shard_bytes), "shard long, payload binary"))
+    spans = _spans(shards, max(partitions(docs.sparkSession), 1), hot)
     kinds = {"kept_sha256": T.StringType()}
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n in names)])
     columns = list(docs.columns)
@@ -571,7 +572,7 @@ def remove_repeats(docs: DataFrame, digests: bool = True) -> DataFrame:
     )
 
 
-def repeat_groups(docs: DataFrame) -> DataFrame:
+def repeat_groups(docs: DataFrame, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per occurrence of a maximal repeat: anchor, length, first_doc_id, first_start, doc_id, start.
 
     A group is named by its anchor, length and first occurrence, and lists every
@@ -610,9 +611,9 @@ def repeat_groups(docs: DataFrame) -> DataFrame:
                 )
 
     buckets = max(partitions(docs.sparkSession), 1)
-    shards = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_shards, "shard long, payload binary"))
+    shards = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _shards(it, shard_bytes), "shard long, payload binary"))
     contexts = (
-        shards.groupBy("shard").cogroup(_answers(shards, buckets).groupBy("shard"))
+        shards.groupBy("shard").cogroup(_answers(shards, buckets, hot).groupBy("shard"))
         .applyInArrow(lambda a, b: _contexts(a, b, buckets), "bucket long, shard long, payload binary")
     )
     return contexts.repartition(buckets, "bucket").mapInArrow(listed, "anchor long, length long, first_doc_id long, first_start long, doc_id long, start long")

@@ -55,10 +55,8 @@ def brute_spans(texts):
 
 
 @pytest.mark.parametrize("hot,shard", [(1024, 4 << 20), (1, 1500)])
-def test_suffix_removal(spark, rows, docs, monkeypatch, hot, shard):
-    monkeypatch.setattr(suffix, "HOT", hot)
-    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
-    got = {r.doc_id: r for r in suffix.remove_repeats(docs).collect()}
+def test_suffix_removal(spark, rows, docs, hot, shard):
+    got = {r.doc_id: r for r in suffix.remove_repeats(docs, hot=hot, shard_bytes=shard).collect()}
     for (i, _, _), (raw, mark) in zip(rows, brute_spans([t for _, t, _ in rows])):
         kept = raw if not mark.any() else np.frombuffer(raw, np.uint8)[~mark].tobytes()
         spans = int((np.diff(np.append(0, mark.astype(int))) > 0).sum())
