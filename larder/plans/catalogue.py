@@ -16,6 +16,8 @@ from larder.functions.money import packs_needed, r2
 from larder.operators import basket, compare, costing, identity, quality, receipts
 from larder.operators import offers as offer_ops
 from larder.operators import plans as plan_ops
+from larder.operators import resolve as resolve_ops
+from larder.operators import verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -642,3 +644,97 @@ def convert_units(t):
     size: Column = F.col("p_size").cast("double")
     rounded = units.convert(size, F.lit("lb"), F.lit("kg"))
     return t("part").select(F.col("p_partkey").alias("item"), rounded.alias("kg_of_lb"), units.convert(size, F.lit("ea"), F.lit("dozen")).alias("dozens"))
+
+
+OFFERED = """raw AS (
+  SELECT p_partkey // 8 AS item, CAST(p_partkey % 8 AS INT) AS ord, CAST(100000 + p_partkey - CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 0 END AS VARCHAR) AS product_id,
+    p_name || CASE WHEN p_partkey % 4 = 0 THEN ' case' ELSE '' END AS name, p_retailprice AS price, CASE WHEN p_partkey % 3 > 0 THEN p_size / 10.0::DOUBLE END AS kg,
+    p_partkey % 6 <> 0 AS shelf, CASE WHEN p_size % 3 = 0 THEN 'size' END AS reason, CASE WHEN p_size % 3 > 0 THEN 'other' END AS second_reason,
+    CASE WHEN p_partkey // 8 % 5 = 0 AND p_size % 3 > 0 THEN p_size END AS need, CASE WHEN p_size % 2 = 0 THEN p_retailprice * 3 END AS cover FROM part),
+o AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY item, product_id ORDER BY ord) = 1),
+i AS (SELECT DISTINCT item, item % 2 = 0 AS cheapest, item % 4 = 0 AS skip, item % 2 = 1 AS second, item % 5 > 0 AS if_cheaper,
+  CASE WHEN item % 3 > 0 THEN CAST(100000 + item * 8 + item % 9 AS VARCHAR) END AS sku FROM raw)"""
+
+
+def _offered(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    part, key = t("part"), F.col("p_partkey")
+    item = F.floor(key / 8)
+    rows = part.select(
+        item.alias("item"), (key % 8).cast("int").alias("ord"), (100000 + key - F.when(key % 7 == 0, 2).otherwise(0)).cast("string").alias("product_id"), F.lit("").alias("url"),
+        F.concat("p_name", F.when(key % 4 == 0, " case").otherwise("")).alias("name"), F.col("p_retailprice").alias("price"), F.when(key % 3 > 0, F.col("p_size") / 10).alias("kg"),
+        F.when(key % 6 == 0, "out_of_stock").alias("availability"), F.when(F.col("p_size") % 3 == 0, "size").alias("reason"), F.when(F.col("p_size") % 3 > 0, "other").alias("alternate_reason"),
+        F.when((item % 5 == 0) & (F.col("p_size") % 3 > 0), F.col("p_size")).alias("need"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice") * 3).alias("cover"),
+    )
+    items = rows.select("item").distinct().select(
+        "item", (F.col("item") % 2 == 0).alias("cheapest"), (F.col("item") % 4 == 0).alias("skip_lock"), (F.col("item") % 2 == 1).alias("alternate"),
+        (F.col("item") % 5 > 0).alias("use_if_cheaper"), F.lit(False).alias("keep"),
+    )
+    links = items.where("item % 3 > 0").select(
+        "item", (100000 + F.col("item") * 8 + F.col("item") % 9).cast("string").alias("sku"), F.lit(True).alias("verified"), F.lit("auto_linked").alias("decision"),
+        F.lit("identity").alias("kind"), F.lit(False).alias("skipped"),
+    )
+    return rows, items, links
+
+
+@query(f"""WITH {OFFERED},
+j AS (SELECT *, coalesce(price / kg, price) AS fair, contains(name, ' case') AS boxed, CASE WHEN cheapest AND skip THEN NULL ELSE sku END AS lock FROM o JOIN i USING (item)),
+hit AS (SELECT * FROM j WHERE abs(CAST(product_id AS BIGINT) - CAST(lock AS BIGINT)) <= 1 QUALIFY row_number() OVER (PARTITION BY item ORDER BY ord) = 1),
+good AS (SELECT * FROM j WHERE shelf AND reason IS NULL QUALIFY NOT boxed OR bool_and(boxed) OVER (PARTITION BY item)),
+ways AS (
+  SELECT item, product_id, price, fair, ord, 1 AS level, 0.0::DOUBLE AS rank, CASE WHEN product_id = lock THEN 'mapped_sku' ELSE 'mapped_sku_alias' END AS way, lock AS note FROM hit WHERE shelf AND reason IS NULL
+  UNION ALL SELECT item, product_id, price, fair, ord, 2, need, 'need', 'need' FROM j WHERE cheapest AND shelf AND need IS NOT NULL
+  UNION ALL SELECT item, product_id, price, fair, ord, 3, fair, 'fair', NULL FROM good WHERE cheapest
+  UNION ALL SELECT item, product_id, price, fair, ord, 4, cover, 'cover', 'cover' FROM good WHERE NOT cheapest AND cover IS NOT NULL
+  UNION ALL SELECT item, product_id, price, fair, ord, 5, 0, 'first', NULL FROM good),
+main AS (SELECT * FROM ways QUALIFY row_number() OVER (PARTITION BY item ORDER BY level, rank, ord) = 1),
+pool AS (SELECT * FROM j WHERE second AND shelf AND second_reason IS NULL QUALIFY NOT boxed OR bool_and(boxed) OVER (PARTITION BY item)),
+alt AS (SELECT p.* FROM pool p LEFT JOIN main m USING (item) WHERE p.product_id IS DISTINCT FROM m.product_id QUALIFY row_number() OVER (PARTITION BY item ORDER BY p.fair, p.ord) = 1),
+f AS (SELECT i.item, m.way, m.note, m.product_id AS mid, m.price AS mprice, a.product_id AS aid, a.price AS aprice, l.product_id AS lid, l.shelf AS lshelf, l.reason AS lreason,
+  a.item IS NOT NULL AND coalesce(m.way, '') NOT IN ('need', 'fair') AND (m.item IS NULL OR (i.if_cheaper AND a.fair < m.fair)) AS swap
+  FROM i LEFT JOIN main m USING (item) LEFT JOIN alt a USING (item) LEFT JOIN (SELECT * FROM o WHERE ord = 0) l USING (item))
+SELECT item, CASE WHEN swap THEN aid ELSE mid END AS product_id, CASE WHEN swap THEN aprice ELSE mprice END AS price,
+  CASE WHEN NOT swap AND way LIKE 'mapped%' THEN way WHEN swap OR mid IS NOT NULL THEN CASE WHEN CASE WHEN swap THEN aid ELSE mid END = lid THEN 'catalog' ELSE 'filtered_alternate' END
+    WHEN lid IS NULL OR NOT lshelf THEN 'no_offer' ELSE 'rejected_filter' END AS reason,
+  CASE WHEN swap THEN CASE WHEN mid IS NULL THEN 'alternate_fallback' ELSE 'alternate_cheaper' END WHEN mid IS NOT NULL THEN note WHEN NOT lshelf THEN 'not_on_shelf' WHEN lid IS NOT NULL THEN coalesce(lreason, 'filter') END AS detail
+FROM f""")
+def catalogue_resolution(t):
+    return resolve_ops.resolve(*_offered(t))
+
+
+@query(f"""WITH {OFFERED}, g AS (SELECT item, arg_min(product_id, ord) AS first FROM o WHERE price > 0 AND shelf AND reason IS NULL GROUP BY item)
+SELECT item, coalesce(CASE WHEN item % 4 > 0 THEN sku END, CASE WHEN item % 7 = 0 THEN 'c' || item END, first, 'p' || item) AS sku FROM i LEFT JOIN g USING (item)""")
+def price_refresh_sku(t):
+    rows, items, links = _offered(t)
+    known = items.select("item", F.when(F.col("item") % 7 == 0, F.concat(F.lit("c"), F.col("item").cast("string"))).alias("confirmed"), F.concat(F.lit("p"), F.col("item").cast("string")).alias("preferred"))
+    return resolve_ops.refresh_sku(rows, links.withColumn("decision", F.when(F.col("item") % 4 == 0, "needs_review").otherwise("auto_linked")), known)
+
+
+def _among_sql() -> str:
+    names = verdicts.STORES
+    listed = ", ".join(f"CASE WHEN {s} IS NOT NULL AND item % 5 <> {n} THEN {{'cost': {s}, 'store': '{names[n]}'}} END" for n, s in enumerate(STORES))
+    return f"""WITH w AS ({WIDE}), p AS (SELECT item, list_filter([{listed}], lambda x: x IS NOT NULL) AS p FROM w),
+v AS (SELECT item, p, list_sort(list_transform(p, lambda x: x.cost)) AS v FROM p), n AS (SELECT item, v, list_filter(p, lambda x: abs(x.cost - v[1]) < 0.005) AS near FROM v)
+SELECT item, CASE WHEN len(v) < 2 THEN 'incomplete' WHEN len(near) > 1 THEN 'tie' ELSE near[1].store END AS cheaper, CASE WHEN len(v) > 1 THEN {_r2('v[1] - v[2]')} END AS delta FROM n"""
+
+
+@query(_among_sql())
+def cheaper_among_shown(t):
+    names = verdicts.STORES
+    shown = F.filter(F.array(*map(F.lit, names)), lambda s: s != F.coalesce(F.get(F.array(*map(F.lit, names)), (F.col("item") % 5).cast("int")), F.lit("")))
+    return promotions(t).select("item", F.inline(F.array(verdicts.cheaper_among({n: F.col(s) for n, s in zip(names, STORES)}, shown))))
+
+
+@query("""WITH c AS (SELECT o_custkey AS item, o_orderkey % 4 AS s, max(o_orderkey) AS product FROM orders GROUP BY ALL),
+v AS (SELECT *, CASE WHEN product % 3 = 0 THEN NULL WHEN product % 5 = 0 THEN NULL WHEN product % 2 = 0 THEN 'yes' ELSE 'no' END AS verdict FROM c)
+SELECT item, count(verdict) AS rated, count(*) AS total, count(*) FILTER (verdict = 'no') AS no, count(*) - count(verdict) AS unrated, count(*) > count(verdict) AS has_unrated,
+  count(*) FILTER (verdict = 'no') > 0 AS has_no FROM v GROUP BY item""")
+def verdict_progress(t):
+    """Verdicts as pasted JSON, read and put on the cells; every fifth is of another product, every third is missing."""
+    cells = t("orders").groupBy(F.col("o_custkey").alias("item"), (F.col("o_orderkey") % 4).cast("int").alias("s")).agg(F.max("o_orderkey").alias("product_id"))
+    cells = cells.select(F.col("item").cast("string").alias("item"), F.get(F.array(*map(F.lit, verdicts.STORES)), F.col("s")).alias("store"), "product_id")
+    said = cells.where("product_id % 3 <> 0").select(F.to_json(F.array(F.struct(
+        F.col("item").alias("stapleId"), "store", F.when(F.col("product_id") % 2 == 0, "yes").otherwise("no").alias("verdict"),
+        F.when(F.col("product_id") % 5 == 0, "other").otherwise(F.col("product_id").cast("string")).alias("productId"),
+    ))).alias("payload"))
+    judged = verdicts.applied(cells.withColumn("product_id", F.col("product_id").cast("string")), verdicts.parse_verdicts(said))
+    return verdicts.progress(judged).withColumn("item", F.col("item").cast("long"))

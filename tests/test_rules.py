@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.functions import text, units
-from larder.operators import costing, identity, offers, plans, receipts
+from larder.operators import costing, identity, offers, plans, receipts, resolve, verdicts
 from larder.sources import payloads
 
 
@@ -190,3 +190,55 @@ def test_merging_upserts(spark):
     new = spark.createDataFrame([("a", None, "z", 2), ("b", 8.0, None, 4), ("c", 7.0, None, None)], "item string, price double, note string, ts int")
     got = sorted(tuple(r) for r in payloads.merge_upsert(base, new, ["item"], "ts").collect())
     assert got == [("a", 1.0, "z", 2), ("b", 2.0, "y", 5), ("c", 7.0, None, None)]
+
+
+OFFER = "item string, ord int, product_id string, url string, name string, price double, kg double, availability string, reason string, alternate_reason string, need double, cover double"
+ITEM = "item string, cheapest boolean, skip_lock boolean, alternate boolean, use_if_cheaper boolean, keep boolean"
+LINK = "item string, sku string, verified boolean, decision string, kind string, skipped boolean"
+
+
+def resolved(spark, offers, item=("a", False, False, False, None, None), links=()):
+    made = [("a", n, *(o.get(c) for c in ("id", "url", "name", "price", "kg", "stock", "reason", "second", "need", "cover"))) for n, o in enumerate(offers)]
+    r = resolve.resolve(spark.createDataFrame(made, OFFER), spark.createDataFrame([item], ITEM), spark.createDataFrame(list(links), LINK)).collect()
+    assert len(r) == 1
+    return r[0].product_id, r[0].reason, r[0].detail
+
+
+def test_resolution(spark):
+    one_, two, box = {"id": "100010", "price": 3.0, "name": "x"}, {"id": "100013", "price": 2.0, "name": "y"}, {"id": "9", "price": 1.0, "name": "y 5x1kg"}
+    lock = [("a", "100014", True, None, None, None)]
+    assert resolved(spark, [one_, two]) == ("100010", "catalog", None)
+    assert resolved(spark, [one_, two], links=lock) == ("100013", "mapped_sku_alias", "100014")
+    assert resolved(spark, [one_, two], links=[("a", "100014", True, "needs_review", None, None)])[1] == "catalog"
+    assert resolved(spark, [one_, two | {"stock": "out_of_stock"}], links=lock)[0] == "100010"
+    cheap = ("a", True, True, False, None, None)
+    assert resolved(spark, [one_, two, box], cheap, [("a", "100010", True, None, None, None)]) == ("100013", "filtered_alternate", None)  # a case only where nothing else is
+    assert resolved(spark, [one_ | {"need": 4.0}, two | {"need": 5.0}], cheap) == ("100010", "catalog", "need")
+    assert resolved(spark, [one_ | {"cover": 9.0}, two | {"cover": 8.0}]) == ("100013", "filtered_alternate", "cover")
+    named = ("a", False, False, True, None, None)
+    apart = [one_ | {"second": "no"}, two | {"reason": "no"}]
+    assert resolved(spark, apart, named)[2] == "alternate_cheaper" and resolved(spark, apart, (*named[:4], False, None)) == ("100010", "catalog", None)
+    assert resolved(spark, [one_ | {"reason": "no"}, two | {"reason": "no", "second": None}], named)[2] == "alternate_fallback"
+    assert resolved(spark, [one_ | {"reason": "banned"}]) == (None, "rejected_filter", "banned")
+    assert resolved(spark, [one_ | {"stock": "out_of_stock"}]) == (None, "no_offer", "not_on_shelf")
+    assert resolved(spark, []) == (None, "no_offer", None)
+
+
+def test_verdicts_from_pasted_texts(spark):
+    fenced = '```json\n{"verdicts":[{"stapleId":"milk","store":"mvr","verdict":true,"price":"3.5"},{"id":"egg","store":"walmart","verdict":"ні","productId":" 7 "},{"id":"x","store":"q","verdict":"yes"}]}\n```'
+    texts = spark.createDataFrame([(fenced,), ('{"k":{"stapleId":"oil","store":"nofrills","verdict":"yes"},"kind":"x"}',), (None,), ("{",), ("[]",)], "payload string")
+    found = verdicts.parse_verdicts(texts)
+    assert sorted((r.item, r.verdict, r.empty, r.product_id, r.price) for r in found.collect()) == [("egg", "no", False, "7", None), ("milk", "yes", True, "", 3.5), ("oil", "yes", True, "", None)]
+    assert tuple(verdicts.summary(found).first()) == (2, 1, 2, 0, 3)
+    cells = spark.createDataFrame([("egg", "walmart", "7"), ("egg", "mvr", None), ("milk", "mvr", None), ("milk", "walmart", "9")], "item string, store string, product_id string")
+    got = {r.item: (r.rated, r.total, r.no, r.has_no) for r in verdicts.progress(verdicts.applied(cells, found)).collect()}
+    assert got == {"egg": (1, 2, 1, True), "milk": (1, 2, 0, False)}
+
+
+@pytest.mark.parametrize("raw,want", [('["mvr","walmart","mvr"]', ["mvr", "walmart"]), ("nofrills, q", ["nofrills"]), (None, verdicts.STORES), ("[", verdicts.STORES)])
+def test_shown_stores(spark, raw, want):
+    assert one(spark, verdicts.parse_stores(F.lit(raw).cast("string"))) == want
+    costs = {"walmart": F.lit(3.0), "mvr": F.lit(2.0), "nofrills": F.lit(2.004)}
+    r = one(spark, verdicts.cheaper_among(costs, F.array(F.lit("walmart"), F.lit("mvr"), F.lit("nofrills"))))
+    assert (r.cheaper, r.delta) == ("tie", 0.0)
+    assert one(spark, verdicts.toggle_store(F.array(F.lit("mvr")), F.lit("mvr"))) == ["mvr"]
