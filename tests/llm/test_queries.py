@@ -32,9 +32,9 @@ def test_against_sql(spark, name):
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(names, con.fetchall())
 
 
-def test_ten_operators_and_pipeline():
+def test_thirteen_operators_and_pipeline():
     names = entry.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
 
 
