@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, conversation, license_scan, media, mixing, packing, pulearn, revisit, search, simhash, suffix
+from larder.llm import chat, conversation, license_scan, manifest, media, mixing, packing, pulearn, revisit, search, simhash, suffix
 from larder.llm.common import table
 
 
@@ -61,11 +61,15 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repaired(table(spark, sf_dir, "conversations"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_revisit, op2_suffix, op3_quality, op4_media, op5_packing, op6_licenses, op7_mixing, op8_search, op9_chat,
-        op10_simhash, op12_repair,
+        op10_simhash, op12_repair, op13_manifest,
     )
 }
 
@@ -77,5 +81,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_revisit": revisit.ORACLE, "op6_licenses": license_scan.oracle(), "op8_search": search.oracle(), "op9_chat": chat.ORACLE,
-        "op12_repair": conversation.oracle(),
+        "op12_repair": conversation.oracle(), "op13_manifest": manifest.oracle(),
     }
