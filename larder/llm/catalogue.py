@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import chat, conversation, license_scan, manifest, media, mixing, packing, pulearn, revisit, search, simhash, suffix
+from larder.llm import chat, conversation, license_scan, manifest, media, mixing, packing, pulearn, revisit, search, simhash, suffix, triejoin
 from larder.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_triejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triejoin.join(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repaired(table(spark, sf_dir, "conversations"))
 
@@ -69,7 +73,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_revisit, op2_suffix, op3_quality, op4_media, op5_packing, op6_licenses, op7_mixing, op8_search, op9_chat,
-        op10_simhash, op12_repair, op13_manifest,
+        op10_simhash, op11_triejoin, op12_repair, op13_manifest,
     )
 }
 
@@ -81,5 +85,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_revisit": revisit.ORACLE, "op6_licenses": license_scan.oracle(), "op8_search": search.oracle(), "op9_chat": chat.ORACLE,
-        "op12_repair": conversation.oracle(), "op13_manifest": manifest.oracle(),
+        "op11_triejoin": triejoin.ORACLE, "op12_repair": conversation.oracle(), "op13_manifest": manifest.oracle(),
     }
