@@ -100,35 +100,39 @@ def loose_unit_price(text: Column, price: Column, per_kg: Column, unit: Column)
     return let(found, lambda x: F.when(x > 0, F.when(unit == "kg", x).when(unit == "g", x / 1000)))
 
 
-def evaluate_purchase(offer: dict[str, Column], unit: Column, strategy: Column, need: Column, maximum: Column, percent: Column) -> Column:
-    """struct<valid, reason, packs, got, extra, total, unit, sale_mode>: what an amount of a product costs as this offer.
-
-    offer: name, size, price, per_kg, parsed_kg, by_weight. unit: of need and maximum. strategy: stock_up or exact_need.
-    Offers sold loose cost their weight, others whole packs, by their strategy.
-    """
+def purchase_facts(offer: dict[str, Column], unit: Column) -> Column:
+    """struct<mode, per, pack, counted>: what an offer's text says for a purchase, whatever the amount; see evaluate_purchase."""
     text = F.concat(offer["name"], F.lit(" "), F.coalesce(offer["size"], F.lit("")))
-    price = offer["price"]
-    facts = F.struct(
-        units.sale_mode(text, offer["by_weight"], offer["parsed_kg"]).alias("mode"), loose_unit_price(text, price, offer["per_kg"], unit).alias("per"),
+    return F.struct(
+        units.sale_mode(text, offer["by_weight"], offer["parsed_kg"]).alias("mode"), loose_unit_price(text, offer["price"], offer["per_kg"], unit).alias("per"),
         pack_in_unit(text, offer["parsed_kg"], unit).alias("pack"), (units.dimension_of(unit) == "count").alias("counted"),
     )
+
+
+def purchase(x: Column, price: Column, strategy: Column, need: Column, maximum: Column, percent: Column) -> Column:
+    """The result of evaluate_purchase from the facts `x` of an offer."""
     none = lambda reason: _plan(F.lit(False), F.lit(reason), F.lit(0), F.lit(0.0), F.lit(0.0), F.lit(0.0))
     over = (strategy == "stock_up") & F.coalesce(need - 1e-6 > maximum, F.lit(False))
+    weighed = F.struct(
+        (~over).alias("valid"), F.when(over, OVER).alias("reason"), F.lit(1).cast("long").alias("packs"), r2(need).alias("got"), F.lit(0.0).alias("extra"),
+        F.when(~over, r2(need * x["per"])).alias("total"), r2(x["per"]).alias("unit"),
+    )
+    plan = (
+        F.when(~F.coalesce((price > 0) & (need > 0), F.lit(False)), none(NO_MATCH))
+        .when(x["mode"] == "loose_weight", F.when(x["per"].isNull(), none(NO_PACK)).otherwise(weighed))
+        .when(x["pack"].isNull() | (x["pack"] <= 0), none(NO_PACK))
+        .when(strategy == "stock_up", stock_up(price, x["pack"], need, maximum, x["counted"])).otherwise(exact_need(price, x["pack"], need, percent, x["counted"]))
+    )
+    return let(plan, lambda p: F.struct(*[p[c].alias(c) for c in ("valid", "reason", "packs", "got", "extra", "total", "unit")], x["mode"].alias("sale_mode")))
+
 
-    def costed(x: Column) -> Column:
-        weighed = F.struct(
-            (~over).alias("valid"), F.when(over, OVER).alias("reason"), F.lit(1).cast("long").alias("packs"), r2(need).alias("got"), F.lit(0.0).alias("extra"),
-            F.when(~over, r2(need * x["per"])).alias("total"), r2(x["per"]).alias("unit"),
-        )
-        plan = (
-            F.when(~F.coalesce((price > 0) & (need > 0), F.lit(False)), none(NO_MATCH))
-            .when(x["mode"] == "loose_weight", F.when(x["per"].isNull(), none(NO_PACK)).otherwise(weighed))
-            .when(x["pack"].isNull() | (x["pack"] <= 0), none(NO_PACK))
-            .when(strategy == "stock_up", stock_up(price, x["pack"], need, maximum, x["counted"])).otherwise(exact_need(price, x["pack"], need, percent, x["counted"]))
-        )
-        return let(plan, lambda p: F.struct(*[p[c].alias(c) for c in ("valid", "reason", "packs", "got", "extra", "total", "unit")], x["mode"].alias("sale_mode")))
-
-    return let(facts, costed)
+def evaluate_purchase(offer: dict[str, Column], unit: Column, strategy: Column, need: Column, maximum: Column, percent: Column) -> Column:
+    """struct<valid, reason, packs, got, extra, total, unit, sale_mode>: what an amount of a product costs as this offer.
+
+    offer: name, size, price, per_kg, parsed_kg, by_weight. unit: of need and maximum. strategy: stock_up or exact_need.
+    Offers sold loose cost their weight, others whole packs, by their strategy.
+    """
+    return let(purchase_facts(offer, unit), lambda x: purchase(x, offer["price"], strategy, need, maximum, percent))
 
 
 def cheapest_covering(plans: DataFrame, key: str, order: str) -> DataFrame:

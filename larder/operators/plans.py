@@ -55,75 +55,105 @@ def _choice(line: Column, stores: list[tuple[str, Column, Column]]) -> Column:
     return let(won, lambda w: F.struct(line["ord"].alias("ord"), w["store"].alias("store"), w["cost"].alias("cost")))
 
 
+def _carts(lines: DataFrame, stores: list[str]) -> DataFrame:
+    """cart, lines (in order) and requested; the lines of a cart meet in one row, as they do in a shopping list."""
+    costs = F.struct(*[F.col(s).cast("double").alias(s) for s in stores])
+    carts = lines.groupBy("cart").agg(F.sort_array(F.collect_list(F.struct("ord", costs.alias("costs")))).alias("lines"))
+    return carts.withColumn("requested", F.size("lines"))
+
+
+def _plans(sets: list[tuple[str, ...]]) -> Column:
+    """array<struct<plan, stores, n_stops, total, complete, filled, requested, stops, made>> of the sets whose stores all get a line."""
+    if not sets:
+        sets = [()]
+    made = F.array(*[F.struct(F.lit("+".join(c)).alias("plan"), F.array(*map(F.lit, c)).alias("stores"), _assigned(F.col("lines"), c).alias("made")) for c in sets])
+
+    def whole(p: Column) -> Column:
+        of = lambda s: lambda m: m["store"] == s
+        stops = F.transform(
+            p["stores"],
+            lambda s: F.struct(
+                (-F.size(F.filter(p["made"], of(s)))).alias("minus_n"), s.alias("store"), F.get(F.filter(p["made"], of(s)), F.lit(0))["ord"].alias("first"),
+                r2(F.aggregate(F.filter(p["made"], of(s)), F.lit(0.0), lambda a, m: a + m["cost"])).alias("subtotal"),
+            ),
+        )
+        n = F.size(p["made"])
+        return F.struct(
+            p["plan"].alias("plan"), p["stores"].alias("stores"), F.size(p["stores"]).alias("n_stops"), r2(F.aggregate(p["made"], F.lit(0.0), lambda a, m: a + m["cost"])).alias("total"),
+            (n == F.col("requested")).alias("complete"), n.alias("filled"), F.col("requested").alias("requested"), F.array_sort(stops).alias("stops"), p["made"].alias("made"),
+        )
+
+    return F.filter(F.transform(made, whole), lambda p: (p["filled"] > 0) & F.forall(p["stops"], lambda s: s["minus_n"] < 0))
+
+
 def cart_plans(lines: DataFrame, stores: list[str], most: int = 3) -> DataFrame:
-    """One row per cart and set of up to `most` stores: cart, plan, stores, n_stops, total, complete, filled, requested, stops, made.
+    """One row per cart and set of up to `most` stores: cart, plan, stores, n_stops, total, complete, filled, requested, stops, made, lines.
 
     lines: cart, ord, and a column of cost for each store, null or not positive where it has none. A set of which some
-    store gets no line is no plan. The lines of a cart meet in one row, as they do in a shopping list.
+    store gets no line is no plan.
     """
-    costs = F.struct(*[F.col(s).cast("double").alias(s) for s in stores])
-    carts = lines.groupBy("cart").agg(F.sort_array(F.collect_list(F.struct("ord", costs.alias("costs")))).alias("lines"))
     sets = [c for k in range(1, most + 1) for c in combinations(stores, k)]
-    plans = F.array(*[F.struct(F.lit("+".join(c)).alias("plan"), F.array(*map(F.lit, c)).alias("stores"), _assigned(F.col("lines"), c).alias("made")) for c in sets])
-    rows = carts.select("cart", F.size("lines").alias("requested"), "lines", F.explode(plans).alias("p")).select("cart", "requested", "lines", "p.*")
-    stop = F.transform(
-        "stores",
-        lambda s: F.struct(
-            (-F.size(F.filter("made", lambda m: m["store"] == s))).alias("minus_n"), s.alias("store"),
-            F.get(F.filter("made", lambda m: m["store"] == s), F.lit(0))["ord"].alias("first"),
-            r2(F.aggregate(F.filter("made", lambda m: m["store"] == s), F.lit(0.0), lambda a, m: a + m["cost"])).alias("subtotal"),
-        ),
+    # outer, as an inner explode puts a filter with the whole expression again before itself
+    return _carts(lines, stores).select("cart", "lines", F.explode_outer(_plans(sets)).alias("p")).where("p is not null").select("cart", "p.*", "lines")
+
+
+def _justified(plan: Column, best: Column, saving: Column, lines: Column, stores: list[str]) -> Column:
+    """Whether a plan's further stops are worth it; best: the least (total, plan) of the complete single stores, null if there is none."""
+    main = F.get(plan["stops"], F.lit(0))
+    fewest = F.element_at(plan["stops"], -1)["minus_n"]
+    smallest = F.get(F.filter(plan["stops"], lambda s: s["minus_n"] == fewest), F.lit(0))  # the first of those with the fewest lines
+    also = F.exists(lines, lambda x: (x["ord"] == smallest["first"]) & F.coalesce(F.coalesce(*[F.when(main["store"] == s, x["costs"][s]) for s in stores]) > 0, F.lit(False)))
+    small = (fewest == -1) & (smallest["store"] != main["store"]) & also & (saving < LEAST_SINGLE)
+    return (
+        F.when(plan["n_stops"] == 1, True).when(~plan["complete"], best.isNull()).when(best.isNull(), True)
+        .otherwise((saving >= LEAST_SAVING) & (plan["n_stops"] <= 2) & ~small)
     )
-    rows = rows.withColumn("stops", F.array_sort(stop)).where((F.size("made") > 0) & F.forall("stops", lambda s: s["minus_n"] < 0))
-    return rows.select(
-        "cart", "plan", "stores", F.size("stores").alias("n_stops"), r2(F.aggregate("made", F.lit(0.0), lambda a, m: a + m["cost"])).alias("total"),
-        (F.size("made") == F.col("requested")).alias("complete"), F.size("made").alias("filled"), "requested", "stops", "made", "lines",
-    )
 
 
 def recommend(lines: DataFrame, stores: list[str]) -> DataFrame:
     """At most three plans of each cart: cart, place, plan, kind, n_stops, total, filled, requested, saving, recommended.
 
     Shown are the best complete store, a second one within 8 dollars or 8 %, the best justified split; without a complete plan the
-    stores and the split that cover most. A split of two is justified if it saves 50 cents (2 dollars for a single item that
-    the main store has too) or fills what no single store has; three stores only where neither one nor two are complete.
+    stores and the split that cover most. A split of two is justified if it saves 50 cents (2 dollars where its smallest stop
+    is a single item that the main store has too) or fills what no single store has; three stores are tried only where neither one
+    nor two are complete. The plans of a cart are one array, folded once.
     """
-    plans = cart_plans(lines, stores)
-    best = plans.where("complete and n_stops = 1").groupBy("cart").agg(F.min(F.struct("total", "plan")).alias("best"))
-    fullest = plans.where("n_stops = 1").groupBy("cart").agg(F.max("filled").alias("_filled"))
-    two = plans.where("complete and n_stops = 2").select("cart").distinct().withColumn("_two", F.lit(True))
-    rows = plans.join(best, "cart", "left").join(fullest, "cart", "left").join(two, "cart", "left")
-    save = F.when(F.col("best").isNotNull() & F.col("complete") & (F.col("n_stops") > 1), r2(F.col("best.total") - F.col("total")))
-    main, last = F.get("stops", F.lit(0)), F.element_at("stops", -1)
-    single = last["minus_n"] == -1
-    also = F.exists("lines", lambda x: (x["ord"] == last["first"]) & F.coalesce(F.coalesce(*[F.when(main["store"] == s, x["costs"][s]) for s in stores]) > 0, F.lit(False)))
-    justified = (
-        F.when(F.col("n_stops") == 1, True).when(~F.col("complete"), F.col("best").isNull() & (F.col("filled") > 0)).when(F.col("best").isNull(), True)
-        .otherwise((save >= LEAST_SAVING) & (F.col("n_stops") <= 2) & ~(single & (last["store"] != main["store"]) & also & (save < LEAST_SINGLE)))
-    )
-    third = (F.col("n_stops") < 3) | (F.col("best").isNull() & F.col("_two").isNull())
-    rows = rows.withColumn("saving", save).where(F.coalesce(justified, F.lit(False)) & third)
-    kind = F.when(F.col("n_stops") == 1, "one_store").when(F.coalesce(F.col("total") + TIE < F.col("best.total"), F.lit(False)) & F.col("complete"), "split_cheaper").otherwise("split_fill")
-    one = F.struct(
-        (~F.col("complete")).alias("incomplete"), (-F.col("filled")).alias("minus_filled"), "n_stops", "total", "plan", kind.alias("kind"), "complete", "filled", "requested", "saving",
-    )
-    grouped = rows.groupBy("cart").agg(F.sort_array(F.collect_list(one)).alias("p"))
+    sets = lambda k: list(combinations(stores, k))
+    at = lambda a, i: F.get(a, F.lit(i))
+    carts = _carts(lines, stores).withColumn("few", _plans(sets(1) + sets(2)))
+    whole = F.filter("few", lambda p: p["complete"])
+    best = F.array_min(F.transform(F.filter("few", lambda p: p["complete"] & (p["n_stops"] == 1)), lambda p: F.struct(p["total"].alias("total"), p["plan"].alias("plan"))))
+    carts = carts.withColumns({"best": best, "need_three": F.size(whole) == 0})
+    none = F.filter(F.col("few"), lambda p: F.lit(False))
+    carts = carts.withColumn("plans", F.concat("few", F.when(F.col("need_three"), _plans(sets(3)) if len(stores) >= 3 else none).otherwise(none)))
+
+    def told(p: Column) -> Column:
+        saving = F.when(F.col("best").isNotNull() & p["complete"] & (p["n_stops"] > 1), r2(F.col("best.total") - p["total"]))
+        kind = F.when(p["n_stops"] == 1, "one_store").when(F.coalesce(p["total"] + TIE < F.col("best.total"), F.lit(False)) & p["complete"], "split_cheaper").otherwise("split_fill")
+        return F.struct(
+            (~p["complete"]).alias("incomplete"), (-p["filled"]).alias("minus_filled"), p["n_stops"].alias("n_stops"), p["total"].alias("total"),
+            F.when(p["n_stops"] == 1, F.array_position(F.array(*map(F.lit, stores)), p["plan"])).otherwise(0).alias("place"), p["plan"].alias("plan"), kind.alias("kind"), p["complete"].alias("complete"), p["filled"].alias("filled"), p["requested"].alias("requested"), saving.alias("saving"),
+            _justified(p, F.col("best"), saving, F.col("lines"), stores).alias("justified"),
+        )
+
+    sorted_plans = F.array_sort(F.filter(F.transform("plans", told), lambda p: F.coalesce(p["justified"], F.lit(False))))
+    grouped = carts.withColumn("p", sorted_plans)
     singles = F.filter("p", lambda p: (p["n_stops"] == 1) & p["complete"])
     partial, splits = F.filter("p", lambda p: (p["n_stops"] == 1) & ~p["complete"]), F.filter("p", lambda p: p["n_stops"] > 1)
-    at = lambda a, i: F.get(a, F.lit(i))
     first, second = at(singles, 0), at(singles, 1)
     close = (second["total"] <= first["total"] + NEAR_SUM) | (second["total"] <= first["total"] * NEAR_SHARE)
-    whole = at(F.filter(splits, lambda p: p["complete"]), 0)
-    some = first.isNotNull() | whole.isNotNull()
+    entire = at(F.filter(splits, lambda p: p["complete"]), 0)
+    some = first.isNotNull() | entire.isNotNull()
     shown = F.array(
-        first, F.when(close, second), whole, F.when(~some, at(partial, 0)), F.when(~some | whole.isNull(), at(splits, 0)), F.when(~some, at(partial, 1)),
+        first, F.when(close, second), entire, F.when(~some, at(partial, 0)), F.when(~some | entire.isNull(), at(splits, 0)), F.when(~some, at(partial, 1)),
     )
-    shown = F.slice(F.array_compact(shown), 1, SHOWN)
-    listed = grouped.select("cart", shown.alias("p"))
-    complete = F.filter("p", lambda p: p["complete"])
-    single_best, pair = at(F.filter(complete, lambda p: p["n_stops"] == 1), 0), at(F.filter(complete, lambda p: p["n_stops"] == 2), 0)
-    worth = (pair["kind"] == "split_cheaper") & (pair["total"] + LEAST_SAVING <= single_best["total"] + TIE)
-    chosen = F.coalesce(F.when(worth, pair["plan"]), single_best["plan"], at(complete, 0)["plan"], at(F.array_sort("p"), 0)["plan"])
-    return listed.select("cart", chosen.alias("chosen"), F.posexplode("p").alias("place", "q")).select(
+    listed = grouped.withColumn("shown", F.slice(F.array_compact(shown), 1, SHOWN))
+    complete = F.filter("shown", lambda p: p["complete"])
+    pair = at(F.filter(complete, lambda p: p["n_stops"] == 2), 0)
+    worth = (pair["kind"] == "split_cheaper") & (pair["total"] + LEAST_SAVING <= F.col("best.total") + TIE)
+    fields = ("incomplete", "minus_filled", "n_stops", "total", "plan")  # by name where all else is equal, not by the order of the stores
+    named = F.array_min(F.transform("shown", lambda p: F.struct(*[p[c].alias(c) for c in fields])))
+    chosen = F.coalesce(F.when(worth, pair["plan"]), F.col("best.plan"), at(complete, 0)["plan"], named["plan"])
+    return listed.select("cart", chosen.alias("chosen"), F.posexplode_outer("shown").alias("place", "q")).where("place is not null").select(
         "cart", "place", "q.plan", "q.kind", "q.n_stops", "q.total", "q.filled", "q.requested", "q.saving", (F.col("q.plan") == F.col("chosen")).alias("recommended")
     )

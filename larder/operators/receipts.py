@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larder.operators.offers import identity_keywords, strip_pack_noise
+from larder.operators.offers import identity_keywords, name_has_phrase, strip_pack_noise
 
 #: Lines of a receipt that are no product, and products that are fees; fixed values.
 NO_LINE = r"(?i)\b(sub\s*total|subtotal|total|balance|change|hst|gst|pst|qst|tvq|tax|debit|credit|visa|mastercard|amex|cash|tender|payment|change due|you saved|savings|air\s*miles|pc\s*optimum|optimum|triangle|thank you|cashier|served by|store\s*#|tel\.?|www\.|http|invoice|receipt\s*#|gst\/hst|#\s*\d{5}|rounded|refund|void|approved|auth(?:orization)?|mid\b|tid\b|chip|pin\s*verified|copy)\b"
@@ -76,30 +76,76 @@ def infer_category(name: Column) -> Column:
     )
 
 
+#: Words for shell eggs, and what only looks like them; fixed values.
+EGGS, NO_EGGS = r"яйц|яєц|\blarge\s+eggs?\b|\beggs?\b", r"eggplant|баклажан|egg\s*whites?|яєчн\w*\s*білк|\bбілок\b|\bбілка\b"
+EGG_ITEM = "large_eggs_dozen"
+GRAM = 3
+
+
+def asks_for_eggs(query: Column) -> Column:
+    t = F.lower(F.trim(query))
+    return F.coalesce(t.rlike(EGGS) & ~t.rlike(NO_EGGS), F.lit(False))
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct substrings of `size` letters."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
+
+
+def _rarest(needles: DataFrame, grams: DataFrame) -> DataFrame:
+    """needles (q) with the substring `g` of their longest words, of three letters or as many as these have, that the fewest items hold."""
+    words = F.filter(F.split("q", r"\s+"), lambda w: w != "")
+    size = F.least(F.lit(GRAM), F.array_max(F.transform(words, lambda w: F.length(w))))
+    pieces = F.flatten(F.transform(words, lambda w: F.array_distinct(F.when(size == 3, _grams(w, 3)).when(size == 2, _grams(w, 2)).otherwise(_grams(w, 1)))))
+    held = grams.groupBy("g").agg(F.count("*").alias("n"))
+    keyed = needles.select("q", F.explode(F.array_distinct(pieces)).alias("g")).join(held, "g", "left")
+    return keyed.groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g"))["g"].alias("g"))
+
+
 def match_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(name, id, label, score) of the best catalogue item (id, label) for each distinct line name; names without a match are absent.
+    """(name, id, label, score) of the best catalogue item (id, label and perhaps hay) for each distinct line name; names without a match are absent.
+
+    An item matches a query if its text (hay, or label and id) holds the query, or all its words of two letters or more, if these are
+    several, or each of its words, of one letter too, as a word. A name asks as it is and without sizes. Score: 100 for the label itself,
+    80 for its beginning, 60 within it, 40 within the id, else 20. Ties go to the first label, then id. Below 40 the best
+    item counts only if its label or id holds all words of four letters or more that are no sizes. A name that asks for shell eggs matches
+    large_eggs_dozen, with a null score, or nothing. Null and blank names have no match; items with a null label have an empty one.
 
-    An item matches if its label holds the name, or all its words of two letters or more: score 100 for the label itself, 80 for its
-    beginning, 60 within it; else 20, which counts only if all words of four letters or more that are no sizes are in label or id.
-    Ties go to the first label, then id. An item that holds all words holds the name's rarest word begun anywhere in its own words, so
-    candidates come from an equi-join on three letters of the name's first word, never from a cross join.
+    Whatever matches holds every letter sequence of the query's longest word, so candidates come from an equi-join on the rarest
+    of its three-letter pieces (two or one for shorter words): no link is lost, and there is no cross join.
     """
-    names = lines.select("name").where("name is not null").distinct()
-    q = F.coalesce(F.nullif(strip_pack_noise(F.col("name")), F.lit("")), F.col("name"))
-    asked = names.select("name", F.lower(q).alias("q"), F.lower("name").alias("low"))
-    hay = F.lower(F.concat_ws(" ", "label", F.replace("id", F.lit("_"), F.lit(" "))))
-    grams = lambda c: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))), lambda g: F.length(g) == 3)
-    items = catalogue.select("id", "label", hay.alias("hay")).withColumn("g", F.explode(F.array_distinct(grams(F.col("hay")))))
-    keyed = asked.withColumn("g", F.substring("q", 1, 3))
+    names = lines.select("name").where("trim(name) <> ''").distinct()
+    stripped = F.coalesce(F.nullif(strip_pack_noise(F.trim("name")), F.lit("")), F.trim("name"))
+    asked = names.withColumn("eggs", asks_for_eggs(F.col("name")) | asks_for_eggs(stripped)).select(
+        "name", "eggs", F.explode(F.array_distinct(F.array(F.lower(stripped), F.lower(F.trim("name"))))).alias("q")
+    )
+    label = F.coalesce("label", F.lit(""))
+    spaced = F.replace("id", F.lit("_"), F.lit(" "))
+    plain = F.concat_ws(" ", label, spaced)
+    text = F.coalesce(F.nullif(F.trim("hay"), F.lit("")), plain) if "hay" in catalogue.columns else plain
+    hay = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    items = catalogue.select("id", label.alias("label"), hay.alias("hay")).distinct().withColumn("item", F.xxhash64("id", "label", "hay"))
+    grams = items.select("item", F.explode(F.concat(*[_grams(F.col("hay"), k) for k in range(1, GRAM + 1)])).alias("g"))
+    others = asked.where("not eggs")
+    keyed = others.join(_rarest(others.select("q").distinct(), grams), "q")
+    pairs = keyed.join(grams, "g").select("name", "q", "item").join(items, "item")
     parts = F.filter(F.split("q", r"\s+"), lambda p: F.length(p) >= 2)
-    holds = F.col("hay").contains(F.col("q")) | F.col("hay").contains(F.col("low")) | ((F.size(parts) > 1) & F.forall(parts, lambda p: F.col("hay").contains(p)))
-    label = F.lower("label")
-    of = lambda s: F.when(label == s, 100).when(label.startswith(s), 80).when(label.contains(s), 60).when(F.replace("id", F.lit("_"), F.lit(" ")).contains(s), 40).otherwise(20)
-    words = identity_keywords(F.filter(F.split(q, r"\s+"), lambda p: F.length(p) >= 4))
-    found = keyed.join(items, "g").where(holds).withColumn("score", F.greatest(of(F.col("q")), of(F.col("low"))))
-    found = found.where((F.col("score") >= 40) | ((F.size(words) > 0) & F.forall(words, lambda w: F.lower(F.concat_ws(" ", "label", "id")).contains(F.lower(w)))))
-    best = found.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("minus"), "label", "id")).alias("m"))
-    return best.select("name", "m.id", "m.label", (-F.col("m.minus")).alias("score"))
+    holds = F.col("hay").contains(F.col("q")) | ((F.size(parts) > 1) & F.forall(parts, lambda p: F.col("hay").contains(p))) | name_has_phrase(F.col("hay"), F.col("q"), F.lit(True))
+    low = F.lower("label")
+    of = lambda s: F.when(low == s, 100).when(low.startswith(s), 80).when(low.contains(s), 60).when(spaced.contains(s), 40).otherwise(20)
+    # an item that one of the two queries finds is scored by the better of both
+    ways = F.greatest(of(F.lower(F.coalesce(F.nullif(strip_pack_noise(F.trim("name")), F.lit("")), F.trim("name")))), of(F.lower(F.trim("name"))))
+    found = pairs.where(holds).withColumn("score", ways)
+    best = found.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("minus"), low.alias("low"), "label", "id")).alias("m"))
+    words = identity_keywords(F.filter(F.split(strip_pack_noise(F.trim("name")), r"\s+"), lambda p: F.length(p) >= 4))
+    whole = F.lower(F.concat_ws(" ", "m.label", "m.id"))
+    sure = (F.col("m.minus") <= -40) | ((F.size(words) > 0) & F.forall(words, lambda w: whole.contains(F.lower(w))))
+    eggs = items.where(F.col("id") == EGG_ITEM).groupBy("id").agg(F.min("label").alias("label"))
+    boiled = asked.where("eggs").select("name").distinct().join(F.broadcast(eggs), F.lit(True), "inner")  # one row at most
+    return best.where(sure).select("name", "m.id", "m.label", (-F.col("m.minus")).alias("score")).unionByName(
+        boiled.select("name", "id", "label", F.lit(None).cast("int").alias("score"))
+    )
 
 
 def roll_up(rows: DataFrame) -> DataFrame:

@@ -21,8 +21,6 @@ from larder.operators import verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Queries that SQL cannot say, tested on literals.
-OTHERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 FLAGSHIP = "basket_best_tie"
 STORES = ["s0", "s1", "s2", "s3"]
 AS_OF = "2024-02-01 00:00:00"
@@ -520,24 +518,99 @@ def best_offer_match(t):
     return offer_ops.best_match(rows, "item", score, F.col("offer") % 211 == 0, "offer").select("item", "offer")
 
 
+def _recommended_sql() -> str:
+    from itertools import combinations
+
+    sets = ", ".join(f"('{'+'.join(f's{i}' for i in c)}', {[i + 1 for i in c]}, {k})" for k in (1, 2, 3) for c in combinations(range(4), k))
+    cost = ", ".join(f"min(CASE WHEN store = {i} AND cost > 0 THEN cost END)" for i in range(4))
+    alone = ", ".join(f"count(*) FILTER (len(av) = 1 AND av[1] = {i})" for i in range(1, 5))
+    total = "list_reduce([0.0::DOUBLE] || list_transform(made, lambda m: m.cost), lambda x, y: x + y)"
+    return f"""WITH RECURSIVE {PRICED}, l AS (SELECT cart, item AS ord, [{cost}] AS c FROM priced GROUP BY cart, item),
+a AS (SELECT cart, plan, st, k, ord, c, list_filter(st, lambda i: c[i] IS NOT NULL) AS av FROM l, (VALUES {sets}) v(plan, st, k)),
+sh AS (SELECT *, row_number() OVER (PARTITION BY cart, plan ORDER BY ord) AS r FROM a WHERE len(av) > 1),
+f AS (
+  SELECT cart, plan, st, k, count(*) AS requested, CAST(0 AS BIGINT) AS i, [{alone}] AS n,
+    coalesce(list({{'ord': ord, 's': av[1], 'cost': c[av[1]], 'c': c}} ORDER BY ord) FILTER (len(av) = 1), []) AS made FROM a GROUP BY cart, plan, st, k
+  UNION ALL
+  SELECT cart, plan, st, k, requested, i + 1, list_transform(n, lambda v, j: v + CASE WHEN j = pick.s THEN 1 ELSE 0 END),
+    made || [{{'ord': ord, 's': pick.s, 'cost': pick.cost, 'c': c}}]
+  FROM (SELECT f.*, sh.ord, sh.c, list_reduce(list_transform(sh.av, lambda j: {{'s': j, 'cost': sh.c[j], 'n': f.n[j]}}), lambda b, x:
+      CASE WHEN x.cost < b.cost - 0.005 THEN x WHEN abs(x.cost - b.cost) < 0.005 AND x.n > b.n THEN {{'s': x.s, 'cost': b.cost, 'n': x.n}} ELSE b END) AS pick
+    FROM f JOIN sh ON sh.cart = f.cart AND sh.plan = f.plan AND sh.r = f.i + 1)
+), d AS (
+  SELECT cart, plan, k, requested, made, n, {_r2(total)} AS total, len(made) = requested AS complete, len(made) AS filled,
+    list_min(list_transform(st, lambda j: n[j])) AS fewest, list_filter(st, lambda j: n[j] = list_max(list_transform(st, lambda h: n[h])))[1] AS main,
+    list_filter(st, lambda j: n[j] = list_min(list_transform(st, lambda h: n[h])))[1] AS smallest
+  FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY cart, plan ORDER BY i DESC) = 1)
+  WHERE len(made) > 0 AND list_bool_and(list_transform(st, lambda j: n[j] > 0))
+), b AS (
+  SELECT cart, min({{'total': total, 'plan': plan}}) FILTER (complete AND k = 1) AS best, coalesce(bool_or(complete AND k < 3), false) AS whole FROM d GROUP BY cart
+), s AS (
+  SELECT *, CASE WHEN best IS NOT NULL AND complete AND k > 1 THEN {_r2('best.total - total')} END AS saving,
+    list_filter(made, lambda m: m.s = smallest)[1].c[main] IS NOT NULL AS also FROM d JOIN b USING (cart) WHERE k < 3 OR NOT whole
+), j AS (
+  SELECT *, CASE WHEN k = 1 THEN 'one_store' WHEN complete AND coalesce(total + 0.005 < best.total, false) THEN 'split_cheaper' ELSE 'split_fill' END AS kind
+  FROM s WHERE CASE WHEN k = 1 THEN true WHEN NOT complete THEN best IS NULL WHEN best IS NULL THEN true
+    ELSE saving >= 0.5 AND k <= 2 AND NOT (fewest = 1 AND smallest <> main AND also AND saving < 2) END
+), g AS (
+  SELECT cart, any_value(best) AS best, list({{'plan': plan, 'kind': kind, 'n_stops': k, 'total': total, 'filled': filled, 'requested': requested, 'saving': saving, 'complete': complete}}
+    ORDER BY NOT complete, filled DESC, k, total, plan) AS p FROM j GROUP BY cart
+), h AS (
+  SELECT *, list_filter(p, lambda x: x.n_stops = 1 AND x.complete) AS one, list_filter(p, lambda x: x.n_stops = 1 AND NOT x.complete) AS part, list_filter(p, lambda x: x.n_stops > 1) AS split FROM g
+), q AS (
+  SELECT *, list_filter(split, lambda x: x.complete)[1] AS entire, one[1] IS NOT NULL OR list_filter(split, lambda x: x.complete)[1] IS NOT NULL AS has FROM h
+), r AS (
+  SELECT cart, best, list_slice(list_filter([one[1], CASE WHEN one[2].total <= one[1].total + 8 OR one[2].total <= one[1].total * 1.08::DOUBLE THEN one[2] END, entire,
+    CASE WHEN NOT has THEN part[1] END, CASE WHEN NOT has OR entire IS NULL THEN split[1] END, CASE WHEN NOT has THEN part[2] END], lambda x: x IS NOT NULL), 1, 3) AS shown FROM q
+), t AS (
+  SELECT cart, shown, list_filter(shown, lambda x: x.complete AND x.n_stops = 2)[1] AS pair, best, list_filter(shown, lambda x: x.complete)[1].plan AS first,
+    (SELECT arg_min(x.plan, (NOT x.complete, -x.filled, x.n_stops, x.total, x.plan)) FROM unnest(shown) y(x)) AS least FROM r
+), z AS (
+  SELECT cart, coalesce(CASE WHEN pair.kind = 'split_cheaper' AND pair.total + 0.5::DOUBLE <= best.total + 0.005::DOUBLE THEN pair.plan END, best.plan, first, least) AS chosen,
+    unnest(shown) AS q, generate_subscripts(shown, 1) - 1 AS place FROM t
+)
+SELECT cart, CAST(place AS INT) AS place, q.plan, q.kind, CAST(q.n_stops AS INT) AS n_stops, q.total, CAST(q.filled AS INT) AS filled, CAST(q.requested AS INT) AS requested, q.saving,
+  q.plan = chosen AS recommended FROM z"""
+
+
+@query(_recommended_sql())
 def recommended_plans(t):
-    """At most three store plans for every cart; no SQL, see the tests."""
+    """At most three store plans for every cart."""
     priced = basket.priced_lines(carts(t), basket.best_offers(offers(t)))
     lines = priced.groupBy("cart", F.col("item").alias("ord")).agg(*[F.min(F.when(F.col("store") == i, F.col("cost"))).alias(s) for i, s in enumerate(STORES)])
     return plan_ops.recommend(lines, STORES)
 
 
-OTHERS["recommended_plans"] = lambda spark, sf_dir: recommended_plans(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-@query("""WITH l AS (SELECT DISTINCT lower(p_name) AS name FROM part), c AS (SELECT 'b_' || p_brand AS id, min(p_name) || ' ' || p_type AS label FROM part GROUP BY p_brand, p_type)
-SELECT name, arg_min(id, (-score, label, id)) AS id, arg_min(label, (-score, label, id)) AS label, max(score) AS score
-FROM (SELECT name, id, label, CASE WHEN lower(label) = name THEN 100 WHEN starts_with(lower(label), name) THEN 80 WHEN contains(lower(label), name) THEN 60 WHEN contains(replace(id, '_', ' '), name) THEN 40 ELSE 20 END AS score
-  FROM l JOIN c ON contains(lower(label || ' ' || replace(id, '_', ' ')), name) OR list_aggregate(list_transform(string_split(name, ' '), lambda x: contains(lower(label || ' ' || replace(id, '_', ' ')), x)), 'bool_and'))
-GROUP BY name""")
+_STRIP = r"trim(regexp_replace(regexp_replace(regexp_replace({n}, '\b\d+([.,]\d+)?\s*(l|lt|ml|kg|g|oz|lb|lbs|ct|pk|pack|dozen|doz)\b', ' ', 'gi'), '\b\d+\s*x\s*\d+\b', ' ', 'gi'), '\s+', ' ', 'g'))"
+_FOUND = r"""(contains(hay, {q}) OR (len(list_filter(string_split({q}, ' '), lambda x: length(x) >= 2)) > 1 AND
+    list_bool_and(list_transform(list_filter(string_split({q}, ' '), lambda x: length(x) >= 2), lambda x: contains(hay, x))))
+  OR (contains({q}, ' ') AND list_bool_and(list_transform(string_split({q}, ' '), lambda x: regexp_matches(hay, '(^|[^a-z0-9])' || x || '(es|s)?([^a-z0-9]|$)')))))"""
+_POINTS = "CASE WHEN low = {q} THEN 100 WHEN starts_with(low, {q}) THEN 80 WHEN contains(low, {q}) THEN 60 WHEN contains(replace(id, '_', ' '), {q}) THEN 40 ELSE 20 END"
+#: Names of receipt lines: as in the catalogue, torn, with sizes, with one letter, cut, unknown, of eggs.
+LINE_NAMES = [
+    "lower(p_name)", "upper(p_name) || ' ' || p_size || ' kg'", "substr(p_name, strpos(p_name, ' ') + 1) || ' ' || substr(p_name, 1, strpos(p_name, ' ') - 1)",
+    "substr(p_name, 1, 1) || ' ' || substr(p_name, strpos(p_name, ' ') + 1)", "substr(p_name, 3)", "p_name || ' fancy'", "'b ' || p_brand", "'Large eggs ' || p_size || ' ct'",
+    "p_type || ' 2 x ' || p_size || ' ' || p_name", "substr(p_name, 2, 2)",
+]
+
+
+@query(f"""WITH l AS (SELECT DISTINCT CASE p_partkey % 10 {' '.join(f'WHEN {i} THEN {e}' for i, e in enumerate(LINE_NAMES))} END AS name FROM part),
+c AS (SELECT 'b_' || p_brand AS id, min(p_name) || ' ' || p_type AS label FROM part GROUP BY p_brand, p_type UNION ALL SELECT 'large_eggs_dozen', 'Eggs, large'),
+i AS (SELECT *, lower(label) AS low, trim(regexp_replace(lower(label || ' ' || replace(id, '_', ' ')), '\\s+', ' ', 'g')) AS hay FROM c),
+n AS (SELECT name, coalesce(nullif({_STRIP.format(n='trim(name)')}, ''), trim(name)) AS s FROM l WHERE trim(name) <> ''),
+m AS (SELECT name, s, id, label, low, greatest({_POINTS.format(q='lower(s)')}, {_POINTS.format(q='lower(trim(name))')}) AS score
+  FROM n JOIN i ON {_FOUND.format(q='lower(s)')} OR {_FOUND.format(q='lower(trim(name))')} WHERE NOT regexp_matches(lower(name), '\\beggs?\\b')),
+b AS (SELECT name, any_value({_STRIP.format(n='trim(name)')}) AS s, arg_min({{'id': id, 'label': label, 'score': score}}, (-score, low, label, id)) AS m FROM m GROUP BY name),
+w AS (SELECT *, list_filter(list_filter(string_split(s, ' '), lambda x: length(x) >= 4), lambda x: NOT regexp_matches(replace(lower(x), ',', '.'),
+  '^\\d+([.]\\d+)?(l|lt|ml|kg|g|oz|lb|lbs|ct|pk|pack|dozen|doz)$|^\\d+x\\d+([.]\\d+)?$|^\\d+([.]\\d+)?$')) AS words FROM b)
+SELECT name, m.id, m.label, m.score FROM w WHERE m.score >= 40 OR (len(words) > 0 AND list_bool_and(list_transform(words, lambda x: contains(lower(m.label || ' ' || m.id), lower(x)))))
+UNION ALL SELECT name, 'large_eggs_dozen', 'Eggs, large', NULL FROM n WHERE regexp_matches(lower(name), '\\beggs?\\b')""")
 def receipt_text_match(t):
-    catalogue = t("part").groupBy("p_brand", "p_type").agg(F.min("p_name").alias("n")).select(F.concat(F.lit("b_"), "p_brand").alias("id"), F.concat_ws(" ", "n", "p_type").alias("label"))
-    return receipts.match_lines(t("part").select(F.lower("p_name").alias("name")), catalogue)
+    rows = t("part")
+    brands = rows.groupBy("p_brand", "p_type").agg(F.min("p_name").alias("n")).select(F.concat(F.lit("b_"), "p_brand").alias("id"), F.concat_ws(" ", "n", "p_type").alias("label"))
+    eggs = rows.sparkSession.range(1).select(F.lit("large_eggs_dozen").alias("id"), F.lit("Eggs, large").alias("label"))
+    name = F.expr(f"CASE p_partkey % 10 {' '.join(f'WHEN {i} THEN {e}' for i, e in enumerate(LINE_NAMES))} END".replace("strpos(", "instr("))
+    return receipts.match_lines(rows.select(name.alias("name")), brands.unionByName(eggs))
 
 
 @query("WITH w AS (SELECT *, bool_or(p_type <> 'ECONOMY') OVER (PARTITION BY p_brand, p_name) AS has FROM part) SELECT p_partkey AS item, p_type AS kind FROM w WHERE p_type <> 'ECONOMY' OR NOT has")
@@ -738,3 +811,6 @@ def verdict_progress(t):
     ))).alias("payload"))
     judged = verdicts.applied(cells.withColumn("product_id", F.col("product_id").cast("string")), verdicts.parse_verdicts(said))
     return verdicts.progress(judged).withColumn("item", F.col("item").cast("long"))
+
+
+from larder.plans import rows  # noqa: E402, F401  (registers its query; it needs what stands above)
