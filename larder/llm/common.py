@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,31 +50,56 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose `key`, a long of 0 or more, is in the column `row` of wanted, without a shuffle of rows.
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work over the batches of a task, after which the worker gives the memory it no longer uses back to the system.
 
-    The wanted ids travel as a broadcast bitmap: about one bit for each row numbered by one_of_each.
+    Workers go on from stage to stage; without this each keeps the most it ever took.
     """
-    bits = wanted.groupBy(F.shiftright("row", 15).alias("__bucket")).agg(F.bitmap_construct_agg(F.col("row").bitwiseAND(F.lit(32767))).alias("__bits"))
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called that, in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def only(rows: DataFrame, key: str, wanted: DataFrame, bound: int | None = None) -> DataFrame:
+    """The rows whose `key`, a long of 0 or more, is in the column `row` of wanted.
+
+    The wanted keys become bitmaps of 32,768 keys each, about one bit for each row that one_of_each numbers. They are stored, so
+    Spark broadcasts them if their size allows it and else shuffles rows by bitmap; keys below `bound` are always broadcast.
+    """
+    bucket, bits = fresh("bucket", rows.columns), fresh("bits", rows.columns)
+    made = wanted.groupBy(F.shiftright("row", 15).alias(bucket)).agg(F.bitmap_construct_agg(F.col("row").bitwiseAND(F.lit(32767))).alias(bits))
     at = F.col(key).bitwiseAND(F.lit(32767)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.withColumn("__bucket", F.shiftright(key, 15)).join(F.broadcast(bits), "__bucket")
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn(bucket, F.shiftright(key, 15)).join(F.broadcast(made) if bound else stored(made), bucket)
     return joined.where(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1).select(rows.columns)
 
 
 def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Exactly one row of each group, with all its columns: the one of the smallest doc_id, a null id last.
 
-    groups: makes (row, component) of (row, text). Among equal doc_ids, null ones too, any
+    groups: makes (row, component) of (row, doc_id, text). Among equal doc_ids, null ones too, any
     one row stays; rows are numbered for this and materialised, so repeated rows are told apart.
     """
-    where = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(where)
-    rows = docs.sparkSession.read.parquet(where)
-    named = groups(rows.select(F.col("__row").alias("row"), "text"))
-    ids = rows.select(F.col("__row").alias("row"), "doc_id").join(named, "row")
+    number = fresh("row", docs.columns)
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    named = groups(rows.select(F.col(number).alias("row"), "doc_id", "text"))
+    ids = rows.select(F.col(number).alias("row"), "doc_id").join(named, "row")
     first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    return only(rows, "__row", first.select("first.row")).select(docs.columns)
+    return only(rows, number, first.select("first.row")).select(docs.columns)
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:

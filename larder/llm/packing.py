@@ -25,6 +25,8 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+
+from larder.llm.common import released
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 END = 1
@@ -339,5 +341,5 @@ def pack(
     vocabulary = vocabulary or default_vocabulary()
     name = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        lambda it: _pack_batches(it, vocabulary, size, stride, penalties, block), f"doc_id {name}, {SCHEMA}"
+        released(lambda it: _pack_batches(it, vocabulary, size, stride, penalties, block)), f"doc_id {name}, {SCHEMA}"
     )

@@ -15,11 +15,12 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut
+from larder.llm.common import cut, released
 
 #: Bytes counted together; each group gives one feature, its share of all bytes.
 BYTE_GROUPS = [
@@ -64,7 +65,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def feature_table(docs: DataFrame) -> DataFrame:
     """(doc_id, x) with x the packed features of the whole text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_feature_batches, f"doc_id {kind}, x binary")
+    return docs.select("doc_id", "text").mapInArrow(released(_feature_batches), f"doc_id {kind}, x binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -224,13 +225,15 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents scored at `threshold` or more, with all their columns; texts are scored where they lie."""
+    """The documents scored at `threshold` or more, with all their columns; texts are scored where they lie, 256 at a time.
+
+    Empty and null texts get the score of the empty text, repeated rows the same score; an empty table stays empty.
+    """
     model = fit(training_table(docs, labels))
 
     @F.pandas_udf("boolean")
     def good(texts):
-        if not len(texts):
-            return texts.astype(bool)
-        return texts.map(lambda t: bool(model.score(features(t)[None])[0] >= threshold))
+        found = [model.score(np.stack([features(t) for t in texts.iloc[lo : lo + 256]])) >= threshold for lo in range(0, len(texts), 256)]
+        return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
 
     return docs.where(good("text"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import components, cut, one_of_each, partitions
+from larder.llm.common import components, cut, one_of_each, partitions, released
 
 SEED = 42
 HOT = 4096
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """(doc_id, fp) for every document; fp holds the unsigned 64 bits in a signed long."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        lambda it: _fingerprint_batches(it, words), f"doc_id {kind}, fp long"
+        released(lambda it: _fingerprint_batches(it, words)), f"doc_id {kind}, fp long"
     )
 
 
@@ -267,6 +267,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
 
     def groups(rows: DataFrame) -> DataFrame:
-        return near_duplicates(rows.withColumnRenamed("row", "doc_id"), **options).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+        return near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), **options).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
 
     return one_of_each(docs, groups)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import cut, partitions
+from larder.llm.common import cut, partitions, released
 
 MIN_BYTES = 100
 K = 32
@@ -528,8 +528,8 @@ def _cleaned(shards: pa.Table, spans: pa.Table, columns: list[str], digests: boo
 
 def _answers(shards: DataFrame, buckets: int, hot: int) -> DataFrame:
     return (
-        shards.mapInArrow(lambda it: _asked(it, buckets), "bucket long, shard long, payload binary")
-        .repartition(buckets, "bucket").mapInArrow(lambda it: _answered(it, hot), "shard long, payload binary")
+        shards.mapInArrow(released(lambda it: _asked(it, buckets)), "bucket long, shard long, payload binary")
+        .repartition(buckets, "bucket").mapInArrow(released(lambda it: _answered(it, hot)), "shard long, payload binary")
     )
 
 
@@ -539,11 +539,11 @@ def _spans(shards: DataFrame, buckets: int, hot: int) -> DataFrame:
     hashed = by_shard.cogroup(_answers(shards, buckets, hot).groupBy("shard")).applyInArrow(
         lambda a, b: _hashed(a, b, buckets), "bucket long, shard long, kind int, payload binary"
     )
-    matched = cut(hashed.repartition(buckets, "bucket").mapInArrow(_matched, "shard long, kind int, payload binary"))
+    matched = cut(hashed.repartition(buckets, "bucket").mapInArrow(released(_matched), "shard long, kind int, payload binary"))
     texts = by_shard.cogroup(matched.where("kind = 2").groupBy("shard")).applyInArrow(
         lambda a, b: _texts(a, b, buckets), "bucket long, shard long, payload binary"
     )
-    compared = texts.repartition(buckets, "bucket").mapInArrow(_reduced, "shard long, kind int, payload binary")
+    compared = texts.repartition(buckets, "bucket").mapInArrow(released(_reduced), "shard long, kind int, payload binary")
     return matched.where("kind = 1").unionByName(compared)
 
 
@@ -562,7 +562,7 @@ def remove_repeats(docs: DataFrame, digests: bool = True, hot: int = HOT, shard_
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else []
     docs = docs.select(*[c for c in docs.columns if c not in names])
-    shards = cut(docs.mapInArrow(lambda it: _shards(it, shard_bytes), "shard long, payload binary"))
+    shards = cut(docs.mapInArrow(released(lambda it: _shards(it, shard_bytes)), "shard long, payload binary"))
     spans = _spans(shards, max(partitions(docs.sparkSession), 1), hot)
     kinds = {"kept_sha256": T.StringType()}
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n in names)])
@@ -611,7 +611,7 @@ def repeat_groups(docs: DataFrame, hot: int = HOT, shard_bytes: int = SHARD_BYTE
                 )
 
     buckets = max(partitions(docs.sparkSession), 1)
-    shards = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _shards(it, shard_bytes), "shard long, payload binary"))
+    shards = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(lambda it: _shards(it, shard_bytes)), "shard long, payload binary"))
     contexts = (
         shards.groupBy("shard").cogroup(_answers(shards, buckets, hot).groupBy("shard"))
         .applyInArrow(lambda a, b: _contexts(a, b, buckets), "bucket long, shard long, payload binary")
