@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on everything its predecessor kept
 and returns the columns of documents; the last returns the packed pieces. Every
 stage is written to the shared folder and read again before the next.
+
+Nulls in any column pass through. A null or empty text is scored as the empty text; if it stays, one
+document without words stays of all (they have one fingerprint), loses no repeats, has size 0 in the mixing, which leaves
+it out or takes it once, and is packed as its closing id. Of repeated rows and equal texts one stays, of the smallest doc_id,
+a null one last. Texts are read whole, however long. Further columns, whatever their names, come through to the
+mixing. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -12,8 +18,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import jaccard, mixing, packing, pulearn, suffix
-from larder.llm.common import shared_dir, table
+from larder.llm import mixing, packing, pulearn, simhash, suffix, triejoin
+from larder.llm.common import one_of_each, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +28,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more over shingles of five words."""
-    return jaccard.keep_one(docs, least=0.8, words=5)
+    """Keeps one document of each group of near copies.
+
+    Groups are linked by SimHash fingerprints of five-word shingles within 4 bits, found by multi-index hashing. Fingerprints that far
+    apart miss most pairs of a similarity near 0.8, so the one that stays of each group is then joined with the others by tries of those
+    shingles, which are exact: no two documents that stay have a similarity of 4/5 or more.
+    """
+
+    def groups(rows: DataFrame) -> DataFrame:
+        first = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5).select(F.col("doc_id").alias("row"), F.col("component_id").alias("c"))
+        left = rows.join(first.where("row = c").select("row"), "row", "left_semi")
+        second = triejoin.join(left.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("c"), F.col("component_id").alias("component"))
+        return first.join(second, "c").select("row", "component")
+
+    return one_of_each(docs, groups)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,21 +63,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("mixing", mixed), ("packing", packed),
 ]
-#: No stage but the mixing can be said in SQL; tests hold the stages against brute force.
+#: No stage but the mixing can be said in SQL; tests hold near copies, repeats and packing against brute force, and each stage's use of its operator.
 ORACLE_SQL = None
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    rows = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, "1000")  # whole texts are long rows: less memory in the JVM's buffers and the workers, same results
-    try:
-        for number, (name, stage) in enumerate(STAGES):
-            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
-            docs = spark.read.parquet(f"{folder}/{number}-{name}")
-    finally:
-        spark.conf.set(BATCH, rows)
+    for number, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}-{name}")
+        docs = spark.read.parquet(f"{folder}/{number}-{name}")
     return docs
