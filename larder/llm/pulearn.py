@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import cut, released
+from larder.llm.common import cut, released, small_batches
 
 #: Bytes counted together; each group gives one feature, its share of all bytes.
 BYTE_GROUPS = [
@@ -192,10 +192,11 @@ def training_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return cut(
-        feature_table(docs).join(trusted, "doc_id", "left")
-        .select("doc_id", "x", (F.coalesce(F.col("quality") == 1, F.lit(False)) & ~held_out).alias("positive"), held_out.alias("held_out"))
-    )
+    with small_batches(docs.sparkSession):
+        return cut(
+            feature_table(docs).join(trusted, "doc_id", "left")
+            .select("doc_id", "x", (F.coalesce(F.col("quality") == 1, F.lit(False)) & ~held_out).alias("positive"), held_out.alias("held_out"))
+        )
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import components, cut, one_of_each, partitions, released
+from larder.llm.common import components, cut, one_of_each, partitions, released, small_batches
 
 SEED = 42
 HOT = 4096
@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, count: i
     keep a null id and take their group's component; repeated rows are returned
     as often as they occur; an empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, words))
+    with small_batches(docs.sparkSession):
+        prints = cut(fingerprints(docs, words))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     roots = components(links(nodes.select("fp"), distance, count))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")

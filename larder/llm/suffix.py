@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import cut, partitions, released
+from larder.llm.common import cut, partitions, released, small_batches
 
 MIN_BYTES = 100
 K = 32
@@ -43,7 +43,7 @@ HOT = 1024
 SHARD_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -562,7 +562,8 @@ def remove_repeats(docs: DataFrame, digests: bool = True, hot: int = HOT, shard_
     """
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digests else []
     docs = docs.select(*[c for c in docs.columns if c not in names])
-    shards = cut(docs.mapInArrow(released(lambda it: _shards(it, shard_bytes)), "shard long, payload binary"))
+    with small_batches(docs.sparkSession):
+        shards = cut(docs.mapInArrow(released(lambda it: _shards(it, shard_bytes)), "shard long, payload binary"))
     spans = _spans(shards, max(partitions(docs.sparkSession), 1), hot)
     kinds = {"kept_sha256": T.StringType()}
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n in names)])
