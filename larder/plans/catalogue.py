@@ -813,4 +813,4 @@ def verdict_progress(t):
     return verdicts.progress(judged).withColumn("item", F.col("item").cast("long"))
 
 
-from larder.plans import decision, produce, refresh, rows  # noqa: E402, F401  (they register their queries and need what stands above)
+from larder.plans import decision, produce, refresh, rows, walk  # noqa: E402, F401  (they register their queries and need what stands above)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.plans.catalogue import ORACLE, QUERIES
+from larder.sources.shared import shared_dir
 from larder.streaming import refresh
 
 CLEARING = ["s0"]
@@ -37,10 +37,7 @@ SELECT run, store, item, seq, status, reason, previous, price FROM w WHERE r > 0
 
 def price_refresh_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log lands in two parts, and the stream runs after each: the second run goes on from the state of the first."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"{folder or tempfile.mkdtemp(prefix='larder-refresh-')}/refresh-{uuid.uuid4().hex}"  # one machine in tests
+    folder = f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex}"
     log = spark.read.parquet(f"{sf_dir}/events.parquet").select(*[F.expr(e.format(day="to_date(ts)")).alias(c) for c, e in ATTEMPTS.items()])
     log = log.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in refresh.ATTEMPT.split(", ")])
     middle = log.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
