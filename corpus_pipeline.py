@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import mixing, packing, pulearn, simhash, suffix, triejoin
-from larder.llm.common import one_of_each, shared_dir, table
+from larder.llm.common import cut, one_of_each, only, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
 
     def groups(rows: DataFrame) -> DataFrame:
-        first = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5).select(F.col("doc_id").alias("row"), F.col("component_id").alias("c"))
-        left = rows.join(first.where("row = c").select("row"), "row", "left_semi")
+        first = cut(simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"), words=5).select(F.col("doc_id").alias("row"), F.col("component_id").alias("c")))
+        left = only(rows, "row", first.where("row = c"))
         second = triejoin.join(left.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("c"), F.col("component_id").alias("component"))
         return first.join(second, "c").select("row", "component")
 
