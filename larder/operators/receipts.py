@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -148,6 +149,83 @@ def match_lines(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+#: A number that has been put behind an id: from 2 on, without leading zeros.
+NUMBERED = r"^(.*)_([2-9]|[1-9][0-9]+)$"
+
+
+def allocate(requests: DataFrame, taken: DataFrame, order: list[str]) -> DataFrame:
+    """requests (base and other columns) with `id`: base, base_2, base_3 and so on, the first that is free when its turn by `order` comes.
+
+    taken: id. order: columns that order all requests, without ties. Ids that end in numbers can meet those of other bases (x_2 is the
+    second x and the first x_2). A base that meets no other is numbered by windows: the k-th request takes the k-th place that is not taken, and
+    a running count of gaps tells which. Bases that meet share a family, named without its numbers, whose requests are dealt with one
+    after another in one group; nothing else depends on the order. Null bases get no id.
+    """
+    known = [c for c in requests.columns if c != "base"]
+    stem = lambda c: F.regexp_replace(c, r"(_([2-9]|[1-9][0-9]+))+$", "")
+    bases = requests.where("base is not null").groupBy("base").agg(F.count("*").alias("n")).withColumn("family", stem(F.col("base")))
+    crowded = bases.groupBy("family").agg(F.count("*").alias("k")).where("k > 1").select("family", F.lit(True).alias("crowded"))
+    marked = requests.withColumn("family", stem(F.col("base"))).join(crowded, "family", "left")
+    alone = marked.where("crowded is null")
+    number = F.when(F.col("id") == F.col("base"), 1).when(F.regexp_extract("id", NUMBERED, 1) == F.col("base"), F.regexp_extract("id", NUMBERED, 2).try_cast("long"))
+    named = taken.select("id").where("id is not null").distinct()
+    keys = F.array_distinct(F.array("id", F.nullif(F.regexp_extract("id", NUMBERED, 1), F.lit(""))))
+    met = named.select("id", F.explode(keys).alias("base")).join(bases.select("base"), "base").select("base", number.cast("long").alias("place")).where("place is not null")
+    turn = Window.partitionBy("base").orderBy(*order)
+    gaps = met.select("base", (F.col("place") - F.row_number().over(Window.partitionBy("base").orderBy("place")) + 1).cast("long").alias("k"), F.lit(1).alias("gap"), F.lit(None).cast("long").alias("turn"))
+    asked = alone.withColumn("turn", F.row_number().over(turn).cast("long"))
+    both = gaps.unionByName(asked.where("base is not null").select("base", F.col("turn").alias("k"), F.lit(0).alias("gap"), "turn"))
+    passed = F.sum("gap").over(Window.partitionBy("base").orderBy("k", F.col("gap").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    places = both.withColumn("place", F.col("k") + passed).where("turn is not null").select("base", "turn", "place")
+    made = asked.join(places, ["base", "turn"], "left").withColumn("id", F.when(F.col("place") == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), F.col("place").cast("string"))))
+    made = made.select("base", *known, "id")
+
+    def one_by_one(key: tuple, mine: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        used, out, begin = set(held["id"]), [], {}
+        mine = mine.sort_values(order, ignore_index=True)
+        for base in mine["base"]:
+            n = begin.get(base, 1)
+            while (name := base if n == 1 else f"{base}_{n}") in used:
+                n += 1
+            begin[base] = n + 1
+            used.add(name)
+            out.append(name)
+        return mine.drop(columns=["family", "crowded"]).assign(id=out)
+
+    kind = ", ".join(f"`{c}` {t}" for c, t in requests.select("base", *known).dtypes) + ", id string"
+    families = marked.where("crowded").select("base", *known, "family", "crowded").groupBy("family")
+    held = named.withColumn("family", stem(F.col("id"))).join(crowded.select("family"), "family", "left_semi").groupBy("family")
+    return made.unionByName(families.cogroup(held).applyInPandas(one_by_one, kind))
+
+
+def decide_lines(lines: DataFrame, catalogue: DataFrame, occupied: DataFrame) -> DataFrame:
+    """(receipt_id, line_no, name, status, id, label, category, match_mode, words): what becomes of each line of a receipt.
+
+    lines: receipt_id, line_no, name. skip: a fee or no product. existing: id and label of the catalogue item of match_lines. new: a draft with an
+    id that neither the catalogue nor occupied (id) has, given in the order of (receipt_id, line_no). words: up to four that a later offer has one of. Null names
+    are skipped; repeated lines are decided each by itself.
+    """
+    rows = lines.select("receipt_id", "line_no", "name")
+    skip = F.col("name").isNull() | F.col("name").rlike(NO_PRODUCT) | is_noise(F.col("name"))
+    found = match_lines(rows.where(~skip), catalogue).select("name", F.col("id").alias("known_id"), F.col("label").alias("known_label"))
+    status = F.when(F.coalesce(skip, F.lit(True)), "skip").when(F.col("known_id").isNotNull(), "existing").otherwise("new")
+    rows = rows.join(found, "name", "left").withColumn("status", status)
+    label = F.substring(clean_name(F.col("name")), 1, 80)
+    category = infer_category(label)
+    words = F.slice(identity_keywords(F.filter(F.split(strip_pack_noise(label), r"\s+"), lambda w: F.length(w) >= 4)), 1, 4)
+    drafts = rows.where("status = 'new'").select("receipt_id", "line_no", "name", staple_id(label).alias("base"))
+    given = allocate(drafts, catalogue.select("id").unionByName(occupied.select("id")), ["receipt_id", "line_no", "name"])
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    new = given.select(
+        "receipt_id", "line_no", "name", F.lit("new").alias("status"), "id", label.alias("label"), category.alias("category"),
+        F.when(category.isin("produce", "frozen", "supplies"), "cheapest_equivalent").otherwise("exact").alias("match_mode"), words.alias("words"),
+    )
+    others = rows.where("status <> 'new'").select(
+        "receipt_id", "line_no", "name", "status", F.col("known_id").alias("id"), F.col("known_label").alias("label"), *none("category", "match_mode"), F.lit(None).cast("array<string>").alias("words")
+    )
+    return others.unionByName(new)
+
+
 def roll_up(rows: DataFrame) -> DataFrame:
     """(store, upc, n, latest_price, name) of receipt rows (store, upc, at, price, name): the price of the latest row, the commonest name, the smaller among equals.
 
