@@ -11,3 +11,11 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """name, with underscores behind it until no column is called that, in upper or lower case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -23,7 +23,7 @@ CONTAINER = r"\b(packs?|bags?|clamshells?|cartons?|tubs?|jars?|bottles?|pouches?
 EACH = r"\b(1\s*ea|sold in singles|sold in single wrap)\b"
 LOOSE = r"\b(per\s*kg|per\s*lb|\/\s*kg|\/\s*lb|loose|bulk|sold\s*by\s*(the\s*)?(kg|lb|weight))\b"
 _NUMBER = r"(\d+(?:\.\d+)?)"
-_UNITS = {"both": "kg|gr|g|lbs|lb|ounces|ounce|oz|ml|lt|l", "mass": "kg|lbs|lb|ounces|ounce|oz|gr|g", "volume": "ml|lt|l"}
+_UNITS = {"both": "|".join([*KG, *ML]), "mass": "|".join(KG), "volume": "|".join(ML)}
 
 
 def _read(text: Column) -> Column:

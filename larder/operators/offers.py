@@ -20,6 +20,9 @@ SOFT = [
 REJECT = [
     "pump", "dessert", "dog", "cat", "treat", "shampoo", "toy", "potter", "dragon", "harry", "medela", "norbert", "hagrid", "easter", "fillable", "party", "powder", "chocolate",
 ]
+#: Keywords that are only a size, and sizes and counts within a text; fixed values.
+SIZE_KEYWORD = r"^\d+([.]\d+)?\s*(l|lt|ml|kg|g|oz|fl\s*oz|lb|lbs|ct|pk|pack|dozen|doz)$|^\d+\s*x\s*\d+([.]\d+)?$|^\d+([.]\d+)?$|^$"
+SIZE_NOISE, COUNT_NOISE = r"(?i)\b\d+([.,]\d+)?\s*(l|lt|ml|kg|g|oz|lb|lbs|ct|pk|pack|dozen|doz)\b", r"(?i)\b\d+\s*x\s*\d+\b"
 #: The smallest share of an expected pack that compares, and the most packs that stand for one; fixed values.
 LEAST_RATIO, MOST_COMPOSED = 0.35, 6
 SHELF_HOURS = 24.0
@@ -78,7 +81,7 @@ def name_has_phrase(hay: Column, needle: Column, split: Column) -> Column:
 def is_size_keyword(raw: Column) -> Column:
     """Whether a keyword is only a size or a count."""
     t = F.replace(F.lower(F.trim(raw)), F.lit(","), F.lit("."))
-    return t.rlike(r"^\d+([.]\d+)?\s*(l|lt|ml|kg|g|oz|fl\s*oz|lb|lbs|ct|pk|pack|dozen|doz)$|^\d+\s*x\s*\d+([.]\d+)?$|^\d+([.]\d+)?$|^$")
+    return t.rlike(SIZE_KEYWORD)
 
 
 def identity_keywords(words: Column) -> Column:
@@ -88,8 +91,8 @@ def identity_keywords(words: Column) -> Column:
 
 def strip_pack_noise(text: Column) -> Column:
     """Without sizes and N x M."""
-    t = F.regexp_replace(text, r"(?i)\b\d+([.,]\d+)?\s*(l|lt|ml|kg|g|oz|lb|lbs|ct|pk|pack|dozen|doz)\b", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"(?i)\b\d+\s*x\s*\d+\b", " "), r"\s+", " "))
+    t = F.regexp_replace(text, SIZE_NOISE, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, COUNT_NOISE, " "), r"\s+", " "))
 
 
 def filter_reason(hay: Column, banned: Column, need_all: Column, need_any: Column, split: Column, form: Column | None = None) -> Column:

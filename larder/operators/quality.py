@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
+from larder.functions.expr import fresh
 from larder.functions.money import prices_agree
 
 
@@ -33,9 +32,14 @@ def first_reason(rules: list[tuple[str, Column]]) -> Column:
 
 
 def keep_if_any(rows: DataFrame, key: str, preferred: Column) -> DataFrame:
-    """Of each group only the preferred rows, if it has any; else all."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("_p", F.coalesce(preferred, F.lit(False))).withColumn("_any", F.bool_or("_p").over(w)).where("_p or not _any").drop("_p", "_any")
+    """Of each group only the preferred rows, if it has any; else all. A null key is a group.
+
+    Which groups have one is an aggregation combined before its shuffle, so no group is sorted in one task.
+    """
+    own, has, of = (fresh(c, rows.columns) for c in ("own", "has", "of"))
+    marked = rows.withColumn(own, F.coalesce(preferred, F.lit(False)))
+    groups = marked.groupBy(F.col(key).alias(of)).agg(F.bool_or(own).alias(has))
+    return marked.join(groups, F.col(key).eqNullSafe(F.col(of))).where(F.col(own) | ~F.col(has)).select(rows.columns)
 
 
 def latest(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.functions.expr import fresh
 from larder.functions.money import r2
 from larder.functions.units import parse_mass_kg
 
@@ -70,8 +71,9 @@ def shop_offers(documents: DataFrame) -> DataFrame:
 def upsert(base: DataFrame, changes: DataFrame, key: list[str], order: str) -> DataFrame:
     """Rows of both by key, the newest by `order`, a change before an equally new base row; one aggregation, no join."""
     columns = [c for c in base.columns if c not in key]
-    both = base.withColumn("_src", F.lit(0)).unionByName(changes.withColumn("_src", F.lit(1)))
-    best = both.groupBy(*key).agg(F.max(F.struct(order, "_src", *[c for c in columns if c != order])).alias("m"))
+    side = fresh("side", base.columns)
+    both = base.withColumn(side, F.lit(0)).unionByName(changes.select(base.columns).withColumn(side, F.lit(1)))
+    best = both.groupBy(*key).agg(F.max(F.struct(order, side, *[c for c in columns if c != order])).alias("m"))
     return best.select(*[F.col(c) if c in key else F.col(f"m.{c}").alias(c) for c in base.columns])
 
 
