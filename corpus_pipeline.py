@@ -47,7 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every byte of a passage of 100 bytes that occurs earlier; n_chars follows the text."""
     kind = docs.schema["n_chars"].dataType
-    return suffix.remove_repeats(docs, digests=False).withColumn("n_chars", F.char_length("text").cast(kind))
+    # half the usual shard: a worker holds arrays of several times a shard, and the executors come from other stages
+    return suffix.remove_repeats(docs, digests=False, shard_bytes=suffix.SHARD_BYTES // 2).withColumn("n_chars", F.char_length("text").cast(kind))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
