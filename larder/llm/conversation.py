@@ -49,7 +49,7 @@ def faults(turns: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("conv_id").orderBy("dropped", F.col("turn").asc_nulls_first(), "role", "text", "copy")
     same = Window.partitionBy("conv_id", "role", "text").orderBy("pos")
-    bare = F.expr(f"trim(TRAILING '{SPACES.encode('unicode_escape').decode()}' FROM text)")
+    bare = F.rtrim("text", F.lit(SPACES))
     placed = turns.withColumn("initial", F.substring("role", 1, 1)).withColumn("pos", F.row_number().over(order).cast("long") - 1)
     marked = (
         placed.withColumn("fresh", F.col("turn").isNotNull() & ~F.lag("turn").over(order).eqNullSafe(F.col("turn")))

@@ -97,6 +97,13 @@ def test_every_fault_and_edit_is_reached(spark, rows):
     assert all(any(r[k] for r in found) for k in ("gaps", "blank", "duplicate", "truncated", "illegal"))
 
 
+def test_all_white_space_and_no_letter_ends_a_text(spark):
+    texts = [("Hi.\x0b", None), ("Hi!\x0c\r\n", None), ("\x0b\x0c", "blank"), ("Hello.0", "truncated"), ("The box", "truncated"), ("xbc0", "truncated"), ("Why?\\", "truncated"), ("Yes.\u00a0", "truncated")]
+    df = spark.createDataFrame([(i, 0, "user", text, 0, False) for i, (text, _) in enumerate(texts)], "conv_id long, turn long, role string, text string, copy int, dropped boolean")
+    found = {r.conv_id: r.fault for r in conversation.faults(df).collect()}
+    assert [found[i] for i in range(len(texts))] == [fault for _, fault in texts]
+
+
 def test_long_conversations_do_not_depend_on_the_chunk(spark):
     r = random.Random(8)
     rows = [(1, t, r.choice(["user", "assistant", "tool"]), r.choice(["Yes.", "no", f"Turn {t}."]), 0, "") for t in range(700)]
