@@ -148,3 +148,17 @@ def test_stream_keeps_the_last_known_price(spark, tmp_path):
     data([(3, "a", 2.0, datetime(2026, 1, 2)), (4, "b", 5.0, datetime(2025, 1, 1))])
     run()
     assert sorted((r.item, r.price) for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [("a", 2.0), ("b", 5.0)]
+
+
+def test_baskets_of_offered_lines_equal_those_of_priced_lines(spark, monkeypatch):
+    lines = spark.createDataFrame([(c, i, float(c % 3 + 1)) for c in range(12) for i in (0, 1, c % 5, 9 if c % 4 == 0 else 2)] + [(1, None, 1.0), (None, 1, 2.0)], "cart long, item long, quantity double")
+    offers = spark.createDataFrame([(i, s, 1.0 + (i * 7 + s * 3) % 5) for i in range(6) for s in range(4) if (i + s) % 3], "item long, store long, price double")
+    best = basket.best_offers(offers)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    offered, priced = basket.offered_lines(lines, best), basket.priced_lines(lines, best)
+    assert rows(basket.coverage_of(offered)) == rows(basket.coverage(lines, priced)) and basket.coverage_of(offered).where("total is null").count() > 0
+    assert rows(basket.mixed_of(offered)) == rows(basket.mixed(priced))
+    plan = basket.winner(basket.coverage_of(offered))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Scan ExistingRDD") == 2  # lines and offers are read once each
+    monkeypatch.setattr(basket, "TASK_ROWS", 4)
+    assert basket.offered_lines(lines, best).rdd.getNumPartitions() == 13  # 50 rows
