@@ -56,7 +56,11 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def brands_match(a: Column, b: Column) -> Column:
     """exact, partial (the shorter of 4 or more letters lies in the longer), mismatch or missing."""
-    x, y = normalize_name(F.coalesce(a, F.lit(""))), normalize_name(F.coalesce(b, F.lit("")))
+    return names_match(normalize_name(F.coalesce(a, F.lit(""))), normalize_name(F.coalesce(b, F.lit(""))))
+
+
+def names_match(x: Column, y: Column) -> Column:
+    """brands_match of normalised names."""
     inside = F.when(F.length(x) >= F.length(y), x.contains(y)).otherwise(y.contains(x))
     return (
         F.when((x == "") | (y == ""), "missing").when(x == y, "exact")

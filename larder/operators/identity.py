@@ -43,12 +43,14 @@ def candidate_pairs(records: DataFrame, key: str, blocks: list[list[str]]) -> Da
     """(left, right) structs of every two records that agree in all columns of some block, the smaller key on the left, each pair once.
 
     Equi-joins, one for each block; a pair that an earlier block gives is left out of a later one. No
-    partner is dropped: choose blocks fine enough, and fold equal records first.
+    partner is dropped: choose blocks fine enough, and fold equal records first. Few bytes of records make many pairs, so they are dealt
+    over all partitions of the session.
     """
-    row = F.struct(*records.columns)
+    row, n = F.struct(*records.columns), int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = None
     for i, block in enumerate(blocks):
-        a, b = records.select(*block, row.alias("left")), records.select(*block, row.alias("right"))
+        dealt = records.repartition(n, *block)
+        a, b = dealt.select(*block, row.alias("left")), dealt.select(*block, row.alias("right"))
         pairs = a.join(b, block).where(F.col(f"left.{key}") < F.col(f"right.{key}"))
         for before in blocks[:i]:
             same = [F.coalesce(F.col(f"left.{c}") == F.col(f"right.{c}"), F.lit(False)) for c in before]
@@ -73,8 +75,20 @@ def content_tokens(name: Column, brand: Column) -> Column:
 
 def record_jaccard(content_a: Column, content_b: Column, name_a: Column, name_b: Column) -> Column:
     """Of content words; of all words where a name has none."""
+    return token_jaccard(content_a, content_b, text.name_tokens(name_a), text.name_tokens(name_b))
+
+
+def token_jaccard(content_a: Column, content_b: Column, all_a: Column, all_b: Column) -> Column:
+    """record_jaccard of words that have been taken from the names."""
     empty = (F.size(content_a) == 0) | (F.size(content_b) == 0)
-    return F.when(empty, text.jaccard(text.name_tokens(name_a), text.name_tokens(name_b))).otherwise(text.jaccard(content_a, content_b))
+    return F.when(empty, text.jaccard(all_a, all_b)).otherwise(text.jaccard(content_a, content_b))
+
+
+def conflict_groups(words: Column) -> Column:
+    """Bits of the rules of conflict() that a product with these words can break; two without a common bit have no conflict."""
+    has = lambda own: F.coalesce(F.arrays_overlap(words, F.array(*map(F.lit, own))), F.lit(False))
+    rules = [has(group) & has(require) if require else has(group) for group, require in CONFLICTS] + [has(["coffee"])]
+    return sum((F.when(rule, 1 << i).otherwise(0) for i, rule in enumerate(rules)), F.lit(0))
 
 
 def conflict(words_a: Column, words_b: Column) -> Column:
@@ -150,15 +164,18 @@ def decision(confidence: Column, threshold: float = 0.85) -> Column:
 
 
 def prepared(records: DataFrame) -> DataFrame:
-    """Adds the columns that match compares: content, words, upc, kg, pieces.
+    """Adds the columns that match compares, all that can be said of one record: content, words, tokens, upc, kg, pieces, maker, kind, groups.
 
     records: name, brand, size_value, size_unit, category, barcode, and any others.
     """
     c = F.col
-    return records.withColumns({
+    plain = lambda x: text.normalize_name(F.coalesce(c(x), F.lit("")))
+    made = records.withColumns({
         "content": content_tokens(c("name"), c("brand")), "words": text.name_tokens(F.concat_ws(" ", F.coalesce("brand", F.lit("")), "name")),
         "upc": text.normalize_upc(c("barcode")), "kg": record_kg(c("name"), c("size_value"), c("size_unit")), "pieces": record_count(c("name"), c("size_value"), c("size_unit")),
+        "tokens": text.name_tokens(c("name")), "maker": plain("brand"), "kind": plain("category"),
     })
+    return made.withColumn("groups", conflict_groups(c("words")))
 
 
 def match(a: Column, b: Column, mapped: Column, verified: Column, threshold: float = THRESHOLD) -> Column:
@@ -167,43 +184,53 @@ def match(a: Column, b: Column, mapped: Column, verified: Column, threshold: flo
     The first stage that links: equal barcodes, a saved mapping (mapped), the structured score, the linkage
     probability; different sizes, barcodes or a conflict block the last two. What is left is at best a case for review.
     """
+    return decided(compared(a, b), mapped, verified, threshold)
+
+
+def compared(a: Column, b: Column) -> Column:
+    """All that match finds in two prepared records themselves: facts, score and chance. A few scalars, so what joins pairs moves no records."""
     x, y = a["upc"], b["upc"]
     both = F.coalesce((x != "") & (y != ""), F.lit(False))
     tail = F.when(F.length(x) >= F.length(y), x.endswith(y)).otherwise(y.endswith(x)) & (F.least(F.length(x), F.length(y)) >= 8)
-    u, v = text.normalize_name(F.coalesce(a["category"], F.lit(""))), text.normalize_name(F.coalesce(b["category"], F.lit("")))
     facts = F.struct(
-        (both & F.coalesce((x == y) | tail, F.lit(False))).alias("same_code"), both.alias("both"), F.coalesce(mapped, F.lit(False)).alias("mapped"),
-        F.coalesce(verified, F.lit(False)).alias("verified"), record_jaccard(a["content"], b["content"], a["name"], b["name"]).alias("jac"),
-        text.brands_match(a["brand"], b["brand"]).alias("brand"), units.size_agreement(a["kg"], b["kg"], a["pieces"], b["pieces"]).alias("size"),
-        let(F.struct(u.alias("u"), v.alias("v")), lambda c: F.when((c["u"] != "") & (c["v"] != ""), c["u"] == c["v"])).alias("category"),
-        conflict(a["words"], b["words"]).alias("clash"), F.size(F.array_intersect(a["content"], b["content"])).alias("shared"),
+        (both & F.coalesce((x == y) | tail, F.lit(False))).alias("same_code"), both.alias("both"), token_jaccard(a["content"], b["content"], a["tokens"], b["tokens"]).alias("jac"),
+        text.names_match(a["maker"], b["maker"]).alias("brand"), units.size_agreement(a["kg"], b["kg"], a["pieces"], b["pieces"]).alias("size"),
+        F.when((a["kind"] != "") & (b["kind"] != ""), a["kind"] == b["kind"]).alias("category"),
+        F.when(a["groups"].bitwiseAND(b["groups"]) != 0, conflict(a["words"], b["words"])).alias("clash"), F.size(F.array_intersect(a["content"], b["content"])).alias("shared"),
     )
 
     def scored(f: Column) -> Column:
         other = f["both"] & ~f["same_code"]
         score = structured_score(f["jac"], f["brand"], f["size"], f["category"], f["shared"], f["clash"])
         chance = linkage_probability(linkage_weight(f["jac"], f["brand"], f["size"], f["category"], other, f["clash"]))
-        return F.struct(f.alias("f"), other.alias("other_code"), score.alias("score"), chance.alias("chance"))
+        kept = [f[c].alias(c) for c in ("same_code", "jac", "size", "clash")]
+        return F.struct(*kept, other.alias("other_code"), score.alias("score"), chance.alias("chance"))
+
+    return let(facts, scored)
+
 
-    return let(let(facts, scored), lambda s: _decided(s, threshold))
+def decided(found: Column, mapped: Column, verified: Column, threshold: float = THRESHOLD) -> Column:
+    """match of what compared() found."""
+    said = F.struct(F.coalesce(mapped, F.lit(False)).alias("mapped"), F.coalesce(verified, F.lit(False)).alias("verified"))
+    return let(F.struct(found.alias("f"), said.alias("m")), lambda s: _decided(s["f"], s["m"], threshold))
 
 
-def _decided(s: Column, threshold: float) -> Column:
-    f, score, chance = s["f"], s["score"], s["chance"]
+def _decided(f: Column, said: Column, threshold: float) -> Column:
+    score, chance = f["score"], f["chance"]
     jac, clear = f["jac"], (f["size"] != "different") & f["clash"].isNull()
-    open_ = clear & ~s["other_code"]
+    open_ = clear & ~f["other_code"]
     structured, alike = (score >= threshold) & open_, (jac >= 0.35) & clear
     linked = (chance >= threshold) & open_ & (jac >= 0.55) & (score >= 0.7)
     method = (
-        F.when(f["same_code"], "upc").when(f["mapped"], "manual_mapping").when(structured, "structured").when(linked, "fellegi_sunter")
+        F.when(f["same_code"], "upc").when(said["mapped"], "manual_mapping").when(structured, "structured").when(linked, "fellegi_sunter")
         .when(alike, "semantic_fallback").when(chance >= score, "fellegi_sunter").otherwise("structured")
     )
     confidence = (
-        F.when(f["same_code"] | f["mapped"], 1.0).when(structured, score).when(linked, chance)
+        F.when(f["same_code"] | said["mapped"], 1.0).when(structured, score).when(linked, chance)
         .when(alike, F.least(F.lit(0.62), 0.35 + jac * 0.35)).otherwise(F.greatest(score, chance))
     )
     rounded = F.floor(F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)) * 1000 + 0.5) / 1000
-    reason = F.when(s["other_code"], "different barcodes").when(f["size"] == "different", "different sizes").otherwise(f["clash"])
+    reason = F.when(f["other_code"], "different barcodes").when(f["size"] == "different", "different sizes").otherwise(f["clash"])
 
     def made(m: Column) -> Column:
         short = (m["method"] == "semantic_fallback") | (m["confidence"] < threshold)
@@ -213,7 +240,7 @@ def _decided(s: Column, threshold: float) -> Column:
             score.alias("score"), chance.alias("probability"), F.when(~open_, reason).alias("reason"),
         )
 
-    return let(F.struct(method.alias("method"), rounded.alias("confidence"), (f["mapped"] & f["verified"] & ~f["same_code"]).alias("sure")), made)
+    return let(F.struct(method.alias("method"), rounded.alias("confidence"), (said["mapped"] & said["verified"] & ~f["same_code"]).alias("sure")), made)
 
 
 def match_products(pairs: DataFrame, mappings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -226,9 +253,9 @@ def match_products(pairs: DataFrame, mappings: DataFrame, threshold: float = THR
     x, y = side(F.col("left_retailer"), F.col("left_id")), side(F.col("right_retailer"), F.col("right_id"))
     known = mappings.select(F.least(x, y).alias("pair_a"), F.greatest(x, y).alias("pair_b"), "verified").groupBy("pair_a", "pair_b").agg(F.bool_or("verified").alias("verified"))
     p, q = side(F.col("left.retailer"), F.col("left.product_id")), side(F.col("right.retailer"), F.col("right.product_id"))
-    keyed = pairs.withColumns({"pair_a": F.least(p, q), "pair_b": F.greatest(p, q)})
+    keyed = pairs.withColumns({"pair_a": F.least(p, q), "pair_b": F.greatest(p, q), "found": compared(F.col("left"), F.col("right"))})
     joined = keyed.join(known.withColumn("mapped", F.lit(True)), ["pair_a", "pair_b"], "left")
-    return joined.withColumn("match", match(F.col("left"), F.col("right"), F.col("mapped"), F.col("verified"), threshold)).select(*pairs.columns, "match")
+    return joined.withColumn("match", decided(F.col("found"), F.col("mapped"), F.col("verified"), threshold)).select(*pairs.columns, "match")
 
 
 def confusion(rows: DataFrame, by: str) -> DataFrame:

@@ -242,3 +242,13 @@ def test_shown_stores(spark, raw, want):
     r = one(spark, verdicts.cheaper_among(costs, F.array(F.lit("walmart"), F.lit("mvr"), F.lit("nofrills"))))
     assert (r.cheaper, r.delta) == ("tie", 0.0)
     assert one(spark, verdicts.toggle_store(F.array(F.lit("mvr")), F.lit("mvr"))) == ["mvr"]
+
+
+def test_pairs_without_a_common_group_have_no_conflict_and_pairs_are_dealt(spark):
+    words = sorted({w for group, require in identity.CONFLICTS for w in group + require} | {"coffee", "milk"})
+    rows = [(a, b) for a in words for b in words]
+    some = spark.createDataFrame([([a, "coffee", "oil"], [b, "coffee", "oil"]) for a, b in rows] + [([a, "milk"], [b, "egg"]) for a, b in rows], "a array<string>, b array<string>")
+    found = some.select((identity.conflict_groups(F.col("a")).bitwiseAND(identity.conflict_groups(F.col("b"))) != 0).alias("open"), identity.conflict(F.col("a"), F.col("b")).alias("clash")).collect()
+    assert all(r.open for r in found if r.clash) and any(r.clash for r in found) and not all(r.open for r in found)
+    records = spark.createDataFrame([(i, "n", i % 3) for i in range(9)], "id int, name string, size int")
+    assert identity.candidate_pairs(records, "id", [["name", "size"]]).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
