@@ -75,3 +75,18 @@ def test_jumps(spark, before, now, too_big):
     assert refresh.jumps(before, now) == too_big
     column = price_jump_too_big(F.lit(before).cast("double"), F.lit(now))
     assert spark.range(1).select(column.alias("x")).first().x == too_big
+
+
+def test_states_are_tables_with_one_row_a_key(spark, tmp_path):
+    """Thousands of keys, an item in two batches, null keys: both states hold one value a key and stay where the next batch reads them."""
+    rows = [(f"run{i % 7}", ["a", "b", None][i % 3], i % 2500 or None, i, "s", "blocked" if i % 1999 == 5 else "offer", 1.0 + i % 5, None, False, f"m{i}") for i in range(6000)]
+    got = run(spark, tmp_path, [rows[:3500], rows[3500:]], "x")
+    assert got == loop(rows, {"a"})
+    last = {(x[1], x[2]): x[7] for x in got if x[7] is not None}
+    known = spark.read.schema(refresh.KNOWN).parquet(f"{tmp_path}/check-x/known/1").collect()
+    assert len(known) == len(last) and {(r.store, r.item): r.price for r in known} == last
+    first = {}
+    for x in rows:
+        if x[5] == "blocked":
+            first.setdefault((x[0], x[1]), (x[3], x[9]))
+    assert {(r.run, r.store): (r.seq, r.message) for r in spark.read.schema(refresh.BLOCKED).parquet(f"{tmp_path}/check-x/blocked/1").collect()} == first
