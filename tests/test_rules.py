@@ -1,5 +1,8 @@
 """The rules of units, costing, identity, offers, plans and receipts on literals."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,6 +168,43 @@ def test_plans(spark):
     assert {m.ord: m.store for m in tie["a+b"].made} == {0: "b", 1: "b", 2: "b", 3: "a"}
 
 
+def plain_plan(lines, names):
+    """The lines of a cart in the order of their assignment, (ord, store, cost), by the rule line by line."""
+    has = [[s for s in names if x[s] is not None and x[s] > 0] for x in lines]
+    n, made = dict.fromkeys(names, 0), []
+    for i in [i for i, h in enumerate(has) if len(h) == 1] + [i for i, h in enumerate(has) if len(h) > 1]:
+        store, cost = has[i][0], lines[i][has[i][0]]
+        for s in has[i][1:]:
+            if lines[i][s] < cost - 0.005:
+                store, cost = s, lines[i][s]
+            elif abs(lines[i][s] - cost) < 0.005 and n[s] > n[store]:
+                store = s
+        n[store] += 1
+        made.append((i, store, cost))
+    return made, n
+
+
+def test_plans_of_many_carts_are_made_in_batches(spark):
+    """Ties, gaps and stores not in the order of their names, over batches and slices of them; no fold over expressions is left in the plan."""
+    r, names = random.Random(5), ["d", "b", "c"]
+    carts = [[{s: r.choice([1.0, 1.0, 1.004, 1.008, 2.0, 0.1 * i, None, 0.0]) for s in names} for i in range(r.choice([1, 3, 9]))] for _ in range(300)]
+    rows = [(c, i, *[x[s] for s in names]) for c, lines in enumerate(carts) for i, x in enumerate(lines)]
+    made = plans.cart_plans(spark.createDataFrame(rows, "cart long, ord int, d double, b double, c double"), names)
+    got = {(x.cart, x.plan): x for x in made.collect()}
+    want = 0
+    for c, lines in enumerate(carts):
+        for own in [["d"], ["b"], ["c"], ["d", "b"], ["d", "c"], ["b", "c"], ["d", "b", "c"]]:
+            assigned, n = plain_plan(lines, own)
+            if assigned and all(n.values()):
+                want, x = want + 1, got[c, "+".join(own)]
+                assert [tuple(m) for m in x.made] == assigned and (x.filled, x.requested, x.complete) == (len(assigned), len(lines), len(assigned) == len(lines))
+                assert x.total == math.floor(sum((m[2] for m in assigned), 0.0) * 100 + 0.5) / 100
+                assert [(s.store, -s.minus_n) for s in x.stops] == sorted(n.items(), key=lambda s: (-s[1], s[0])) and all(s.first == next(m[0] for m in assigned if m[1] == s.store) for s in x.stops)
+    assert want == len(got)
+    shown = plans.recommend(spark.createDataFrame(rows, "cart long, ord int, d double, b double, c double"), names)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in shown and "aggregate(" not in shown
+
+
 def test_receipt_lines(spark):
     lines = "MILK 2% 4L\n6,47\nGREEK YOGURT\nBANANAS\n1.54 D\n2 @ 3.00 JUICE   6.00\nBAG FEE 0.05\n2024/01/01\n123456789\nmilk 2% 4l 9.99\nHST 0.84\n3 x BUNS\n"
     got = receipts.parse_lines(spark.createDataFrame([(1, lines), (2, None), (3, "")], "receipt_id int, text string")).collect()
