@@ -62,7 +62,7 @@ class WordTokenizer:
     both parts. New words are encoded together: those of small Latin letters, which the
     normaliser leaves alone, by the model itself, others divided by a special token. A text
     that may hold such a token keeps its case, and a word that may hold one is encoded alone.
-    Beyond `most` words the cache forgets those used least. A Python worker keeps one
+    Beyond `most` words the cache forgets those used least. A Python worker may keep one
     over its tasks.
     """
 
@@ -89,12 +89,15 @@ class WordTokenizer:
         self.ends = np.zeros(0, bool)
 
     @classmethod
-    def of_worker(cls, path: str) -> WordTokenizer:
-        if path not in cls._kept:
-            made = cls(path)
+    def of_worker(cls, path: str, most: int | None = None) -> WordTokenizer:
+        """The worker's own; with `most` one that is not kept."""
+        if most or path not in cls._kept:
+            made = cls(path, most) if most else cls(path)
             for text in cls.PROBES:
                 if next(made.encode([text.encode()]))[0].tolist() != made.inner.encode(text, add_special_tokens=False).ids:
                     raise ValueError(f"{path}: the tokeniser of words is not exact for this vocabulary")
+            if most:
+                return made
             cls._kept[path] = made
         return cls._kept[path]
 
@@ -295,9 +298,9 @@ class _Stream:
 
 
 def _pack_batches(
-    batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, stride: int, penalties: tuple[int, int, int], block: int
+    batches: Iterator[pa.RecordBatch], vocabulary: str, size: int, stride: int, penalties: tuple[int, int, int], block: int, words: int | None
 ) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer.of_worker(vocabulary)
+    tokenizer = WordTokenizer.of_worker(vocabulary, words)
     stream = _Stream(size, stride, penalties, TaskContext.get().partitionId() << 40)
     kind = pa.null()
 
@@ -327,6 +330,7 @@ def _pack_batches(
 def pack(
     docs: DataFrame, vocabulary: str | None = None, size: int = 2048, stride: int = 32,
     penalties: tuple[int, int, int] = (0, 4, 16), block: int = 1 << 21,
+    words: int | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
@@ -336,10 +340,11 @@ def pack(
     across which the last window goes on. A partition's last window is padded to
     `size`, or cut into powers of two, which need no padding, if that costs less.
     Null and empty texts are the id 1 alone; a null doc_id stays null; repeated
-    rows are packed each for itself; an empty table gives no rows.
+    rows are packed each for itself; an empty table gives no rows. Python workers keep the
+    ids of up to 600,000 words for their next tasks; with `words` a task keeps so many at most and leaves none behind.
     """
     vocabulary = vocabulary or default_vocabulary()
     name = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        released(lambda it: _pack_batches(it, vocabulary, size, stride, penalties, block)), f"doc_id {name}, {SCHEMA}"
+        released(lambda it: _pack_batches(it, vocabulary, size, stride, penalties, block, words)), f"doc_id {name}, {SCHEMA}"
     )

@@ -205,7 +205,7 @@ def dealt(fps: DataFrame, distance: int, count: int, cell: int) -> DataFrame:
     neighbour of cell / (ball + 1) rows or more have to be looked at.
     """
     plan = segments(distance, count)
-    filed = fps.mapInArrow(lambda it: _filed(it, plan), "segment int, key long, fp long, home boolean")
+    filed = fps.mapInArrow(released(lambda it: _filed(it, plan)), "segment int, key long, fp long, home boolean")
     own = [F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w, _ in plan]
     home = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("segment"), k.alias("key")) for i, k in enumerate(own)])).alias("s"))
     balls = [[0, *_masks(w, r)] for _, w, r in plan]
@@ -233,7 +233,7 @@ def links(fps: DataFrame, distance: int = 4, count: int = 3, cell: int = 1 << 16
     """
     return (
         dealt(fps, distance, count, cell).repartition(partitions(fps.sparkSession), "segment", "key", "cell").sortWithinPartitions("segment", "key", "cell")
-        .mapInArrow(lambda it: _verified(it, distance), "a long, b long")
+        .mapInArrow(released(lambda it: _verified(it, distance)), "a long, b long")
     )
 
 

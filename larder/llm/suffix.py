@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import cut, partitions, released, small_batches
+from larder.llm.common import cut, partitions, released, released_groups, small_batches
 
 MIN_BYTES = 100
 K = 32
@@ -537,11 +537,11 @@ def _spans(shards: DataFrame, buckets: int, hot: int) -> DataFrame:
     """(shard, kind 1, payload): every span of bytes that occurs earlier."""
     by_shard = shards.groupBy("shard")
     hashed = by_shard.cogroup(_answers(shards, buckets, hot).groupBy("shard")).applyInArrow(
-        lambda a, b: _hashed(a, b, buckets), "bucket long, shard long, kind int, payload binary"
+        released_groups(lambda a, b: _hashed(a, b, buckets)), "bucket long, shard long, kind int, payload binary"
     )
     matched = cut(hashed.repartition(buckets, "bucket").mapInArrow(released(_matched), "shard long, kind int, payload binary"))
     texts = by_shard.cogroup(matched.where("kind = 2").groupBy("shard")).applyInArrow(
-        lambda a, b: _texts(a, b, buckets), "bucket long, shard long, payload binary"
+        released_groups(lambda a, b: _texts(a, b, buckets)), "bucket long, shard long, payload binary"
     )
     compared = texts.repartition(buckets, "bucket").mapInArrow(released(_reduced), "shard long, kind int, payload binary")
     return matched.where("kind = 1").unionByName(compared)
@@ -569,7 +569,7 @@ def remove_repeats(docs: DataFrame, digests: bool = True, hot: int = HOT, shard_
     schema = T.StructType([*docs.schema.fields, *(T.StructField(n, kinds.get(n, T.LongType())) for n in names)])
     columns = list(docs.columns)
     return shards.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(
-        lambda a, b: _cleaned(a, b, columns, digests), schema
+        released_groups(lambda a, b: _cleaned(a, b, columns, digests)), schema
     )
 
 
@@ -615,6 +615,6 @@ def repeat_groups(docs: DataFrame, hot: int = HOT, shard_bytes: int = SHARD_BYTE
     shards = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(lambda it: _shards(it, shard_bytes)), "shard long, payload binary"))
     contexts = (
         shards.groupBy("shard").cogroup(_answers(shards, buckets, hot).groupBy("shard"))
-        .applyInArrow(lambda a, b: _contexts(a, b, buckets), "bucket long, shard long, payload binary")
+        .applyInArrow(released_groups(lambda a, b: _contexts(a, b, buckets)), "bucket long, shard long, payload binary")
     )
     return contexts.repartition(buckets, "bucket").mapInArrow(listed, "anchor long, length long, first_doc_id long, first_start long, doc_id long, start long")

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import chat, license_scan, mixing, packing, pulearn, revisit, simhash
+from larder.llm import chat, common, license_scan, mixing, packing, pulearn, revisit, simhash
 
 
 def test_simhash_hot_key_is_split(spark):
@@ -147,3 +147,20 @@ def test_a_long_conversation(spark):
     rows = [(1, i, "user" if i % 3 else "assistant", f"t{i}") for i in range(6000)]
     got = chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
     assert [t.text for t in got.turns] == [t[3] for t in rows] and got.loss == [t[3] for t in rows if t[2] == "assistant"]
+
+
+def test_packing_that_leaves_no_words_behind(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 301}." for k in range(90))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted(packing.pack(docs, words=40).collect()) == sorted(packing.pack(docs).collect())
+    path, before = packing.default_vocabulary(), dict(packing.WordTokenizer._kept)
+    own = packing.WordTokenizer.of_worker(path, 40)
+    assert own.most == 40 and own is not packing.WordTokenizer.of_worker(path, 40) and packing.WordTokenizer._kept == before
+
+
+def test_cogroups_give_memory_back(monkeypatch):
+    called = []
+    monkeypatch.setattr(common, "give_back", lambda: called.append(1))
+    for _ in range(3):
+        assert common.released_groups(lambda a, b: a + b)(1, 2) == 3
+    assert list(common.released(iter)([4, 5])) == [4, 5] and len(called) == 4
