@@ -164,3 +164,14 @@ def test_cogroups_give_memory_back(monkeypatch):
     for _ in range(3):
         assert common.released_groups(lambda a, b: a + b)(1, 2) == 3
     assert list(common.released(iter)([4, 5])) == [4, 5] and len(called) == 4
+
+
+def test_packing_begins_with_collected_heaps(spark):
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "MarkSweepCompact", "PS MarkSweep"))
+    docs = spark.createDataFrame([(1, "a few words here")], "doc_id long, text string")
+    before = full()
+    pieces = corpus_pipeline.packed(spark, docs, "").collect()
+    assert {p.doc_id for p in pieces} == {1} and full() > before
