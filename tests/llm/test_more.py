@@ -175,3 +175,37 @@ def test_packing_begins_with_collected_heaps(spark):
     before = full()
     pieces = corpus_pipeline.packed(spark, docs, "").collect()
     assert {p.doc_id for p in pieces} == {1} and full() > before
+
+
+def test_search_hands_on_the_best_of_all_shards():
+    import pyarrow as pa
+
+    from larder.llm import search
+
+    r = random.Random(12)
+    texts = [" ".join(f"w{int(r.paretovariate(0.5))}" for _ in range(r.randrange(60))) for _ in range(900)]
+    made, shards, queries = [], [], {}
+    for lo in (0, 300, 600):
+        made.append(search._Builder())
+        for i in range(lo, lo + 300):
+            made[-1].add(i, texts[i % 700], i % 20 == 0)  # the last ones are copies: ties
+        shards.append(made[-1].shard()[0])
+    mean = sum(sum(m.lengths) for m in made) / 900
+    whole = search.Index(shards, mean)
+    df = dict(zip(whole.names.tolist(), np.diff(whole.ptr).tolist()))
+    for m in made:
+        found = search._unpacked(m.shard()[1])
+        for q, part in zip(found["id"].tolist(), np.split(np.arange(len(found["term"])), np.cumsum(found["size"])[:-1])):
+            queries[q] = [{"term": np.uint64(t).astype(np.int64).item(), "df": df[t], "tf": f} for t, f in zip(found["term"][part].tolist(), found["tf"][part].tolist())]
+    kind = pa.list_(pa.struct([("term", pa.int64()), ("df", pa.int64()), ("tf", pa.int32())]))
+    rows = pa.record_batch([pa.array([0] * len(queries), pa.int32()), pa.array(list(queries)), pa.array(list(queries.values()), kind)], names=["b", "query_id", "vector"])
+    (block,) = search._bundled(iter([rows]))
+    pairs = pa.record_batch([pa.array([0] * 3, pa.int32()), pa.array([block["payload"][0].as_py()] * 3), pa.array(shards)], names=["b", "payload", "index"])
+    got = collections.defaultdict(list)
+    for batch in search._searched(iter([pairs]), 900, mean, 7):
+        for q, d, p in zip(*(c.to_pylist() for c in batch.columns)):
+            got[q].append((d, p))
+    for q, vector in queries.items():
+        n = np.array([v["df"] for v in vector], float)
+        want = whole.search(np.array([v["term"] for v in vector], np.int64).view(np.uint64), np.log(1 + (900 - n + 0.5) / (n + 0.5)), np.array([v["tf"] for v in vector]), 7)
+        assert got[q] == list(zip(*(x.tolist() for x in want)))  # no more rows than the best, whatever the number of shards
