@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from larder.llm import triejoin
@@ -216,3 +217,13 @@ def test_long_texts_that_share_one_shingle_do_not_meet():
         a, b = (np.unique(np.append(r.integers(0, 1 << 61, 3000, dtype=np.uint64), one)) for _ in range(2))
         same = np.intersect1d(*(places(s)[0] for s in (a, b)))
         assert len(same) == 0 and len(np.intersect1d(a[: triejoin.prefix_length(len(a))], b)) == 1
+
+
+def test_crowded_tokens_are_counted_over_batches():
+    r = np.random.default_rng(4)
+    tokens = np.sort(r.integers(0, 40, 500))
+    for size in (1, 3, 7, 60, 500):
+        batches = [pa.RecordBatch.from_arrays([pa.array(tokens[i : i + size])], names=["token"]) for i in range(0, len(tokens), size)]
+        found = [x for b in triejoin._crowded(iter(batches), 12) for x in zip(*(c.to_pylist() for c in b.columns))]
+        at, counts = np.unique(tokens, return_counts=True)
+        assert found == [(int(a), int(c)) for a, c in zip(at, counts) if c > 12] and found
